@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, toxicity
+from . import decontamination, language, quality, toxicity
 from .frames import read
 
 
@@ -12,6 +12,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -22,7 +26,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op5_language, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_language, op6_decontaminate)}
 
 
 def oracle_sql() -> dict:
