@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, quality, toxicity
+from . import decontamination, language, packing, quality, toxicity
 from .frames import read
 
 
@@ -25,8 +25,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_language, op6_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_language, op6_decontaminate, op7_pack)}
 
 
 def oracle_sql() -> dict:
