@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, packing, quality, toxicity
+from . import decontamination, language, lines, packing, quality, toxicity
 from .frames import read
 
 
@@ -16,6 +16,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts of the documents."""
+    return lines.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -30,8 +35,8 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op5_language, op6_decontaminate, op7_pack)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_decontaminate": decontamination.ORACLE_SQL}
+    return {"op4_lines": lines.ORACLE_SQL, "op6_decontaminate": decontamination.ORACLE_SQL}
