@@ -15,6 +15,7 @@ lengths are ordered by id and start; extra columns are ignored; an empty table g
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -58,16 +59,49 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self):
         self.key, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return np.array([x for e in found for x in e], np.uint32), np.array([len(e) for e in found], np.int64)
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(e) for e in found], np.int64)
+
+    def _encode_chunks(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number for each chunk. A plain chunk, letters alone, is one word, whose last id is an end of a word:
+        such chunks are encoded as sentences and cut at those ids."""
+        order = np.flatnonzero(plain)
+        sentences = [" ".join([texts[i] for i in order[k : k + 256]]) for k in range(0, len(order), 256)]
+        ids, _ = self._encode(sentences)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(order):  # not a vocabulary with word ends
+            return self._encode(texts)
+        rest = np.flatnonzero(~plain)
+        more, more_size = self._encode([texts[i] for i in rest])
+        size, begin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        size[order], begin[order] = np.diff(ends, prepend=0), np.concatenate([[0], ends])[:-1]
+        size[rest], begin[rest] = more_size, len(ids) + np.cumsum(more_size) - more_size
+        both, total = np.concatenate([ids, more]), np.cumsum(size)
+        return both[np.repeat(begin - total + size, size) + np.arange(size.sum())], size
+
+    @staticmethod
+    def _latin(data: np.ndarray) -> np.ndarray:
+        """Both bytes of the letters of Latin-1."""
+        out = np.zeros(len(data), bool)
+        out[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        out[:-1] |= out[1:] & (data[:-1] == 0xC3)
+        return out
+
+    def _letters(self, data: np.ndarray) -> np.ndarray:
+        """Bytes of letters that are surely kept together."""
+        return (_CLASS[data] == _LETTER) & (data >= 65) | self._latin(data)
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of what the tokenizer surely splits apart.
@@ -76,13 +110,7 @@ class Encoder:
         or Latin-1 there is always a border. All else stays in one chunk.
         """
         kind = _CLASS[data]
-        lead = data == 0xC3
-        if lead.any():
-            follow = np.zeros(len(data), bool)
-            follow[1:] = lead[:-1]
-            latin = follow & (data != 0x97) & (data != 0xB7)
-            kind[latin] = _LETTER
-            kind[:-1][latin[1:]] = _LETTER
+        kind[self._latin(data)] = _LETTER
         inside = kind != _SPACE
         first, last = inside.copy(), inside.copy()
         border = (kind[1:] != kind[:-1]) & (kind[1:] <= _PUNCT) & (kind[:-1] <= _PUNCT)
@@ -107,7 +135,9 @@ class Encoder:
             new = np.arange(len(unique))
         if len(new):
             raw = low.tobytes()
-            ids, size = self._encode([raw[start[i] : end[i]].decode("utf-8", "replace") for i in one[new]])
+            letters = np.concatenate([[0], np.cumsum(self._letters(data))])
+            plain = (letters[end] - letters[start] == end - start)[one[new]]
+            ids, size = self._encode_chunks([raw[start[i] : end[i]].decode("utf-8", "replace") for i in one[new]], plain)
             key = np.concatenate([self.key, unique[new]])
             order = np.argsort(key, kind="stable")
             self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])[order]
