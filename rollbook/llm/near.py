@@ -8,9 +8,10 @@ probability Jaccard similarity of their runs. Registers are banded, documents th
 candidates, and candidates are verified by the exact Jaccard similarity of their sets of runs.
 
 Texts with equal word sequences are one unit, sketched once. In a band's bucket of a few units all pairs
-are candidates. In a larger one every unit is compared with the bucket's first unit, and units that are
-still apart from it afterwards form a bucket of their own, until none is left: so no pair list of a large
-group is made and no member is given up. Links are joined to classes by connected components.
+are candidates. In a larger one every unit is compared with the bucket's most central unit; units that
+are then in another class than that one are compared with further central units of the bucket, round
+after round until a round links nothing, and finally with all units of the bucket. So no pair list of a
+large group is made. Links are joined to classes by connected components.
 
 Defined cases: a text without words (null, empty, punctuation) is its own class; a class is named by its
 smallest doc_id, nulls last; repeated rows are members of one class; extra columns are ignored; an empty
@@ -35,6 +36,10 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Buckets of so many units at most give all their pairs.
 SMALL = 8
+#: In larger ones, so many leads are tried in each round, ...
+LEADS = 8
+#: ... and in the end all pairs of units that are still apart with all others, if a bucket has no more than this.
+ALL_PAIRS = 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _KEYS = np.arange(1, ROWS + 1).astype(np.uint64) * _STEP
@@ -163,34 +168,71 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def texts_once(documents: DataFrame) -> DataFrame:
+    """(unit, text): a text of each unit once for each task."""
+    schema = pa.schema([("unit", pa.int64()), ("text", pa.string())])
+
+    def run(batches):
+        seen: set[int] = {0}
+        for batch in batches:
+            for first, end, data, offsets in blocks(batch.column("text")):
+                unit, fresh = units(Words(data, offsets)), []
+                for i, u in enumerate(unit.tolist()):
+                    if u not in seen:
+                        seen.add(u)
+                        fresh.append(i)
+                if fresh:
+                    yield table(schema, unit=unit[fresh], text=batch.column("text")[first:end].take(pa.array(fresh)))
+
+    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "unit long, text string")
+
+
+def bucket_members(sketched: DataFrame) -> DataFrame:
+    """(key, unit, n, weight) of buckets of n > 1 units; a unit that meets many others has a large weight."""
+    one = sketched.where(F.size("keys") > 0).groupBy("unit").agg(F.first("keys").alias("keys"))
+    exploded = one.select("unit", F.explode("keys").alias("key"))
+    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = exploded.join(sizes, "key")
+    return found.join(found.groupBy("unit").agg(F.sum("n").alias("weight")), "unit").select("key", "unit", "n", F.struct("weight", F.col("unit").alias("u")).alias("weight"))
+
+
 def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs of units that connect every class; sketched is a stored result of sketches()."""
-    one = sketched.where(F.col("keys").isNotNull() & (F.size("keys") > 0)).groupBy("unit").agg(F.first("keys").alias("keys"))
-    exploded = one.select("unit", F.explode("keys").alias("key"))
-    sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("lead")).where("n > 1")
-    members = cut(exploded.join(sizes, "key"))
-    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("unit")).alias("u"))
-    small = few.select(F.explode(F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, SMALL), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = members.where(F.col("n") > SMALL).select("key", "unit", "lead")
-    star = large.where("unit != lead").select(F.col("unit").alias("a"), F.col("lead").alias("b"))
-    wanted = members.select("unit").distinct()
-    texts = cut(with_unit(documents.select(F.col("text").cast("string").alias("text"))).join(wanted, "unit").groupBy("unit").agg(F.first("text").alias("text")))
-    tried = cut(small.unionByName(star).distinct())
+    members = cut(bucket_members(sketched))
+    few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("unit").alias("u"))
+    small = few.select(F.explode(F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, SMALL), lambda y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")))))).alias("p")).select("p.a", "p.b")
+    large = members.where(F.col("n") > SMALL)
+    texts = cut(texts_once(documents).join(members.select("unit").distinct(), "unit").groupBy("unit").agg(F.first("text").alias("text")))
+
+    def pairs(joined: DataFrame) -> DataFrame:
+        return joined.select(F.greatest("unit", "lead").alias("a"), F.least("unit", "lead").alias("b")).where("a != b").distinct()
+
+    central = large.groupBy("key").agg(F.max_by("unit", "weight").alias("lead"))
+    tried = cut(small.distinct().unionByName(pairs(large.join(central, "key"))).distinct())
     found = cut(verified(tried, texts, similarity))
+    turn, linked = 0, 1
     while True:
-        # units of large buckets that aren't in the class of the bucket's lead go on among themselves
-        roots = components(found)
-        mine, theirs = roots.select(F.col("node").alias("unit"), F.col("root").alias("r")), roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_r"))
-        apart = large.join(mine, "unit", "left").join(theirs, "lead", "left").where(F.coalesce("r", "unit") != F.coalesce("lead_r", "lead")).select("key", "unit")
-        leads = apart.groupBy("key").agg(F.min("unit").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        large = cut(apart.join(leads, "key").select("key", "unit", "lead"))
-        more = large.where("unit != lead").select(F.col("unit").alias("a"), F.col("lead").alias("b")).distinct()
-        fresh = cut(more.join(tried, ["a", "b"], "left_anti"))
-        if large.isEmpty():
+        # units that are apart from their bucket's central one are compared with more units of the bucket
+        roots = components(found).select(F.col("node").alias("unit"), "root")
+        labelled = cut(large.join(roots, "unit", "left").select("key", "unit", "n", "weight", F.coalesce("root", "unit").alias("root")))
+        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "weight").alias("main")).where("lo < hi").select("key", "main")
+        apart = labelled.join(mixed, "key").where("root != main").select("key", "unit", "n", "root")
+        last = turn >= 2 and not linked
+        if last:
+            sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("apart"))
+            leads = labelled.select("key", F.col("unit").alias("lead"), F.col("root").alias("lead_root"))
+            joined = apart.join(sizes, "key").where(F.col("apart") * F.col("n") <= ALL_PAIRS).join(leads, "key")
+        else:
+            leads = labelled.join(mixed, "key").groupBy("key", F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(LEADS))).agg(F.max_by("unit", "weight").alias("lead"), F.max_by("root", "weight").alias("lead_root"))
+            joined = apart.join(leads.select("key", "lead", "lead_root"), "key")
+        fresh = cut(pairs(joined.where("root != lead_root")).join(tried, ["a", "b"], "left_anti"))
+        more = cut(verified(fresh, texts, similarity))
+        linked = more.count()
+        if linked:
+            found, tried = cut(found.unionByName(more)), tried.unionByName(fresh)
+        turn += 1
+        if last and not linked:
             return found
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            found = cut(found.unionByName(verified(fresh, texts, similarity)))
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
