@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lines, near, packing, pii, quality, toxicity
+from . import decontamination, language, lines, near, packing, pii, quality, suffix, toxicity
 from .frames import read
 
 
@@ -38,12 +38,16 @@ def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(read(spark, sf_dir, "documents")).drop("unit")
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents")).drop("row_key", "terms")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op9_suffix, op10_pii)}
 
 
 def oracle_sql() -> dict:
