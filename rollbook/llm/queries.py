@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lines, near, packing, pii, quality, suffix, toxicity
+from . import decontamination, language, lines, media, near, packing, pii, quality, suffix, toxicity
 from .frames import read
 
 
@@ -12,6 +12,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op9_suffix, op10_pii)}
+    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op9_suffix, op10_pii)}
 
 
 def oracle_sql() -> dict:
