@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .textkernel import FOLD, Words, blocks, table
 
@@ -88,45 +89,69 @@ def scan(text: str, begin_chars: np.ndarray, machine) -> tuple[np.ndarray, set[s
     return np.cumsum(edges[:-1]) > 0, items
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, words inside benchmark windows, items that occur, and hit spans as byte offsets of the text."""
+def items_of(benchmark: DataFrame) -> list[tuple[str | None, str]]:
+    """The benchmark's items, once its size is found to be within the bound."""
     used = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").where("text is not null")
     size = used.selectExpr("coalesce(sum(octet_length(text)), 0) n").first().n
     if size > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; one automaton is built for {MAX_BENCHMARK_BYTES} at most")
-    items = sorted({(r.item_id, r.text) for r in used.collect()}, key=str)
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    return sorted({(r.item_id, r.text) for r in used.collect()}, key=str)
+
+
+def scan_block(data: np.ndarray, offsets: np.ndarray, machine):
+    """For each row: its first word and how many words it has, which of them are hit, and the items found."""
+    words = Words(data, offsets)
+    joined, begin = normalised(data, words)
+    for a, b in zip(words.range[:-1], words.range[1:], strict=True):
+        hit, items = np.zeros(b - a, bool), set()
+        if machine is not None and b > a:
+            raw = joined[begin[a] : begin[b] + 1]
+            text = raw.decode("utf-8", "replace")
+            where = begin[a : b + 1] - begin[a]
+            if len(text) != len(raw) and next(machine.iter(text), None) is not None:
+                lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+                where = (np.cumsum(lead) - 1)[where]
+            hit, items = scan(text, where, machine)
+            hit = hit[: b - a]
+        yield words, a, hit, sorted(items)
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document: words, words inside benchmark windows, items that occur, and hit spans as byte offsets of the text."""
+    shared = documents.sparkSession.sparkContext.broadcast(items_of(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(shared.value, window)
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
-                words = Words(data, offsets)
-                joined, begin = normalised(data, words)
-                hits, found, spans = [], [], []
-                for a, b in zip(words.range[:-1], words.range[1:], strict=True):
-                    hit, items = np.zeros(0, bool), set()
-                    if machine is not None and b > a:
-                        raw = joined[begin[a] : begin[b] + 1]
-                        text = raw.decode("utf-8", "replace")
-                        where = begin[a : b + 1] - begin[a]
-                        if len(text) != len(raw) and next(machine.iter(text), None) is not None:
-                            lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-                            where = (np.cumsum(lead) - 1)[where]
-                        hit, items = scan(text, where, machine)
-                        hit = hit[: b - a]
+                size, hits, found, spans = [], [], [], []
+                for at, (words, a, hit, items) in zip(offsets.tolist(), scan_block(data, offsets, machine), strict=False):
+                    size.append(len(hit))
                     hits.append(int(hit.sum()))
-                    found.append(sorted(items))
+                    found.append(items)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                    spans.append([{"start": int(words.start[a + s] - offsets[len(spans)]), "end": int(words.end[a + e - 1] - offsets[len(spans)])} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                    spans.append([{"start": int(words.start[a + s]) - at, "end": int(words.end[a + e - 1]) - at} for s, e in zip(edge[::2], edge[1::2], strict=True)])
                 yield table(
-                    _ARROW, doc_id=batch.column("doc_id")[first:end], n_words=words.count, n_hit=hits, n_items=[len(x) for x in found],
+                    _ARROW, doc_id=batch.column("doc_id")[first:end], n_words=size, n_hit=hits, n_items=[len(x) for x in found],
                     items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], contaminated=[n > 0 for n in hits], items=found, spans=spans,
                 )
 
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
+def mark(documents: DataFrame, benchmark: DataFrame, name: str = "n_hit", window: int = WINDOW) -> DataFrame:
+    """``documents`` with a last column ``name``: the words inside benchmark windows."""
+    shared = documents.sparkSession.sparkContext.broadcast(items_of(benchmark))
+
+    def run(batches):
+        machine = _machine(shared.value, window)
+        for batch in batches:
+            hits = [int(hit.sum()) for _, _, data, offsets in blocks(batch.column("text")) for _, _, hit, _ in scan_block(data, offsets, machine)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64())], names=[*batch.schema.names, name])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, LongType())]))
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .frames import fold
-from .textkernel import FOLD_LETTERS, Words, blocks, hash_bytes, prefix_hashes, span_hashes, table
+from .textkernel import FOLD_LETTERS, Words, blocks, hash_bytes, prefix_hashes, span_hashes
 
 #: Documents sampled for each language to learn its pieces: a hash of the id keeps about this many.
 SAMPLE_PER_LANGUAGE = 1500
@@ -36,6 +37,7 @@ PIECE = 12
 ROUNDS = 4
 _MARK = 0x20
 _CACHE = 400_000
+_LETTERS = "_rollbook_letters"
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -228,28 +230,50 @@ class Scorer:
         return out
 
 
-def identify(documents: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """Per document: held_out, lang_pred and score, the posterior of the predicted language under equal priors."""
-    pieces = vocabulary(vocabulary_path or default_vocabulary())
-    languages, probability = learn(word_counts(documents), pieces)
-    shared = documents.sparkSession.sparkContext.broadcast((pieces, languages, probability.astype(np.float32)))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+class Model:
+    """Pieces, languages and piece probabilities, learned from the labelled rows outside the held-out fold."""
+
+    def __init__(self, pieces: list[bytes], languages: list[str], probability: np.ndarray):
+        self.pieces, self.languages, self.probability = pieces, languages, probability
+
+    @classmethod
+    def fit(cls, documents: DataFrame, vocabulary_path: str | None = None) -> Model:
+        pieces = vocabulary(vocabulary_path or default_vocabulary())
+        languages, probability = learn(word_counts(documents), pieces)
+        return cls(pieces, languages, probability.astype(np.float32))
+
+    def scorer(self) -> Scorer | None:
+        return Scorer(self.pieces, self.probability.astype(float)) if self.languages else None
+
+
+def mark(documents: DataFrame, model: Model, name: str = "language") -> DataFrame:
+    """``documents`` with a last column ``name``: a struct of lang_pred and score."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        pieces, languages, probability = shared.value
-        scorer = Scorer(pieces, probability.astype(float)) if languages else None
+        model = shared.value
+        scorer, names = model.scorer(), np.array([*model.languages, "und"], object)
         for batch in batches:
+            found = []
             for first, end, data, offsets in blocks(batch.column("text")):
-                letters = batch.column("letters")[first:end].to_numpy(zero_copy_only=False).astype(bool)
+                letters = batch.column(_LETTERS)[first:end].to_numpy(zero_copy_only=False).astype(bool)
                 best, score = np.zeros(end - first, int), np.zeros(end - first)
                 if scorer:
                     loglik = scorer(*letter_words(data, offsets))
                     best = loglik.argmax(1)
                     score = 1 / np.exp(loglik - loglik.max(1, keepdims=True)).sum(1)
                 letters &= scorer is not None
-                names = np.array([*languages, "und"], object)
-                yield table(schema, doc_id=batch.column("doc_id")[first:end], held_out=batch.column("held_out")[first:end], lang_pred=names[np.where(letters, best, len(languages))], score=np.where(letters, score, 0.0))
+                found.append(pa.StructArray.from_arrays([pa.array(names[np.where(letters, best, len(model.languages))], pa.string()), pa.array(np.where(letters, score, 0.0))], fields=list(kind)))
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != _LETTERS]
+            yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(found) if found else pa.array([], kind)], names=[*(n for n in batch.schema.names if n != _LETTERS), name])
+
+    out = StructType([*documents.schema.fields, StructField(name, StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
+    return documents.withColumn(_LETTERS, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out)
+
 
-    text = F.col("text").cast("string")
-    scan = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), fold("doc_id", 5, 0).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return scan.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def identify(documents: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
+    """Per document: held_out, lang_pred and score, the posterior of the predicted language under equal priors."""
+    model = Model.fit(documents, vocabulary_path)
+    scan = documents.select(F.col("doc_id").cast("long").alias("doc_id"), fold("doc_id", 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return mark(scan, model).select("doc_id", "held_out", "language.lang_pred", "language.score")

@@ -50,8 +50,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read(spark, sf_dir, "documents")).drop("row_key", "terms")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_media, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op9_suffix, op10_pii)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_toxicity, op2_media, op3_quality, op4_lines, op5_language, op6_decontaminate, op7_pack, op8_near, op9_suffix, op10_pii)}
 
 
 def oracle_sql() -> dict:
