@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Pairs for each task of a round.
+PAIRS = 250_000
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on pairs (a, b) with a > b. Minima are partial sums; the join back is on single rows, which may be split."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))  # AQE may broadcast it where it is small
     joined = both.join(least, "a")
     moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where(F.col("a") != F.col("b")).distinct()
@@ -24,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     about the logarithm of the longest path.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    state = None
+    state, tasks = None, max(8, edges.count() // PAIRS)
     while True:
-        pairs = cut(_stars(_stars(pairs, True), False))
+        pairs = cut(_stars(_stars(pairs, True).coalesce(tasks), False).coalesce(tasks))
         r = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (r.n, r.s) == state:
             break

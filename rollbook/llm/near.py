@@ -8,10 +8,11 @@ probability Jaccard similarity of their runs. Registers are banded, documents th
 candidates, and candidates are verified by the exact Jaccard similarity of their sets of runs.
 
 Texts with equal word sequences are one unit, sketched once. In a band's bucket of a few units all pairs
-are candidates. In a larger one every unit is compared with the bucket's most central unit; units that
-are then in another class than that one are compared with further central units of the bucket, round
-after round until a round links nothing, and finally with all units of the bucket. So no pair list of a
-large group is made. Links are joined to classes by connected components.
+are candidates. In a larger one all sketches are compared with each other, in memory, and the pairs that
+may be alike enough are thinned to a spanning forest of the best estimates: whatever similar pairs connect,
+the forest connects. So no pair list of a large group is made. A bucket of more units than a block is dealt
+into blocks by a hash, and every unit is also compared with a few units of the whole bucket. Links are
+joined to classes by connected components.
 
 Defined cases: a text without words (null, empty, punctuation) is its own class; a class is named by its
 smallest doc_id, nulls last; repeated rows are members of one class; extra columns are ignored; an empty
@@ -36,10 +37,11 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Buckets of so many units at most give all their pairs.
 SMALL = 8
-#: In larger ones, so many leads are tried in each round, ...
-LEADS = 8
-#: ... and in the end all pairs of units that are still apart with all others, if a bucket has no more than this.
-ALL_PAIRS = 20_000
+#: In larger ones, units are compared by their sketches if they may be this much less alike than asked (about
+#: four standard errors of the estimate), in blocks of so many units, ...
+SLACK, BLOCK = 0.12, 4096
+#: ... and where there are several blocks, with so many units of the whole bucket.
+LEADS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _KEYS = np.arange(1, ROWS + 1).astype(np.uint64) * _STEP
@@ -99,8 +101,8 @@ def bands(kept: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, unit, keys): band keys only where a task meets a unit for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, unit, keys, sketch): band keys and a byte of each register only where a task meets a unit for the first time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()
@@ -116,11 +118,12 @@ def sketches(documents: DataFrame) -> DataFrame:
                 row, element, weight = weighted(words)
                 number = np.cumsum(fresh) - 1
                 own = fresh[row]
-                keys = bands(prob_min_hash(number[row[own]], element[own], weight[own], int(fresh.sum()))) if fresh.any() else np.zeros((0, BANDS), np.int64)
+                kept = prob_min_hash(number[row[own]], element[own], weight[own], int(fresh.sum())) if fresh.any() else np.zeros((0, REGISTERS), np.uint64)
+                keys, small = bands(kept), mix(kept).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)), pa.array(keys.ravel()))
-                yield table(schema, doc_id=batch.column("doc_id")[first:end], unit=pa.array(unit, pa.int64(), mask=unit == 0), keys=lists)
+                yield table(schema, doc_id=batch.column("doc_id")[first:end], unit=pa.array(unit, pa.int64(), mask=unit == 0), keys=lists, sketch=[small[k].tobytes() if f else None for f, k in zip(fresh, number, strict=True)])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, keys array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, keys array<long>, sketch binary")
 
 
 def with_unit(documents: DataFrame, name: str = "unit", text: str = "text") -> DataFrame:
@@ -187,52 +190,73 @@ def texts_once(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "unit long, text string")
 
 
-def bucket_members(sketched: DataFrame) -> DataFrame:
-    """(key, unit, n, weight) of buckets of n > 1 units; a unit that meets many others has a large weight."""
-    one = sketched.where(F.size("keys") > 0).groupBy("unit").agg(F.first("keys").alias("keys"))
+def bucket_members(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit, keys, sketch) of every unit, and (key, unit, n) of buckets of n > 1 units."""
+    one = sketched.where(F.size("keys") > 0).groupBy("unit").agg(F.min(F.struct("keys", "sketch")).alias("s")).select("unit", "s.keys", "s.sketch")
     exploded = one.select("unit", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = exploded.join(sizes, "key")
-    return found.join(found.groupBy("unit").agg(F.sum("n").alias("weight")), "unit").select("key", "unit", "n", F.struct("weight", F.col("unit").alias("u")).alias("weight"))
+    return one, exploded.join(sizes, "key").select("key", "unit", "n")
+
+
+def forest(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs of rows that agree in at least so many registers: each row's best, then the best between sets of
+    rows that no pair joins yet, until all that can be joined are (Boruvka). Ties go to the first row."""
+    n = len(sketch)
+    agree = np.zeros((n, n), np.uint8)
+    step = max(1, (4 << 20) // max(1, n * sketch.shape[1]))
+    for k in range(0, n, step):
+        agree[k : k + step] = (sketch[k : k + step, None, :] == sketch[None, :, :]).sum(2, dtype=np.uint8)
+    np.fill_diagonal(agree, 0)
+    agree[agree < least] = 0
+    out, root = set(), np.arange(n)
+    best = agree.argmax(1)
+    found = [(i, int(b)) for i, b in enumerate(best) if agree[i, b]]
+    second = agree.copy()
+    second[np.arange(n), best] = 0
+    out.update((max(i, int(b)), min(i, int(b))) for i, b in enumerate(second.argmax(1)) if second[i, b])
+    while found:
+        out.update((max(p), min(p)) for p in found)
+        for i, j in found:
+            root[root == root[i]] = root[j]
+        open_ = np.where(root[:, None] == root[None, :], 0, agree)
+        best = open_.argmax(1)
+        value = open_[np.arange(n), best]
+        leaders: dict[int, int] = {}
+        for i in np.flatnonzero(value):
+            r = int(root[i])
+            if r not in leaders or value[i] > value[leaders[r]]:
+                leaders[r] = int(i)
+        found = [(i, int(best[i])) for i in leaders.values()]
+    return sorted(out)
 
 
 def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs of units that connect every class; sketched is a stored result of sketches()."""
-    members = cut(bucket_members(sketched))
+    one, found = bucket_members(sketched)
+    members = cut(found)
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("unit").alias("u"))
     small = few.select(F.explode(F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, SMALL), lambda y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")))))).alias("p")).select("p.a", "p.b")
     large = members.where(F.col("n") > SMALL)
-    texts = cut(texts_once(documents).join(members.select("unit").distinct(), "unit").groupBy("unit").agg(F.first("text").alias("text")))
-
-    def pairs(joined: DataFrame) -> DataFrame:
-        return joined.select(F.greatest("unit", "lead").alias("a"), F.least("unit", "lead").alias("b")).where("a != b").distinct()
-
-    central = large.groupBy("key").agg(F.max_by("unit", "weight").alias("lead"))
-    tried = cut(small.distinct().unionByName(pairs(large.join(central, "key"))).distinct())
-    found = cut(verified(tried, texts, similarity))
-    turn, linked = 0, 1
-    while True:
-        # units that are apart from their bucket's central one are compared with more units of the bucket
-        roots = components(found).select(F.col("node").alias("unit"), "root")
-        labelled = cut(large.join(roots, "unit", "left").select("key", "unit", "n", "weight", F.coalesce("root", "unit").alias("root")))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("root", "weight").alias("main")).where("lo < hi").select("key", "main")
-        apart = labelled.join(mixed, "key").where("root != main").select("key", "unit", "n", "root")
-        last = turn >= 2 and not linked
-        if last:
-            sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("apart"))
-            leads = labelled.select("key", F.col("unit").alias("lead"), F.col("root").alias("lead_root"))
-            joined = apart.join(sizes, "key").where(F.col("apart") * F.col("n") <= ALL_PAIRS).join(leads, "key")
-        else:
-            leads = labelled.join(mixed, "key").groupBy("key", F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(LEADS))).agg(F.max_by("unit", "weight").alias("lead"), F.max_by("root", "weight").alias("lead_root"))
-            joined = apart.join(leads.select("key", "lead", "lead_root"), "key")
-        fresh = cut(pairs(joined.where("root != lead_root")).join(tried, ["a", "b"], "left_anti"))
-        more = cut(verified(fresh, texts, similarity))
-        linked = more.count()
-        if linked:
-            found, tried = cut(found.unionByName(more)), tried.unionByName(fresh)
-        turn += 1
-        if last and not linked:
-            return found
+    least = int((similarity - SLACK) * REGISTERS)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        unit = rows.column("unit").to_numpy()
+        order = np.argsort(unit)
+        unit, sketch = unit[order], np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+        pairs = forest(sketch, least)
+        a, b = unit[[p[0] for p in pairs]], unit[[p[1] for p in pairs]]
+        return pa.table([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], schema=schema)
+
+    blocked = large.withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / BLOCK)))
+    forests = blocked.join(one.select("unit", "sketch"), "unit").select("key", "block", "unit", "sketch").groupBy("key", "block").applyInArrow(run, "a long, b long")
+    huge = large.where(F.col("n") > BLOCK)
+    leads = huge.groupBy("key", F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(LEADS))).agg(F.min("unit").alias("lead"))
+    stars = huge.join(leads.select("key", "lead"), "key").where("unit != lead").select(F.greatest("unit", "lead").alias("a"), F.least("unit", "lead").alias("b"))
+    pairs = cut(small.unionByName(forests).unionByName(stars).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+    texts = cut(texts_once(documents).hint("merge").join(wanted, "unit").groupBy("unit").agg(F.first("text").alias("text")))
+    return cut(verified(pairs, texts, similarity))
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
