@@ -30,7 +30,7 @@ from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
 #: Contexts of a shard, about; an anchor with more of them is spread.
-SHARD, HOT = 2048, 4096
+SHARD, HOT = 1536, 4096
 #: Digest ranges for the exchange between shards.
 RANGES = 64
 _SLICE = 1 << 21
@@ -63,58 +63,43 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of a byte string in order.
 
-    Larsson-Sadakane: suffixes are grouped by their first 8 bytes; each round sorts the members of groups
-    that are still mixed by the group of the suffix as many bytes further on, which doubles the depth.
+    Larsson-Sadakane: suffixes are grouped by their first 7 bytes; each round sorts the members of groups
+    that are still mixed by the groups of the suffixes as many and twice as many bytes further on, which
+    triples the depth (in a string too long for three ranks in a key, it doubles it).
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    if not n:
+        return np.zeros(0, np.int64)
+    if n >= 1 << 31:
+        raise ValueError("a shard holds two billion bytes at most")
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << _U(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-
-    def number(sorted_at: np.ndarray, new: np.ndarray, base: np.ndarray | int) -> np.ndarray:
-        """A group's rank is the place of its first member."""
-        return np.maximum.accumulate(np.where(new, base, 0)) if len(sorted_at) else new
-
+    for k in range(7):
+        key |= padded[k : k + n].astype(np.uint64) << _U(8 * (7 - k))
+    key |= np.minimum(np.arange(n, 0, -1), 7).astype(np.uint64)  # of equal padded keys the shorter suffix is first
+    order = np.argsort(key)
+    ordered = key[order]
     new = np.ones(n, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
-    # shorter suffixes than the key have been padded with zeros: they are told apart by their length
-    tail = np.flatnonzero(order > n - 8)
-    new[tail] = True
-    new[np.minimum(tail + 1, n - 1)] = True
-    if len(tail):
-        order, new = _by_length(order, key, n)
-    place = np.arange(n)
-    rank[order] = number(order, new, place)
-    depth = 8
-    while True:
-        mixed = ~(new & np.append(new[1:], True))
-        at = np.flatnonzero(mixed)
-        if not len(at):
-            return order
+    new[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(n + 1, np.int64)  # a group's rank is the place of its first member
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at, depth = np.flatnonzero(~(new & np.append(new[1:], True))), 7
+    times = 3 if n < (1 << 20) - 1 else 2  # how many ranks fit into one key
+    bits = 20 if times == 3 else 31
+    while len(at):
         some = order[at]
-        group, further = rank[some], rank[np.minimum(some + depth, n)]
-        by = np.lexsort((further, group)) if n >= 1 << 31 else np.argsort((group << 32) | (further + 1), kind="stable")
-        some, group, further = some[by], group[by], further[by]
-        order[at] = some
+        joint = rank[some]
+        for k in range(1, times):
+            joint = (joint << bits) | (rank[np.minimum(some + k * depth, n)] + 1)
+        by = np.argsort(joint)
+        some = order[at] = some[by]
+        joint = joint[by]
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (further[1:] != further[:-1])
-        new[at] = fresh
-        rank[some] = number(some, fresh, at)
-        depth *= 2
-
-
-def _by_length(order: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order and group borders with each suffix shorter than the key before longer ones of the same padded key."""
-    size = np.minimum(n - order, 8)
-    order = order[np.lexsort((size, key[order]))]
-    size = np.minimum(n - order, 8)
-    new = np.ones(n, bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]) | (size[1:] != size[:-1])
-    return order, new
+        fresh[1:] = joint[1:] != joint[:-1]
+        rank[some] = np.maximum.accumulate(np.where(fresh, at, 0))
+        at, depth = at[~(fresh & np.append(fresh[1:], True))], times * depth
+    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
