@@ -34,9 +34,9 @@ from .textkernel import blocks, prefix_hashes, span_hashes, table
 UNIT, FILL = 576, 255
 #: Chunk lengths in bytes: least, about average above it, greatest.
 LEAST, BITS, MOST = 1024, 11, 8192
-LEVEL = 9
+LEVEL = 17
 #: Texts, chosen by a hash, that the compression dictionary is trained on, and its size in bytes.
-SAMPLE, DICTIONARY = 1000, 16384
+SAMPLE, DICTIONARY = 1000, 65536
 _U = np.uint64
 _GEAR = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -106,17 +106,21 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def digest_of(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
 def _pieces(whole: bytes):
     """(digest, chunk) in order."""
     at = 0
     for end in cuts(np.frombuffer(whole, np.uint8)):
-        yield hashlib.blake2b(whole[at:end], digest_size=16).digest(), whole[at:end]
+        yield digest_of(whole[at:end]), whole[at:end]
         at = end
 
 
 def lists(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, n_bytes, sha, digests) of every row; the list only where a task meets a text for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("digests", pa.list_(pa.binary()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary()))])
 
     def run(batches):
         seen: set[int] = set()
@@ -128,21 +132,21 @@ def lists(documents: DataFrame) -> DataFrame:
                     fresh = t not in seen
                     seen.add(t)
                     whole = payload(raw[a:b]) if fresh else b""
-                    sha.append(hashlib.sha256(whole).hexdigest() if fresh else None)
+                    sha.append(hashlib.sha256(whole).digest() if fresh else None)
                     digests.append([d for d, _ in _pieces(whole)] if fresh else None)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=sha, digests=digests)
 
-    return _texts(documents).mapInArrow(run, "doc_id long, tk long, n_bytes long, sha string, digests array<binary>")
+    return _texts(documents).mapInArrow(run, "doc_id long, tk long, n_bytes long, sha binary, digests array<binary>")
 
 
 def chunks(documents: DataFrame, trained: bytes) -> DataFrame:
-    """(digest, tk, pos, size, block) of every chunk, once for each task."""
-    schema = pa.schema([("digest", pa.binary()), ("tk", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("block", pa.binary())])
+    """(digest, tk, pos, block) of every chunk, once for each task."""
+    schema = pa.schema([("digest", pa.binary()), ("tk", pa.int64()), ("pos", pa.int32()), ("block", pa.binary())])
 
     def run(batches):
         texts: set[int] = set()
         given: set[bytes] = set()
-        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained), write_content_size=False, write_checksum=False, write_dict_id=False)
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained), write_content_size=True, write_checksum=False, write_dict_id=False)
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column("text")):
                 raw, rows = data.tobytes(), []
@@ -153,18 +157,18 @@ def chunks(documents: DataFrame, trained: bytes) -> DataFrame:
                     for pos, (digest, part) in enumerate(_pieces(payload(raw[a:b]))):
                         if digest not in given:
                             given.add(digest)
-                            rows.append((digest, tk, pos, len(part), pack.compress(part)))
+                            rows.append((digest, tk, pos, pack.compress(part)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return _texts(documents).mapInArrow(run, "digest binary, tk long, pos int, size int, block binary")
+    return _texts(documents).mapInArrow(run, "digest binary, tk long, pos int, block binary")
 
 
 def store(documents: DataFrame, trained: bytes, references: DataFrame) -> DataFrame:
-    """The chunk store in the shared folder: (digest, tk, pos, size, block, uses), every chunk once, with the place that gave it."""
-    one = chunks(documents, trained).groupBy("digest").agg(F.min(F.struct("tk", "pos", "size", "block")).alias("c"))
+    """The chunk store in the shared folder: (digest, tk, pos, block, uses), every chunk once, with the place that gave it."""
+    one = chunks(documents, trained).groupBy("digest").agg(F.min(F.struct("tk", "pos", "block")).alias("c"))
     uses = references.groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
-    return cut(one.join(uses, "digest").select("digest", "c.tk", "c.pos", "c.size", "c.block", "uses"))
+    return cut(one.join(uses, "digest").select("digest", "c.tk", "c.pos", "c.block", "uses"))
 
 
 def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained: bytes) -> DataFrame:
@@ -179,13 +183,13 @@ def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained:
         held: list[tuple] = []  # the head and chunks of the payload that is being read
 
         def finish():
-            (tk, _, head, n, _), parts = held[0], [h[2:] for h in held[1:]]
-            whole = b"".join(unpack.decompress(block, max_output_size=size) for _, size, block in parts)
-            found = hashlib.sha256(whole).hexdigest()
-            if len(parts) != n or found != head.decode():
-                raise ValueError(f"payload {tk}: {len(parts)} of {n} chunks, sha256 {found}, expected {head.decode()}")
-            media = manifest(len(whole), parts)
-            return tk, len(whole), found, zlib.crc32(whole[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(whole, np.uint8), [p[1] for p in parts])
+            (tk, _, head), parts = held[0], [unpack.decompress(h[2]) for h in held[1:]]
+            whole = b"".join(parts)
+            found, (n, sha) = hashlib.sha256(whole), struct.unpack("<I32s", head)
+            if len(parts) != n or found.digest() != sha:
+                raise ValueError(f"payload {tk}: {len(parts)} of {n} chunks, sha256 {found.hexdigest()}, expected {sha.hex()}")
+            media = manifest(len(whole), [(digest_of(p), len(p), h[2]) for p, h in zip(parts, held[1:], strict=True)])
+            return tk, len(whole), found.hexdigest(), zlib.crc32(whole[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(whole, np.uint8), [len(p) for p in parts])
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
@@ -203,10 +207,12 @@ def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained:
         if held:
             yield out([finish()])
 
-    first = stored.select("tk", "pos", "digest", "size", "block")
-    shared = stored.where("uses > 1").select("digest", F.col("tk").alias("tk0"), F.col("pos").alias("pos0"), "size", "block")
-    further = references.join(shared, "digest").where((F.col("tk") != F.col("tk0")) | (F.col("pos") != F.col("pos0"))).select("tk", "pos", "digest", "size", "block")
-    meta = heads.select("tk", F.lit(-1).alias("pos"), F.col("sha").cast("binary").alias("digest"), F.size("digests").alias("size"), F.lit(b"").alias("block"))
+    first = stored.select("tk", "pos", "block")
+    shared = stored.where("uses > 1").select("digest", F.col("tk").alias("tk0"), F.col("pos").alias("pos0"), "block")
+    further = references.join(shared, "digest").where((F.col("tk") != F.col("tk0")) | (F.col("pos") != F.col("pos0"))).select("tk", "pos", "block")
+    n = F.size("digests")
+    little_endian = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0")) for k in range(4)))
+    meta = heads.select("tk", F.lit(-1).alias("pos"), F.concat(little_endian, F.col("sha")).alias("block"))
     ordered = first.unionByName(further).unionByName(meta).repartition("tk").sortWithinPartitions("tk", "pos")
     return ordered.mapInArrow(run, "tk long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
@@ -214,6 +220,6 @@ def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained:
 def media(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, and the values of its payload as read back from the store."""
     trained, rows = dictionary(documents), cut(lists(documents))
-    heads = cut(rows.where("sha is not null").groupBy("tk").agg(F.min("sha").alias("sha"), F.min("digests").alias("digests")))
+    heads = rows.where("sha is not null").groupBy("tk").agg(F.min(F.struct("sha", "digests")).alias("h")).select("tk", "h.sha", "h.digests")
     references = heads.select("tk", F.posexplode("digests").alias("pos", "digest"))
     return rows.select("doc_id", "tk", "n_bytes").join(rebuild(store(documents, trained, references), heads, references, trained), "tk").drop("tk")
