@@ -2,10 +2,262 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import calendar
+from ..operators import duplicates, reports
+from ..operators import rows as R
+from ..operators import totals as T
+from . import adapter
+from .model import codes
+from .pipeline import Validated, validate
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def on_events(sql: str) -> str:
+    return adapter.SQL + sql
+
+
+def _all(spark: SparkSession, sf_dir: str) -> Validated:
+    return validate(adapter.sheets(spark, sf_dir), adapter.rows(spark, sf_dir))
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.typed(adapter.rows(spark, sf_dir))
+
+
+#: Sums of the workbook by sheet, as a further table expression.
+_SUMS = """, xs AS (SELECT doc_id, round(coalesce(sum(mp / 60.0), 0), 2) AS prog, round(coalesce(sum(me / 60.0), 0), 2) AS calc, round(coalesce(sum(dich_raw), 0), 2) AS dich,
+  round(coalesce(sum(CASE WHEN op THEN 0.0 ELSE coalesce(dich_raw, me / 60.0) END), 0), 2) AS ric, count(*) FILTER (CASE WHEN op THEN 0.0 ELSE coalesce(dich_raw, me / 60.0) END > 0) AS giorni,
+  count(*) FILTER (al) AS ass_al, count(*) FILTER (op) AS ass_op, count(*) FILTER (firma) AS firme FROM x GROUP BY doc_id) """
+
+_ROW_FINDINGS = """, f AS (
+SELECT doc_id, giorno, 'E03_ORARIO_NON_VALIDO' AS codice, 'errore' AS gravita, 'eff_entrata' AS campo FROM x WHERE ee_w AND ee IS NULL
+UNION ALL SELECT doc_id, giorno, 'E03_ORARIO_NON_VALIDO', 'errore', 'eff_uscita' FROM x WHERE eu_w AND eu IS NULL
+UNION ALL SELECT doc_id, giorno, 'E03_ORARIO_NON_VALIDO', 'errore', 'eff_uscita' FROM x WHERE eu <= ee
+UNION ALL SELECT doc_id, giorno, 'E03_ORARIO_NON_VALIDO', 'errore', 'eff_uscita' FROM x WHERE ee IS NOT NULL AND NOT eu_w
+UNION ALL SELECT doc_id, giorno, 'E01_ORE_NON_COERENTI', 'errore', 'ore_dichiarate' FROM x WHERE dich_raw > 24
+UNION ALL SELECT doc_id, giorno, 'E01_ORE_NON_COERENTI', 'errore', 'ore_dichiarate' FROM x WHERE abs(dich - me / 60.0) > 0.01 AND NOT op AND NOT (al AND dich < me / 60.0)
+UNION ALL SELECT doc_id, giorno, 'W12_ORE_NON_INDICATE', 'attenzione', 'ore_dichiarate' FROM x WHERE me IS NOT NULL AND dich_raw IS NULL AND NOT x_ore AND NOT op
+UNION ALL SELECT doc_id, giorno, 'W02_ORE_SENZA_ORARIO', 'attenzione', 'ore_dichiarate' FROM x WHERE dich > 0.01 AND NOT eff_w AND NOT al AND NOT op
+UNION ALL SELECT doc_id, giorno, 'W01_FIRMA_MANCANTE', 'attenzione', 'firma' FROM x WHERE prest AND NOT firma AND NOT op AND NOT i_firma
+UNION ALL SELECT doc_id, giorno, 'W03_GIORNO_FESTIVO', CASE WHEN tipo = 'sabato' THEN 'info' ELSE 'attenzione' END, NULL FROM x WHERE prest AND NOT op AND tipo <> 'feriale'
+UNION ALL SELECT doc_id, giorno, 'W05_ASSENZA_OPERATORE_CON_ORE', 'attenzione', 'assenza_operatore' FROM x WHERE op AND prest
+UNION ALL SELECT doc_id, giorno, 'W11_DOPPIA_ASSENZA', 'attenzione', 'assenza_alunno' FROM x WHERE al AND op
+UNION ALL SELECT doc_id, giorno, 'I01_ASSENZA_ALUNNO', 'info', 'assenza_alunno' FROM x WHERE al
+UNION ALL SELECT doc_id, giorno, 'I02_ASSENZA_OPERATORE', 'info', 'assenza_operatore' FROM x WHERE op
+UNION ALL SELECT doc_id, giorno, 'I03_ORARIO_DIVERSO', 'info', CASE WHEN ee <> pe THEN 'eff_entrata' ELSE 'eff_uscita' END FROM x WHERE me IS NOT NULL AND mp IS NOT NULL AND NOT op AND (ee <> pe OR eu <> pu)
+UNION ALL SELECT doc_id, giorno, 'I04_ORE_SENZA_PROGRAMMATO', 'info', 'prog_entrata' FROM x WHERE me IS NOT NULL AND NOT op AND NOT prog_w
+UNION ALL SELECT doc_id, giorno, 'I05_NON_SVOLTO', 'info', 'eff_entrata' FROM x WHERE prog_w AND NOT eff_w AND (dich_raw IS NULL OR dich <= 0.01) AND NOT x_ore AND NOT al AND NOT op
+UNION ALL SELECT doc_id, giorno, 'E05_CAMPO_ILLEGGIBILE', 'errore', 'ore_dichiarate' FROM x WHERE x_ore
+UNION ALL SELECT doc_id, giorno, 'E05_CAMPO_ILLEGGIBILE', 'attenzione', 'note' FROM x WHERE x_note
+UNION ALL SELECT doc_id, giorno, 'W04_CAMPO_INCERTO', 'attenzione', 'eff_entrata' FROM x WHERE i_ee
+UNION ALL SELECT doc_id, giorno, 'W04_CAMPO_INCERTO', 'attenzione', 'firma' FROM x WHERE i_firma) """
+
+_WEEKS = """, wk AS (SELECT doc_id, settimana, round(sum(ric), 2) AS ore, bool_or(tipo = 'sabato' AND (ric > 0 OR prog_w OR eff_w)) AS sab FROM x GROUP BY ALL),
+sat AS (SELECT doc_id, bool_or(sab) AS sab FROM wk GROUP BY doc_id),
+cal AS (SELECT d.doc_id, pei, coalesce(sat.sab, false) AS sab, CAST(g AS INTEGER) AS g, isodow(make_date(anno, mese, CAST(g AS INTEGER))) AS dow, CAST((g + isodow(make_date(anno, mese, 1)) - 2) // 7 + 1 AS INTEGER) AS settimana, (mese = 1 AND g IN (1, 6)) AS festa
+  FROM (SELECT *, unnest(range(1, day(last_day(make_date(anno, mese, 1))) + 1)) AS g FROM d) d LEFT JOIN sat USING (doc_id)),
+wb AS (SELECT doc_id, settimana, any_value(pei) AS pei, min(g) AS dal, max(g) AS al_, count(*) FILTER (NOT festa AND (dow < 6 OR (dow = 6 AND sab))) * any_value(pei) * 1.0 / any_value(CASE WHEN sab THEN 6 ELSE 5 END) AS share FROM cal GROUP BY ALL),
+weeks AS (SELECT wb.doc_id, wb.settimana, dal, al_ AS "al", CAST(coalesce(ore, 0) AS DECIMAL(9,2)) AS ore, CAST(round(share, 2) AS DECIMAL(9,2)) AS ore_pei, CAST(pei AS DECIMAL(9,4)) AS ore_pei_doc FROM wb LEFT JOIN wk USING (doc_id, settimana)) """
+
+_SHEET_FINDINGS = """, tt AS (SELECT doc_id, round(coalesce(sum(dich), 0), 2) AS tot FROM x GROUP BY doc_id),
+g AS (
+SELECT doc_id, 'W08_FIRMA_COORDINATORE_MANCANTE' AS codice, 'attenzione' AS gravita, 'firma_coordinatore' AS campo FROM d WHERE user_id % 3 = 0
+UNION ALL SELECT doc_id, 'W09_TIMBRO_REFERENTE_MANCANTE', 'attenzione', 'timbro_referente' FROM d WHERE user_id % 4 = 0
+UNION ALL SELECT doc_id, 'E05_CAMPO_ILLEGGIBILE', 'attenzione', 'operatore' FROM d WHERE user_id % 53 = 0
+UNION ALL SELECT doc_id, 'W04_CAMPO_INCERTO', 'attenzione', 'operatore' FROM d WHERE user_id % 7 = 0 AND user_id % 53 <> 0
+UNION ALL SELECT doc_id, 'E02_TOTALE_MENSILE_DIVERSO', 'errore', 'totale_mensile_dichiarato' FROM d JOIN tt USING (doc_id) WHERE abs(tot - totale) > 0.01
+UNION ALL SELECT doc_id, 'W10_TOTALE_MENSILE_ASSENTE', 'attenzione', 'totale_mensile_dichiarato' FROM d WHERE totale IS NULL
+UNION ALL SELECT doc_id, 'W06_ORE_PEI_SUPERATE', 'attenzione', 'ore_pei' FROM weeks WHERE ore > ore_pei_doc + 0.01
+UNION ALL SELECT doc_id, 'E06_NON_FOGLIO_FIRMA', 'errore', NULL FROM d WHERE NOT is_sheet) """
+
+_STATES = """, af AS (SELECT doc_id, codice, gravita FROM f UNION ALL SELECT doc_id, codice, gravita FROM g),
+fl AS (SELECT doc_id, sum(i) AS campi_incerti, sum(k) AS campi_illeggibili FROM (SELECT doc_id, i_ee::INT + i_firma::INT AS i, x_ore::INT + x_note::INT AS k FROM x UNION ALL SELECT doc_id, (user_id % 7 = 0 AND user_id % 53 <> 0)::INT, (user_id % 53 = 0)::INT FROM d) GROUP BY doc_id),
+st AS (SELECT doc_id, CAST(campi_incerti AS BIGINT) AS campi_incerti, CAST(campi_illeggibili AS BIGINT) AS campi_illeggibili, coalesce(e, 0) AS n_errori, coalesce(w, 0) AS n_attenzioni, coalesce(i, 0) AS n_info, coalesce(m, 0) AS firme_mancanti,
+  CASE WHEN e > 0 THEN 'errori' WHEN coalesce(w, 0) + campi_incerti + campi_illeggibili > 0 THEN 'da_verificare' ELSE 'ok' END AS stato
+  FROM fl LEFT JOIN (SELECT doc_id, count(*) FILTER (gravita = 'errore') AS e, count(*) FILTER (gravita = 'attenzione') AS w, count(*) FILTER (gravita = 'info') AS i, count(*) FILTER (codice = 'W01_FIRMA_MANCANTE') AS m FROM af GROUP BY doc_id) USING (doc_id)) """
+
+_EXPORT = "status = 'completato' AND is_sheet"
+
+
+@query(on_events(_SUMS + f"""SELECT coalesce(op_key, '(illeggibile)') AS operatore, anno, mese, count(*) AS fogli, CAST(sum(ric) AS DECIMAL(18,2)) AS ore_riconosciute, CAST(sum(prog) AS DECIMAL(18,2)) AS ore_programmate,
+CAST(round(sum(ric) / nullif(sum(prog), 0), 4) AS DOUBLE) AS quota FROM d JOIN xs USING (doc_id) WHERE {_EXPORT} GROUP BY ALL"""))
+def hours_by_operator_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised hours by operator and month, and their share of the programmed ones."""
+    from ..functions.values import name_key
+
+    sheets = adapter.sheets(spark, sf_dir).where(duplicates.exportable())
+    joined = sheets.join(reports.sheet_sums(_typed(spark, sf_dir)), "doc_id").withColumn("operatore", F.coalesce(F.nullif(name_key(F.col("operatore")), F.lit("")), F.lit("(illeggibile)")))
+    out = joined.groupBy("operatore", "anno", "mese").agg(F.count(F.lit(1)).alias("fogli"), F.sum("ric").cast("decimal(18,2)").alias("ore_riconosciute"), F.sum("prog").cast("decimal(18,2)").alias("ore_programmate"))
+    return out.withColumn("quota", F.round(F.try_divide("ore_riconosciute", "ore_programmate").cast("double"), 4))
+
+
+@query(on_events("SELECT doc_id, giorno, pe AS min_prog_entrata, pu AS min_prog_uscita, ee AS min_eff_entrata, eu AS min_eff_uscita, mp AS min_prog, me AS min_eff, CAST(dich AS DECIMAL(9,4)) AS dich, round(CAST(ric AS DOUBLE), 4) AS ric, tipo, settimana FROM x"))
+def day_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written times and hours as minutes and decimals, and the calendar's view of the day."""
+    r = _typed(spark, sf_dir)
+    return r.select("doc_id", "giorno", *(f"min_{c}" for c in ("prog_entrata", "prog_uscita", "eff_entrata", "eff_uscita", "prog", "eff")), "dich", F.round(F.col("ric").cast("double"), 4).alias("ric"), "tipo", "settimana")
+
+
+@query(on_events(_ROW_FINDINGS + "SELECT * FROM f"))
+def row_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of a row, in one pass."""
+    from ..operators import rules
+
+    return rules.row_findings(_typed(spark, sf_dir)).select("doc_id", "giorno", "codice", "gravita", "campo")
+
+
+@query(on_events(_WEEKS + _SHEET_FINDINGS + "SELECT * FROM g WHERE codice <> 'E06_NON_FOGLIO_FIRMA'"))
+def sheet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a sheet as a whole."""
+    from ..operators import rules
+
+    sheets, rows = adapter.sheets(spark, sf_dir), _typed(spark, sf_dir)
+    return rules.sheet_findings(sheets, T.month_totals(rows), T.week_totals(rows, sheets)).select("doc_id", "codice", "gravita", "campo")
+
+
+@query(on_events("""SELECT doc_id, CAST(round(coalesce(sum(mp / 60.0), 0), 2) AS DECIMAL(9,2)) AS ore_programmate, CAST(round(coalesce(sum(me / 60.0), 0), 2) AS DECIMAL(9,2)) AS ore_calcolate,
+CAST(round(coalesce(sum(dich), 0), 2) AS DECIMAL(9,2)) AS ore_dichiarate, CAST(round(sum(ric), 2) AS DECIMAL(9,2)) AS ore_riconosciute, count(*) FILTER (prog_w) AS giorni_programmati,
+count(*) FILTER (NOT op AND ric > 0) AS giorni_lavorati, count(*) FILTER (al) AS assenze_alunno, count(*) FILTER (op) AS assenze_operatore FROM x GROUP BY doc_id"""))
+def month_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hour sums, days and absences of each sheet."""
+    return T.month_totals(_typed(spark, sf_dir))
+
+
+@query(on_events(_WEEKS + "SELECT *, CAST(ore - ore_pei AS DECIMAL(9,2)) AS differenza FROM weeks"))
+def week_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of each week against its share of the weekly quota."""
+    return T.week_totals(_typed(spark, sf_dir), adapter.sheets(spark, sf_dir))
+
+
+@query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + "SELECT * FROM st"))
+def sheet_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity, flag counts, and the state of each sheet."""
+    return _all(spark, sf_dir).states
+
+
+_PEERS = f""", k AS (SELECT doc_id, op_key, alunno, mese, anno FROM d WHERE {_EXPORT} AND op_key IS NOT NULL),
+peers AS (SELECT a.doc_id, list(b.doc_id ORDER BY b.doc_id) AS peers FROM k a JOIN k b USING (op_key, alunno, mese, anno) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id) """
+
+
+@query(on_events(_PEERS + "SELECT doc_id, array_to_string(peers, ',') AS peers FROM peers"))
+def possible_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of the same operator, pupil and month, with the others of their group."""
+    return duplicates.duplicate_peers(adapter.sheets(spark, sf_dir)).withColumn("peers", F.array_join("peers", ","))
+
+
+@query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + _PEERS + f""", j AS (SELECT d.*, st.*EXCLUDE (doc_id), peers IS NOT NULL AS dup, {_EXPORT} AS done, (SELECT round(sum(ric), 2) FROM x WHERE x.doc_id = d.doc_id) AS ric FROM d LEFT JOIN st USING (doc_id) LEFT JOIN peers USING (doc_id))
+SELECT count(*) AS documenti, count(*) FILTER (done) AS completati, CAST(coalesce(sum(ric) FILTER (done), 0) AS DECIMAL(18,2)) AS ore_totali, CAST(coalesce(sum(n_errori) FILTER (done), 0) AS BIGINT) AS errori, CAST(coalesce(sum(n_attenzioni + dup::INT) FILTER (done), 0) AS BIGINT) AS attenzioni,
+CAST(coalesce(sum(campi_illeggibili) FILTER (done), 0) AS BIGINT) AS illeggibili, CAST(coalesce(sum(campi_incerti) FILTER (done), 0) AS BIGINT) AS incerti, count(*) FILTER (done AND (stato <> 'ok' OR dup) AND NOT verified) AS da_verificare, count(*) FILTER (done AND verified) AS verificati,
+count(*) FILTER (done AND dup) AS possibili_duplicati, count(*) FILTER (done AND stato = 'errori') AS documenti_con_errori, count(*) FILTER (status = 'in_coda') AS in_coda, count(*) FILTER (status = 'in_lavorazione') AS in_lavorazione, count(*) FILTER (status = 'errore') AS errori_elaborazione, count(*) FILTER (status = 'scartato') AS scartati FROM j"""))
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's figures."""
+    v = _all(spark, sf_dir)
+    return duplicates.kpis(v.sheets, v.states, v.totals, duplicates.duplicate_peers(v.sheets))
+
+
+@query(on_events("SELECT s.status, count(d.doc_id) AS n FROM (SELECT unnest(['in_coda', 'in_lavorazione', 'completato', 'errore', 'scartato']) AS status) s LEFT JOIN d USING (status) GROUP BY 1"))
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets by status, zero included."""
+    return duplicates.status_counts(adapter.sheets(spark, sf_dir))
+
+
+@query(on_events(_SUMS + _ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + f"""SELECT CAST(row_number() OVER (ORDER BY lower(operatore) NULLS LAST, anno, mese, lower(alunno), source_file, source_page, doc_id) AS BIGINT) AS n, doc_id, coalesce(operatore, '(illeggibile)') AS operatore, alunno, istituto, mese, anno,
+CAST(prog AS DECIMAL(12,2)) AS prog, CAST(calc AS DECIMAL(12,2)) AS calc, CAST(dich AS DECIMAL(12,2)) AS dich, CAST(ric AS DECIMAL(12,2)) AS ric, giorni, ass_al, ass_op, firme, n_errori AS errori, n_attenzioni AS attenzioni, stato
+FROM d JOIN xs USING (doc_id) JOIN st USING (doc_id) WHERE {_EXPORT}"""))
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One numbered row per exportable sheet."""
+    v = _all(spark, sf_dir)
+    return reports.summary(v.sheets, v.rows, v.states).drop("quota", "totale_mensile_dichiarato")
+
+
+@query()
+def detail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per exportable sheet and day, with its outcome in words."""
+    v = _all(spark, sf_dir)
+    return reports.detail(v.sheets, v.rows, v.findings, codes(spark))
+
+
+@query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + f"""SELECT codice, gravita, count(*) AS n, count(DISTINCT doc_id) AS fogli FROM (SELECT doc_id, codice, gravita FROM f UNION ALL SELECT doc_id, codice, gravita FROM g) JOIN d USING (doc_id) WHERE {_EXPORT} GROUP BY ALL"""))
+def findings_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of exportable sheets by code and severity."""
+    v = _all(spark, sf_dir)
+    table = reports.findings_table(v.sheets, v.findings, codes(spark))
+    return table.groupBy("codice", "gravita").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("fogli"))
+
+
+def _grouped_sql(label: str, other: str) -> str:
+    return on_events(_SUMS + f""", b AS (SELECT {label} AS label, {other} AS other, xs.* FROM d JOIN xs USING (doc_id) WHERE {_EXPORT}),
+q AS (SELECT min(label) AS gruppo, count(*) AS fogli, sum(ric) AS ric, sum(prog) AS prog, CAST(sum(giorni) AS BIGINT) AS giorni, CAST(sum(ass_al) AS BIGINT) AS ass_al, CAST(sum(ass_op) AS BIGINT) AS ass_op, array_to_string(list_sort(list(DISTINCT other)), ', ') AS altri FROM b GROUP BY lower(label)
+UNION ALL SELECT NULL, count(*), sum(ric), sum(prog), CAST(sum(giorni) AS BIGINT), CAST(sum(ass_al) AS BIGINT), CAST(sum(ass_op) AS BIGINT), NULL FROM b)
+SELECT gruppo, fogli, CAST(ric AS DECIMAL(18,2)) AS ric, CAST(prog AS DECIMAL(18,2)) AS prog, giorni, ass_al, ass_op, altri, coalesce(gruppo LIKE '(%', false) AS segnaposto FROM q""")
+
+
+@query(_grouped_sql("coalesce(operatore, '(illeggibile)')", "alunno"))
+def totals_by_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by operator with a section total."""
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "operatore", "alunno").drop("quota")
+
+
+@query(_grouped_sql("alunno", "coalesce(operatore, '(illeggibile)')"))
+def totals_by_pupil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by pupil with a section total."""
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "alunno", "operatore").drop("quota")
+
+
+@query(_grouped_sql("istituto", "coalesce(operatore, '(illeggibile)')"))
+def totals_by_school(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by school with a section total."""
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "istituto", "operatore").drop("quota")
+
+
+@query(on_events(_SUMS + f"""SELECT lower(istituto) AS gruppo, CAST(sum(ric) FILTER (anno = 2024 AND mese = 1) AS DECIMAL(18,2)) AS "2024-01", CAST(sum(ric) FILTER (anno = 2024 AND mese = 2) AS DECIMAL(18,2)) AS "2024-02" FROM d JOIN xs USING (doc_id) WHERE {_EXPORT} GROUP BY 1"""))
+def hours_pivot_by_school(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised hours by school and month."""
+    return reports.month_pivot(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "istituto", ["2024-01", "2024-02"])
+
+
+@query(on_events("SELECT engine, model, count(*) AS documenti, CAST(round(avg(confidence), 4) AS DOUBLE) AS confidenza FROM d GROUP BY ALL"))
+def reader_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets and mean confidence by reader."""
+    return reports.reader_statistics(adapter.sheets(spark, sf_dir))
+
+
+@query(on_events("SELECT doc_id, source_file, source_page FROM d WHERE contains(lower(concat_ws(' ', operatore, alunno, istituto, 'Coop', source_file, mese, anno)), 'rossi') AND contains(lower(concat_ws(' ', operatore, alunno, istituto, 'Coop', replace(source_file, '.', ' '), mese, anno)), 'scan1')"))
+def sheet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets that hold all words of a search."""
+    return reports.search(adapter.sheets(spark, sf_dir), "róssi SCAN1").select("doc_id", "source_file", "source_page")
+
+
+@query("""WITH y AS (SELECT unnest(range(2000, 2101)) AS anno), p AS (SELECT anno, anno % 19 AS a, anno // 100 AS b, anno % 100 AS c FROM y),
+q AS (SELECT anno, a, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h, b, c FROM p),
+w AS (SELECT anno, a, h, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM q), e AS (SELECT anno, h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 114 AS z FROM w),
+pasqua AS (SELECT anno, make_date(CAST(anno AS INTEGER), CAST(z // 31 AS INTEGER), CAST(z % 31 + 1 AS INTEGER)) AS pasqua FROM e),
+dd AS (SELECT CAST(unnest(generate_series(DATE '2000-01-01', DATE '2100-12-31', INTERVAL 1 DAY)) AS DATE) AS data),
+k AS (SELECT data, year(data) AS anno, month(data) AS mese, day(data) AS giorno, isodow(data) AS dow, data = pasqua OR data = pasqua + 1 OR (month(data), day(data)) IN ((1,1),(1,6),(4,25),(5,1),(6,2),(8,15),(9,19),(11,1),(12,8),(12,25),(12,26)) OR (month(data) = 10 AND day(data) = 4 AND year(data) >= 2026) AS festa FROM dd JOIN pasqua ON year(data) = pasqua.anno)
+SELECT anno, mese, CASE WHEN festa THEN 'festivo' WHEN dow = 7 THEN 'domenica' WHEN dow = 6 THEN 'sabato' ELSE 'feriale' END AS tipo, CAST((giorno + isodow(make_date(anno, mese, 1)) - 2) // 7 + 1 AS INTEGER) AS settimana, count(*) AS n, CAST(min(giorno) AS INTEGER) AS primo FROM k GROUP BY ALL""")
+def school_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of each kind by month and week, 2000 to 2100."""
+    return calendar.days(spark).groupBy("anno", "mese", "tipo", "settimana").agg(F.count(F.lit(1)).alias("n"), F.min("giorno").alias("primo"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
