@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .frames import map_arrow
 from .textkernel import FOLD, Words, blocks, table
 
 WINDOW = 10
@@ -136,7 +137,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                     items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], contaminated=[n > 0 for n in hits], items=found, spans=spans,
                 )
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").transform(map_arrow, run, SCHEMA)
 
 
 def mark(documents: DataFrame, benchmark: DataFrame, name: str = "n_hit", window: int = WINDOW) -> DataFrame:
@@ -149,7 +150,7 @@ def mark(documents: DataFrame, benchmark: DataFrame, name: str = "n_hit", window
             hits = [int(hit.sum()) for _, _, data, offsets in blocks(batch.column("text")) for _, _, hit, _ in scan_block(data, offsets, machine)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64())], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(name, LongType())]))
+    return documents.transform(map_arrow, run, StructType([*documents.schema.fields, StructField(name, LongType())]))
 
 
 ORACLE_SQL = r"""

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 holds tens of MB on both sides.
+ROWS = 1000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,3 +37,28 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     )
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
+
+
+def release() -> None:
+    """Gives freed memory back to the system; Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of a bounded number of rows, whose memory is given back after each task."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_ROWS_KEY)) > ROWS:
+        conf.set(_ROWS_KEY, str(ROWS))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .frames import fold
+from .frames import fold, map_arrow
 from .textkernel import FOLD_LETTERS, Words, blocks, hash_bytes, prefix_hashes, span_hashes
 
 #: Documents sampled for each language to learn its pieces: a hash of the id keeps about this many.
@@ -36,7 +36,7 @@ SPAN = 32
 PIECE = 12
 ROUNDS = 4
 _MARK = 0x20
-_CACHE = 400_000
+_CACHE = 200_000
 _LETTERS = "_rollbook_letters"
 
 
@@ -63,7 +63,7 @@ def default_vocabulary() -> str:
 class Lookup:
     """Piece hashes to piece numbers by a two-way table; the number of pieces stands for none."""
 
-    BITS = 21
+    BITS = 20
 
     def __init__(self, pieces: list[bytes]):
         self.none = len(pieces)
@@ -192,7 +192,7 @@ def word_counts(documents: DataFrame) -> dict[str, dict[bytes, int]]:
                 yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[one])), pa.array([raw[words.start[i] : words.end[i]] for i in one], pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     counts: dict[str, dict[bytes, int]] = {k: {} for k in sizes}
-    for r in drawn.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
+    for r in drawn.select("lang", "text").transform(map_arrow, run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pylist():
         counts[r["lang"]][r["word"]] = r["n"]
     return counts
 
@@ -269,7 +269,7 @@ def mark(documents: DataFrame, model: Model, name: str = "language") -> DataFram
             yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(found) if found else pa.array([], kind)], names=[*(n for n in batch.schema.names if n != _LETTERS), name])
 
     out = StructType([*documents.schema.fields, StructField(name, StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))])
-    return documents.withColumn(_LETTERS, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, out)
+    return documents.withColumn(_LETTERS, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).transform(map_arrow, run, out)
 
 
 def identify(documents: DataFrame, vocabulary_path: str | None = None) -> DataFrame:

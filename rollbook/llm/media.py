@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .frames import map_arrow
 from .textkernel import blocks, prefix_hashes, span_hashes, table
 
 UNIT, FILL = 576, 255
 #: Chunk lengths in bytes: least, about average above it, greatest.
 LEAST, BITS, MOST = 1024, 11, 8192
-LEVEL = 17
+LEVEL = 19
 #: Texts, chosen by a hash, that the compression dictionary is trained on, and its size in bytes.
-SAMPLE, DICTIONARY = 1000, 65536
+SAMPLE, DICTIONARY = 1000, 112640
 _U = np.uint64
 _GEAR = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -136,7 +137,7 @@ def lists(documents: DataFrame) -> DataFrame:
                     digests.append([d for d, _ in _pieces(whole)] if fresh else None)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=sha, digests=digests)
 
-    return _texts(documents).mapInArrow(run, "doc_id long, tk long, n_bytes long, sha binary, digests array<binary>")
+    return _texts(documents).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha binary, digests array<binary>")
 
 
 def chunks(documents: DataFrame, trained: bytes) -> DataFrame:
@@ -161,7 +162,7 @@ def chunks(documents: DataFrame, trained: bytes) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return _texts(documents).mapInArrow(run, "digest binary, tk long, pos int, block binary")
+    return _texts(documents).transform(map_arrow, run, "digest binary, tk long, pos int, block binary")
 
 
 def store(documents: DataFrame, trained: bytes, references: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained:
     little_endian = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0")) for k in range(4)))
     meta = heads.select("tk", F.lit(-1).alias("pos"), F.concat(little_endian, F.col("sha")).alias("block"))
     ordered = first.unionByName(further).unionByName(meta).repartition("tk").sortWithinPartitions("tk", "pos")
-    return ordered.mapInArrow(run, "tk long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ordered.transform(map_arrow, run, "tk long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media(documents: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut
 from .components import components
+from .frames import map_arrow
 from .textkernel import Words, blocks, mix, shingles, table
 
 SIZE = 5
@@ -123,7 +124,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)), pa.array(keys.ravel()))
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], unit=pa.array(unit, pa.int64(), mask=unit == 0), keys=lists, sketch=[small[k].tobytes() if f else None for f, k in zip(fresh, number, strict=True)])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, unit long, keys array<long>, sketch binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, unit long, keys array<long>, sketch binary")
 
 
 def with_unit(documents: DataFrame, name: str = "unit", text: str = "text") -> DataFrame:
@@ -135,7 +136,7 @@ def with_unit(documents: DataFrame, name: str = "unit", text: str = "text") -> D
             unit = np.concatenate([np.zeros(0, np.int64), *(units(Words(data, offsets)) for _, _, data, offsets in blocks(batch.column(text)))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unit, pa.int64(), mask=unit == 0)], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, schema)
+    return documents.transform(map_arrow, run, schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -168,7 +169,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
     left = texts.select(F.col("unit").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("unit").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").transform(map_arrow, run, "a long, b long, similarity double")
 
 
 def texts_once(documents: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def texts_once(documents: DataFrame) -> DataFrame:
                 if fresh:
                     yield table(schema, unit=unit[fresh], text=batch.column("text")[first:end].take(pa.array(fresh)))
 
-    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "unit long, text string")
+    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").transform(map_arrow, run, "unit long, text string")
 
 
 def bucket_members(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:

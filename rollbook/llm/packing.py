@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import map_arrow
 from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
 
 LENGTH = 4096
@@ -201,7 +202,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 dealt = mix(np.array(crc, np.uint64) ^ mix(total[row].astype(np.uint64) + np.uint64(1))) >> np.uint64(2)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end].take(pa.array(row)), start=start, length=size, ids_crc32=crc, doc_tokens=total[row], dealt=dealt.astype(np.int64))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, PIECES)
 
 
 class Tournament:

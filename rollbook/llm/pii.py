@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import letter_words
+from .frames import map_arrow
 from .textkernel import blocks, hash_bytes, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -148,7 +149,7 @@ def base(documents: DataFrame) -> DataFrame:
                 counts = {f"n_{k}": [sum(s[0] == k for s in x) for x in spans] for k in KINDS}
                 yield table(_SCAN, doc_id=part.column("doc_id"), row_key=part.column("row_key"), base=text, base_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in text], **counts)
 
-    return _texts(documents).mapInArrow(run, _ddl(_SCAN))
+    return _texts(documents).transform(map_arrow, run, _ddl(_SCAN))
 
 
 def mentions(documents: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def mentions(documents: DataFrame) -> DataFrame:
                         seen.add((entity, term))
                 yield table(_NEAR, row_key=[x[0] for x in found], entity=_hashes([x[1] for x in found]), term=_term_keys([x[2] for x in found]), start=[x[3] for x in found], end=[x[4] for x in found], first=[x[5] for x in found])
 
-    return _texts(documents).where(F.col("text").rlike("[0-9@]")).mapInArrow(run, _ddl(_NEAR))
+    return _texts(documents).where(F.col("text").rlike("[0-9@]")).transform(map_arrow, run, _ddl(_NEAR))
 
 
 def word_documents(documents: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def word_documents(documents: DataFrame) -> DataFrame:
         if len(held_key):
             yield out()
 
-    return _texts(documents).select("text").mapInArrow(run, _WORD_KEY).groupBy("word_key").agg(F.sum("n").alias("n"))
+    return _texts(documents).select("text").transform(map_arrow, run, _WORD_KEY).groupBy("word_key").agg(F.sum("n").alias("n"))
 
 
 def disclosing(near: DataFrame, words: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -233,4 +234,4 @@ def sanitise_documents(documents: DataFrame, **limits) -> DataFrame:
             split = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(","))] if s else [] for s in spans]
             yield table(schema, doc_id=batch.column("doc_id"), text=[sanitise(t, s, r) for t, s, r in zip(texts, split, removed, strict=True)], spans=spans)
 
-    return _texts(documents).join(found, "row_key").select("doc_id", "text", "spans", "terms").mapInArrow(run, "doc_id long, text string, spans string")
+    return _texts(documents).join(found, "row_key").select("doc_id", "text", "spans", "terms").transform(map_arrow, run, "doc_id long, text string, spans string")

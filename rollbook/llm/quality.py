@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, labelled_sample
+from .frames import fold, labelled_sample, map_arrow
 from .textkernel import Words, blocks, table
 from .toxicity import best_cut
 
@@ -152,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], y=batch.column("y")[first:end], bag=[x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
     drawn = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
-    rows = sorted(drawn.mapInArrow(run, "doc_id long, y int, bag binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bag"]))
+    rows = sorted(drawn.transform(map_arrow, run, "doc_id long, y int, bag binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["y"] for r in rows], int)
     if len(np.unique(y)) < 2:
         return None
@@ -191,4 +191,4 @@ def rate(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CL
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], held_out=batch.column("held_out")[first:end], score=score, predicted=(score >= CUT).astype(np.int32), n_passages=count, top_attention=top)
 
     scan = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold("doc_id", 3, 1).alias("held_out"))
-    return scan.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_attention double")
+    return scan.transform(map_arrow, run, "doc_id long, held_out boolean, score double, predicted int, n_passages long, top_attention double")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .frames import map_arrow
 from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
 
 LENGTH, GRAM = 200, 32
@@ -222,7 +223,7 @@ def scan(documents: DataFrame) -> DataFrame:
                 raw = memoryview(data)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=[hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], found=pa.ListArray.from_arrays(pa.array(edge), inner))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, tk long, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:long>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:long>>")
 
 
 def texts_once(documents: DataFrame) -> DataFrame:
@@ -242,7 +243,7 @@ def texts_once(documents: DataFrame) -> DataFrame:
                 if fresh:
                     yield table(schema, tk=tk[fresh], text=batch.column("text")[first:end].take(pa.array(fresh)))
 
-    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "tk long, text string")
+    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").transform(map_arrow, run, "tk long, text string")
 
 
 def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     by_text = wanted.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "pos", "many", "n")).alias("wanted"))
-    return texts.join(by_text, "tk").select("tk", "text", "wanted").mapInArrow(run, "anchor long, ctx long, tk long, start long, many boolean, n long, bytes binary")
+    return texts.join(by_text, "tk").select("tk", "text", "wanted").transform(map_arrow, run, "anchor long, ctx long, tk long, start long, many boolean, n long, bytes binary")
 
 
 _MARKS = "anchor long, ctx long, marks array<struct<lo:long,hi:long>>"
@@ -348,7 +349,7 @@ def removal(texts: DataFrame, intervals: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     by_text = intervals.groupBy("tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return texts.join(by_text, "tk").select("tk", "text", "lo", "hi").mapInArrow(run, "tk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
+    return texts.join(by_text, "tk").select("tk", "text", "lo", "hi").transform(map_arrow, run, "tk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _R = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2**64
 _R_INV = pow(_R, -1, 1 << 64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, labelled_sample
+from .frames import fold, labelled_sample, map_arrow
 from .textkernel import Words, blocks, prefix_hashes, span_hashes, table
 
 #: Learning rows used of each class; the sample, and so the driver's memory, is bounded by it.
@@ -232,7 +232,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], lang=batch.column("lang")[first:end], y=batch.column("y")[first:end], ids=[ids[a:b].tobytes() for a, b in zip(words.range[:-1], words.range[1:], strict=True)])
 
     drawn = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(sample, "doc_id")
-    rows = sorted(drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "y", "text").mapInArrow(run, "doc_id long, lang string, y int, ids binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
+    rows = sorted(drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "y", "text").transform(map_arrow, run, "doc_id long, lang string, y int, ids binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
     docs = [np.frombuffer(r["ids"], np.uint64).reshape(-1, PARTS) for r in rows]
     chosen = unlike(docs)
     rows, docs = [r for r, k in zip(rows, chosen, strict=True) if k], [d for d, k in zip(docs, chosen, strict=True) if k]
@@ -280,7 +280,7 @@ def detect(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], held_out=batch.column("held_out")[first:end], score=score, predicted=(score >= CUT).astype(np.int32), lang=batch.column("lang")[first:end])
 
     scan = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), fold("doc_id", 3, 1).alias("held_out"), F.col("lang").cast("string").alias("lang"))
-    out = scan.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, lang string")
+    out = scan.transform(map_arrow, run, "doc_id long, held_out boolean, score double, predicted int, lang string")
     known = F.lit(CUT)
     for lang, cut in sorted((model.thresholds if model else {}).items()):
         known = F.when(F.col("lang") == lang, F.lit(cut)).otherwise(known)
