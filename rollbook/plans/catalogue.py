@@ -255,6 +255,127 @@ def school_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.days(spark).groupBy("anno", "mese", "tipo", "settimana").agg(F.count(F.lit(1)).alias("n"), F.min("giorno").alias("primo"))
 
 
+_CELLS = """, c AS (SELECT doc_id, giorno, 'eff_entrata' AS campo, ee // 60 AS value FROM x WHERE ee IS NOT NULL UNION ALL SELECT doc_id, giorno, 'prog_entrata', pe FROM x WHERE pe IS NOT NULL) """
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _typed(spark, sf_dir)
+    one = lambda f, v: r.select("doc_id", "giorno", F.lit(f).alias("campo"), v.cast("int").alias("value"))
+    return one("eff_entrata", F.floor(F.col("min_eff_entrata") / 60)).unionByName(one("prog_entrata", F.col("min_prog_entrata")))
+
+
+@query(on_events(_CELLS + """, o AS (SELECT a.doc_id, a.campo, a.giorno, a.value, count(b.giorno) AS n, count(*) FILTER (b.value = a.value) AS same, min(b.value) AS minimo, max(b.value) AS massimo FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND a.campo = b.campo AND a.giorno <> b.giorno GROUP BY ALL),
+m AS (SELECT doc_id, campo, giorno, arg_max(v, (k, -v)) AS v, max(k) AS k FROM (SELECT a.doc_id, a.campo, a.giorno, b.value AS v, count(*) AS k FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.campo = b.campo AND a.giorno <> b.giorno GROUP BY ALL) GROUP BY ALL)
+SELECT o.doc_id, o.campo, o.giorno, o.value, CASE WHEN n >= 3 THEN round(same * 1.0 / n, 6) END AS quota, CASE WHEN k >= 0.6 * n THEN v END AS dominante, minimo, massimo FROM o LEFT JOIN m USING (doc_id, campo, giorno)"""))
+def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave-one-out statistics of a sheet's columns, without a self-join."""
+    from ..operators import readings
+
+    return readings.column_statistics(_cells(spark, sf_dir)).withColumn("quota", F.col("quota").cast("double"))
+
+
+@query(on_events(_CELLS + "SELECT a.doc_id, a.campo, a.giorno, a.value, count(b.giorno) >= 2 AND bool_and(coalesce(b.value = a.value, true)) AND count(b.giorno) >= 2 AS pari FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND a.campo = b.campo AND a.giorno <> b.giorno AND (a.giorno - b.giorno) % 7 = 0 GROUP BY ALL"))
+def weekday_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all cells of the same weekday agree."""
+    from ..operators import readings
+
+    return readings.weekday_peers(_cells(spark, sf_dir))
+
+
+@query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + """SELECT DISTINCT doc_id, giorno FROM (SELECT doc_id, giorno FROM f WHERE left(codice, 3) IN ('E01', 'E03', 'W01', 'W02', 'W05', 'W11', 'E05', 'W04')
+UNION ALL SELECT doc_id, giorno FROM x WHERE i_ee OR i_firma OR x_ore OR x_note UNION ALL SELECT doc_id, giorno FROM x JOIN (SELECT DISTINCT doc_id FROM g WHERE codice LIKE 'E02%') USING (doc_id) WHERE dich_raw IS NOT NULL OR ric > 0)"""))
+def rows_to_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that a second, targeted reading should look at."""
+    from ..operators import readings
+
+    v = _all(spark, sf_dir)
+    return readings.rows_to_reread(v.rows, v.findings)
+
+
+@query(on_events("""SELECT doc_id, anno, mese, CAST(sum(CASE WHEN tipo = 'sabato' THEN -0.5 WHEN tipo = 'feriale' THEN 0 ELSE -1.5 END) AS DOUBLE) AS penalty FROM (SELECT x.doc_id, h.anno, h.mese,
+CASE WHEN x.giorno > day(last_day(make_date(h.anno, h.mese, 1))) THEN 'inesistente' ELSE CASE WHEN (h.mese = 1 AND x.giorno IN (1, 6)) THEN 'festivo' WHEN isodow(make_date(h.anno, h.mese, least(x.giorno, day(last_day(make_date(h.anno, h.mese, 1)))))) = 7 THEN 'domenica' WHEN isodow(make_date(h.anno, h.mese, least(x.giorno, day(last_day(make_date(h.anno, h.mese, 1)))))) = 6 THEN 'sabato' ELSE 'feriale' END END AS tipo
+FROM x, (SELECT unnest([2023, 2024, 2025]) AS anno, 1 AS mese UNION ALL SELECT 2024, 2) h WHERE prest) GROUP BY ALL"""))
+def calendar_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How badly the worked days fit a month and year."""
+    from ..operators import readings
+    from ..operators.rows import pair_written
+
+    r = _typed(spark, sf_dir)
+    worked = r.where(pair_written("eff") | F.coalesce(F.col("dich") > 0.01, F.lit(False))).select("doc_id", "giorno")
+    hypotheses = spark.createDataFrame([(1, 2023), (1, 2024), (1, 2025), (2, 2024)], "mese int, anno int")
+    return readings.calendar_penalty(worked, hypotheses).withColumn("penalty", F.col("penalty").cast("double"))
+
+
+@query(on_events("SELECT doc_id, campo, chiave, valore FROM (SELECT doc_id, 'alunno' AS campo, concat(user_id % 60, ' AL') AS chiave, alunno AS valore, user_id FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'istituto', concat(user_id % 10, ' IC'), istituto, user_id FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'ente', 'COOP', 'Coop', user_id FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'operatore', op_key, operatore, user_id FROM d WHERE verified AND is_sheet AND user_id % 7 <> 0 AND operatore IS NOT NULL)"))
+def registry_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What confirmed sheets teach the registry."""
+    from ..operators import registry
+
+    sheets = adapter.sheets(spark, sf_dir).withColumns({"updated_at": F.col("doc_id"), "user_edited": F.array().cast("array<string>")})
+    return registry.contributions(sheets).drop("aggiornato")
+
+
+@query(on_events("SELECT campo, chiave, count(DISTINCT doc_id) AS conteggio FROM (SELECT doc_id, 'alunno' AS campo, concat(user_id % 60, ' AL') AS chiave FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'istituto', concat(user_id % 10, ' IC') FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'ente', 'COOP' FROM d WHERE verified AND is_sheet UNION ALL SELECT doc_id, 'operatore', op_key FROM d WHERE verified AND is_sheet AND user_id % 7 <> 0 AND operatore IS NOT NULL) GROUP BY ALL"))
+def registry_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry entries with the number of documents behind them."""
+    from ..operators import registry
+
+    sheets = adapter.sheets(spark, sf_dir).withColumns({"updated_at": F.col("doc_id"), "user_edited": F.array().cast("array<string>")})
+    return registry.values(registry.contributions(sheets)).select("campo", "chiave", "conteggio")
+
+
+@query()
+def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misread part names matched back to the catalogue of names: decisions and their counts."""
+    from ..operators import registry
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    from ..functions.values import name_key
+
+    vocabulary = part.select(F.lit("istituto").alias("campo"), name_key(F.col("p_name")).alias("chiave"), F.col("p_name").alias("valore")).groupBy("campo", "chiave").agg(F.min("valore").alias("valore"))
+    read = part.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit("istituto").alias("campo"), F.when(F.col("p_partkey") % 2 == 0, F.translate("p_name", "oi", "01")).otherwise(F.col("p_name")).alias("letto"))
+    return registry.match(read, vocabulary).select("doc_id", "letto", "esito", "valore", "somiglianza", "incerto")
+
+
+@query("SELECT o_custkey AS key, o_orderkey AS gen, o_orderstatus AS status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each key only the result of the latest generation."""
+    from ..streaming import ingest
+
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("gen"), F.col("o_orderstatus").alias("status"))
+    return ingest.latest(o, "key", "gen")
+
+
+@query("SELECT o_custkey AS doc_id, o_orderpriority AS campo, arg_min(o_orderstatus, o_orderkey) AS originale, arg_max(o_orderstatus, o_orderkey) AS valore, arg_min(o_orderstatus, o_orderkey) <> arg_max(o_orderstatus, o_orderkey) AS modificato FROM orders GROUP BY ALL")
+def edit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the latest value of edited fields."""
+    from ..streaming import ingest
+
+    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("campo"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("old"), F.col("o_orderstatus").alias("new"))
+    return ingest.edit_state(log)
+
+
+@query(on_events("SELECT i.pos, d.doc_id, status FROM (SELECT generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS doc_id FROM (SELECT ['5-2024-1', '3-2024-1', '5-2024-1', '9-2024-1', 'none'] AS l)) i JOIN d USING (doc_id)"))
+def selected_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets by a list of ids: its order and repeats are kept."""
+    ids = spark.createDataFrame([(k, x) for k, x in enumerate(["5-2024-1", "3-2024-1", "5-2024-1", "9-2024-1", "none"])], "pos long, doc_id string")
+    return ids.join(adapter.sheets(spark, sf_dir), "doc_id").select("pos", "doc_id", "status")
+
+
+@query()
+def reconciled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest coherent values of each row, from three alternatives of each field."""
+    from ..operators import readings
+    from .model import HOUR_FIELDS
+
+    r = _typed(spark, sf_dir)
+    value = {f: F.col(f"min_{f}") for f in HOUR_FIELDS[:4]} | {"ore_dichiarate": (F.col("dich") * 60).cast("int")}
+    options = lambda v: F.array(*(F.struct((v + d).cast("int").alias("value"), F.lit(p).alias("logprob")) for d, p in ((0, -0.5), (30, -1.2), (-60, -2.5))))
+    cells = F.array(*(F.struct(F.lit(f).alias("campo"), v.isNotNull().alias("known"), options(v).alias("candidates")) for f, v in value.items()))
+    read = r.select("doc_id", "giorno", F.explode(cells).alias("c")).select("doc_id", "giorno", "c.*").where("known").drop("known")
+    return readings.best_rows(read, r.select("doc_id", "giorno", F.col("assenza_alunno").alias("assente"))).withColumn("score", F.round("score", 6))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
