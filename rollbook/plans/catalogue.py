@@ -376,6 +376,52 @@ def reconciled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.best_rows(read, r.select("doc_id", "giorno", F.col("assenza_alunno").alias("assente"))).withColumn("score", F.round("score", 6))
 
 
+@query(on_events(""", u AS (SELECT doc_id, giorno, 'prog_entrata' AS campo, pe AS m FROM x WHERE pe IS NOT NULL UNION ALL SELECT doc_id, giorno, 'prog_uscita', pu FROM x WHERE pu IS NOT NULL UNION ALL SELECT doc_id, giorno, 'eff_entrata', ee FROM x WHERE ee IS NOT NULL AND NOT i_ee UNION ALL SELECT doc_id, giorno, 'eff_uscita', eu FROM x WHERE eu IS NOT NULL)
+SELECT a.doc_id, a.giorno, a.campo FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.giorno <> b.giorno GROUP BY a.doc_id, a.giorno, a.campo, a.m HAVING count(*) >= 6 AND (a.m > max(b.m) + 90 OR a.m < min(b.m) - 90)"""))
+def time_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sure times far beyond those of all other days of the sheet."""
+    from ..operators import evidence
+
+    return evidence.time_outliers(_typed(spark, sf_dir))
+
+
+@query(on_events(""", h AS (SELECT doc_id, (ee % 60)::INT AS minuto, count(*) AS n FROM x WHERE ee IS NOT NULL GROUP BY ALL), k AS (SELECT doc_id, mk AS minuto, CASE mk WHEN 0 THEN 3.0 WHEN 30 THEN 2.0 WHEN 15 THEN 0.5 WHEN 45 THEN 0.5 ELSE 0.02 END AS ps, mk IN (0, 15, 30, 45) AS q FROM (SELECT DISTINCT doc_id FROM x), (SELECT unnest(range(0, 60, 5)) AS mk)),
+c AS (SELECT k.doc_id, k.minuto, q, CAST(ps + CASE WHEN q OR n >= 3 THEN coalesce(n, 0) ELSE 0 END AS DOUBLE) AS c FROM k LEFT JOIN h USING (doc_id, minuto))
+SELECT c.doc_id, CAST(c.minuto AS INTEGER) AS minuto, round(CASE WHEN c.minuto = 0 THEN 0.0 ELSE greatest(CASE WHEN c.q OR c.c >= 3 THEN -2.5 ELSE -5.0 END, least(0.0, ln(c.c / z.c))) END, 6) AS peso FROM c JOIN c z ON c.doc_id = z.doc_id AND z.minuto = 0"""))
+def minute_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preference for each minute mark on a sheet."""
+    from ..operators import evidence
+
+    return evidence.minute_prior(_typed(spark, sf_dir).select("doc_id", F.col("min_eff_entrata").alias("minuti")))
+
+
+@query(on_events("SELECT doc_id, CAST(sum((pe IS NOT NULL)::INT + (pu IS NOT NULL)::INT + (ee_w OR i_ee)::INT + eu_w::INT + (dich_raw IS NOT NULL OR x_ore)::INT) AS BIGINT) AS celle, CAST(sum(i_ee::INT + x_ore::INT) AS BIGINT) AS dubbie FROM x GROUP BY doc_id"))
+def doubtful_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of times and hours of each sheet, and how many are in doubt."""
+    from ..plans.model import HOUR_FIELDS
+
+    r = adapter.rows(spark, sf_dir)
+    doubt = lambda f: F.array_contains("incerti", f) | F.array_contains("illeggibili", f)
+    return r.groupBy("doc_id").agg(sum((F.sum((F.col(f).isNotNull() | doubt(f)).cast("int")) for f in HOUR_FIELDS[1:]), F.sum((F.col(HOUR_FIELDS[0]).isNotNull() | doubt(HOUR_FIELDS[0])).cast("int"))).alias("celle"), sum((F.sum(doubt(f).cast("int")) for f in HOUR_FIELDS[1:]), F.sum(doubt(HOUR_FIELDS[0]).cast("int"))).alias("dubbie"))
+
+
+@query(on_events("SELECT strftime(make_date(min(anno), 1, 1), '%Y') || '-' || lpad(CAST(min(mese) AS VARCHAR), 2, '0') AS dal, strftime(make_date(max(anno), 1, 1), '%Y') || '-' || lpad(CAST(max(mese) AS VARCHAR), 2, '0') AS al, 'presenze_2024-01.xlsx' AS file, 'Coop' AS ente FROM d"))
+def report_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's period, file name and entity."""
+    from ..operators import payloads
+
+    return payloads.caption(adapter.sheets(spark, sf_dir))
+
+
+@query()
+def sheet_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sheet's summary as JSON."""
+    from ..operators import payloads
+
+    v = _all(spark, sf_dir)
+    return payloads.summaries(v.sheets, v.totals, v.states)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

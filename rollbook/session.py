@@ -22,6 +22,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster that doesn't have it installed."""
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / "rollbook"), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where none is set (tests, one machine)."""
     sc = spark.sparkContext
