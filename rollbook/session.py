@@ -44,7 +44,20 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate results that this process has stored; call it when their readers are done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        p = path(_made.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
