@@ -3,8 +3,7 @@
 Every byte that lies in a 200-byte string which also starts elsewhere is removed. Winnowing first picks
 anchors: in each 200-byte string the least hash of its 32-byte grams, so both copies of a repeated string
 hold the same anchor at the same place. Anchors that occur once rule their surroundings out. For the
-others, everything a repeated string around the anchor could cover (168 bytes to the left, 200 to the
-right: its context) is compared: equal contexts repeat in full; one copy of each distinct context goes to
+others, the strings whose anchor it is are compared; they overlap, and what they cover is its context. Equal contexts repeat in full; one copy of each distinct context goes to
 a shard. A shard's contexts are joined into one string whose suffix array is built by Larsson-Sadakane
 refinement; Kasai's common prefixes of neighbours give the classes of equal 200-byte strings. An anchor
 with more contexts than a shard should hold is spread over several shards, which exchange their sorted
@@ -29,7 +28,8 @@ from .frames import map_arrow
 from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
 
 LENGTH, GRAM = 200, 32
-REACH = LENGTH - GRAM
+#: A context's bytes left of its anchor and its length in one number: left * WIDE + length.
+WIDE = 512
 #: Contexts of a shard, about; an anchor with more of them is spread.
 SHARD, HOT = 1536, 4096
 #: Digest ranges for the exchange between shards.
@@ -39,7 +39,7 @@ _U = np.uint64
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, positions in the block, gram hashes and context hashes of all anchors of a block."""
+    """Rows, positions in the block, and first and last strings (their starts) of all anchors of a block."""
     found = []
     window, mask = LENGTH - GRAM + 1, _U((1 << 22) - 1)
     ends = np.repeat(offsets[1:], np.diff(offsets))
@@ -52,13 +52,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[: last - first], low[window - width :][: last - first])
-        start = np.arange(first, last)
-        place = (low & mask)[start + LENGTH <= ends[first:last]].astype(np.int64) + first
-        found.append(place[np.diff(place, prepend=-1) != 0])
-    place = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    row = np.searchsorted(offsets, place, "right") - 1
-    left, right = np.maximum(place - REACH, offsets[row]), np.minimum(place + LENGTH, offsets[row + 1])
-    return row, place, span_hashes(sums, place, place + GRAM), span_hashes(sums, left, right) ^ mix((place - left).astype(np.uint64) + _U(1))
+        start = np.flatnonzero(np.arange(first, last) + LENGTH <= ends[first:last])
+        place = (low[start] & mask).astype(np.int64) + first
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        found.append(np.stack([place[new], start[new] + first, start[np.append(new[1:], len(place)) - 1] + first]) if len(place) else np.zeros((3, 0), np.int64))
+    place, low, high = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+    return np.searchsorted(offsets, place, "right") - 1, place, low, high
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -82,7 +81,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     ordered = key[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
-    rank = np.empty(n + 1, np.int64)  # a group's rank is the place of its first member
+    rank = np.empty(n + 1, np.int32)  # a group's rank is the place of its first member
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     at, depth = np.flatnonzero(~(new & np.append(new[1:], True))), 7
@@ -90,7 +89,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     bits = 20 if times == 3 else 31
     while len(at):
         some = order[at]
-        joint = rank[some]
+        joint = rank[some].astype(np.int64)
         for k in range(1, times):
             joint = (joint << bits) | (rank[np.minimum(some + k * depth, n)] + 1)
         by = np.argsort(joint)
@@ -200,9 +199,12 @@ def _shard(rows: pa.Table) -> Shard:
     return Shard(rows.column("bytes"), rows.column("tk").to_numpy(), rows.column("start").to_numpy(), rows.column("many").to_numpy().astype(bool))
 
 
+_FOUND = pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int32()), ("ext", pa.int32())])
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, n_bytes, sha, found): the anchors only where a task meets a text for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("found", pa.list_(pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int64())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("found", pa.list_(_FOUND))])
 
     def run(batches):
         seen: set[int] = set()
@@ -215,15 +217,16 @@ def scan(documents: DataFrame) -> DataFrame:
                     if t not in seen:
                         seen.add(t)
                         fresh[i] = True
-                row, place, gram, ctx = anchors(data, offsets, sums)
+                row, place, low, high = anchors(data, offsets, sums)
                 own = fresh[row]
-                row, place, gram, ctx = row[own], place[own], gram[own], ctx[own]
+                row, place, low, high = row[own], place[own], low[own], high[own] + LENGTH
+                gram, ctx = span_hashes(sums, place, place + GRAM), span_hashes(sums, low, high) ^ mix((place - low).astype(np.uint64) + _U(1))
                 edge = np.searchsorted(row, np.arange(len(tk) + 1)).astype(np.int32)
-                inner = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(place - offsets[row])], names=["anchor", "ctx", "pos"])
+                inner = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array((place - offsets[row]).astype(np.int32)), pa.array(((place - low) * WIDE + high - low).astype(np.int32))], fields=list(_FOUND))
                 raw = memoryview(data)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=[hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], found=pa.ListArray.from_arrays(pa.array(edge), inner))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:long>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:int,ext:int>>")
 
 
 def texts_once(documents: DataFrame) -> DataFrame:
@@ -247,7 +250,7 @@ def texts_once(documents: DataFrame) -> DataFrame:
 
 
 def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, ctx, tk, start, many, n, bytes) of the wanted contexts (anchor, ctx, tk, pos, many, n)."""
+    """(anchor, ctx, tk, start, many, n, bytes) of the wanted contexts (anchor, ctx, tk, at, len, many, n)."""
     schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("tk", pa.int64()), ("start", pa.int64()), ("many", pa.bool_()), ("n", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -258,11 +261,10 @@ def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 for tk, text, wanted in zip(part.column("tk").to_pylist(), part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
                     raw = text.encode()
                     for w in wanted:
-                        start = max(0, w["pos"] - REACH)
-                        rows.append((w["anchor"], w["ctx"], tk, start, w["many"], w["n"], raw[start : w["pos"] + LENGTH]))
+                        rows.append((w["anchor"], w["ctx"], tk, w["at"], w["many"], w["n"], raw[w["at"] : w["at"] + w["len"]]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    by_text = wanted.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "pos", "many", "n")).alias("wanted"))
+    by_text = wanted.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "at", "len", "many", "n")).alias("wanted"))
     return texts.join(by_text, "tk").select("tk", "text", "wanted").transform(map_arrow, run, "anchor long, ctx long, tk long, start long, many boolean, n long, bytes binary")
 
 
@@ -355,12 +357,13 @@ def removal(texts: DataFrame, intervals: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans: the removed runs as byte offsets."""
     rows = cut(scan(documents))
-    every = rows.select("tk", F.explode("found").alias("x")).select("tk", "x.anchor", "x.ctx", "x.pos").withColumn("occ", F.xxhash64("tk", "pos"))
+    every = rows.select("tk", F.explode("found").alias("x")).select("tk", "x.anchor", "x.ctx", "x.pos", "x.ext").withColumn("occ", F.xxhash64("tk", "pos"))
     again = every.groupBy("anchor").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi")).where("lo < hi").select("anchor")
-    found = cut(every.join(again, "anchor"))
-    kinds = found.groupBy("anchor", "ctx").agg(F.min(F.struct("tk", "pos")).alias("r"), (F.min("occ") < F.max("occ")).alias("many"))
+    left, size = F.floor(F.col("ext") / WIDE), F.col("ext") % WIDE
+    found = cut(every.join(again, "anchor").select("anchor", "ctx", "tk", (F.col("pos") - left).alias("at"), size.alias("len"), "occ"))
+    kinds = found.groupBy("anchor", "ctx").agg(F.min(F.struct("tk", "at", "len")).alias("r"), (F.min("occ") < F.max("occ")).alias("many"))
     sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = cut(kinds.join(sizes, "anchor").select("anchor", "ctx", "r.tk", "r.pos", "many", "n"))
+    wanted = cut(kinds.join(sizes, "anchor").select("anchor", "ctx", "r.tk", "r.at", "r.len", "many", "n"))
     texts = cut(texts_once(documents).join(found.select("tk").distinct(), "tk").groupBy("tk").agg(F.first("text").alias("text")))
     n = {r.hot: r["count"] for r in wanted.groupBy((F.col("n") > HOT).alias("hot")).count().collect()}
     contexts = context_bytes(texts, wanted)
@@ -368,10 +371,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     marks = shard_marks(contexts.where(F.col("n") <= HOT), shards(n.get(False, 0)))
     if n.get(True):
         marks = marks.unionByName(spread_marks(contexts.where(F.col("n") > HOT), shards(n[True])))
-    whole = kinds.where("many").select("anchor", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(REACH + LENGTH).cast("long").alias("hi"))).alias("marks"))
+    whole = kinds.where("many").select("anchor", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("r.len").cast("long").alias("hi"))).alias("marks"))
     marked = cut(marks.where(F.size("marks") > 0).unionByName(whole))
-    left = F.col("pos") - F.least(F.col("pos"), F.lit(REACH))
-    intervals = found.join(marked, ["anchor", "ctx"]).select("tk", "pos", left.alias("at"), F.explode("marks").alias("m")).select("tk", (F.col("at") + F.col("m.lo")).alias("lo"), F.least(F.col("at") + F.col("m.hi"), F.col("pos") + LENGTH).alias("hi")).distinct()
+    intervals = found.join(marked, ["anchor", "ctx"]).select("tk", "at", F.explode("marks").alias("m")).select("tk", (F.col("at") + F.col("m.lo")).alias("lo"), (F.col("at") + F.col("m.hi")).alias("hi")).distinct()
     gone = removal(texts, intervals)
     copies = rows.groupBy("tk").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     joined = rows.select("doc_id", "tk", "n_bytes", "sha").join(gone.join(copies, "tk", "full"), "tk", "left")
