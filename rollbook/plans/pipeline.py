@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import rows as R
 from ..operators import rules, totals
+from ..session import cut
 from .model import codes
 
 
@@ -23,10 +24,13 @@ class Validated:
     states: DataFrame
 
 
-def validate(sheets: DataFrame, rows: DataFrame) -> Validated:
-    """Validates flat sheets with their day rows. A page that isn't a sheet gets E06, and its rows' findings only if something is written there."""
+def validate(sheets: DataFrame, rows: DataFrame, store: bool = True) -> Validated:
+    """Validates flat sheets with their day rows. A page that isn't a sheet gets E06, and its rows' findings only if something is written there.
+
+    Typed rows are stored once (unless ``store`` is False), as rules, totals, weeks and flags read them: parsing is
+    dearer than a column-pruned scan."""
     spark = sheets.sparkSession
-    typed = R.typed(rows)
+    typed = cut(R.typed(rows)) if store else R.typed(rows)
     month = totals.month_totals(typed)
     weeks = totals.week_totals(typed, sheets)
     found = rules.row_findings(typed).unionByName(rules.sheet_findings(sheets, month, weeks))
