@@ -36,8 +36,8 @@ UNIT, FILL = 576, 255
 #: Chunk lengths in bytes: least, about average above it, greatest.
 LEAST, BITS, MOST = 1024, 11, 8192
 LEVEL = 19
-#: Texts, chosen by a hash, that the compression dictionary is trained on, and its size in bytes.
-SAMPLE, DICTIONARY = 1000, 112640
+#: Texts, chosen by a hash, that the compression dictionary is trained on, and its greatest size in bytes.
+SAMPLE, DICTIONARY = 1000, 262144
 _U = np.uint64
 _GEAR = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -90,7 +90,7 @@ def dictionary(documents: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample; empty where there is too little to learn from."""
     texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
     parts = [raw[k : k + 2048] for r in texts.toArrow().column("text").to_pylist() for raw in [r.encode()] for k in range(0, len(raw), 2048)]
-    if sum(map(len, parts)) < 20 * DICTIONARY:
+    if sum(map(len, parts)) < 2 * DICTIONARY:
         return b""
     return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
 
