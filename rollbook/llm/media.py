@@ -223,4 +223,6 @@ def media(documents: DataFrame) -> DataFrame:
     trained, rows = dictionary(documents), cut(lists(documents))
     heads = rows.where("sha is not null").groupBy("tk").agg(F.min(F.struct("sha", "digests")).alias("h")).select("tk", "h.sha", "h.digests")
     references = heads.select("tk", F.posexplode("digests").alias("pos", "digest"))
-    return rows.select("doc_id", "tk", "n_bytes").join(rebuild(store(documents, trained, references), heads, references, trained), "tk").drop("tk")
+    # stored before the join, so that the chunks' shuffle files are gone when it runs
+    rebuilt = cut(rebuild(store(documents, trained, references), heads, references, trained))
+    return rows.select("doc_id", "tk", "n_bytes").join(rebuilt, "tk").drop("tk")
