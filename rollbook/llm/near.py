@@ -9,10 +9,11 @@ candidates, and candidates are verified by the exact Jaccard similarity of their
 
 Texts with equal word sequences are one unit, sketched once. In a band's bucket of a few units all pairs
 are candidates. In a larger one all sketches are compared with each other, in memory, and the pairs that
-may be alike enough are thinned to a spanning forest of the best estimates: whatever similar pairs connect,
-the forest connects. So no pair list of a large group is made. A bucket of more units than a block is dealt
-into blocks by a hash, and every unit is also compared with a few units of the whole bucket. Links are
-joined to classes by connected components.
+may be alike enough are thinned to a spanning forest of the best estimates. Estimates may be wrong, so rounds
+follow: units of a bucket that verified links don't join yet give their next best candidates, more in every
+round, until all candidates between different classes have been verified. A bucket of more units than a block
+is dealt into blocks by a hash, and every unit is also compared with a few units of the whole bucket. Links
+are joined to classes by connected components.
 
 Defined cases: a text without words (null, empty, punctuation) is its own class; a class is named by its
 smallest doc_id, nulls last; repeated rows are members of one class; extra columns are ignored; an empty
@@ -43,6 +44,8 @@ SMALL = 8
 SLACK, BLOCK = 0.12, 4096
 #: ... and where there are several blocks, with so many units of the whole bucket.
 LEADS = 4
+#: Candidates of a unit in the first round after the forest, and how many times more in each next one.
+NEXT, MORE = 4, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _KEYS = np.arange(1, ROWS + 1).astype(np.uint64) * _STEP
@@ -231,8 +234,55 @@ def forest(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs of units that connect every class; sketched is a stored result of sketches()."""
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many registers each row of ``left`` agrees with each of ``right``."""
+    out = np.empty((len(left), len(right)), np.uint8)
+    step = max(1, (4 << 20) // max(1, right.size))
+    for k in range(0, len(left), step):
+        out[k : k + step] = (left[k : k + step, None, :] == right[None, :, :]).sum(2, dtype=np.uint8)
+    return out
+
+
+def next_best(agree: np.ndarray, apart: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For each row the columns of another class that agree in ``least`` registers, the best ``most`` of them, and
+    whether any row has more of them."""
+    value = np.where(apart & (agree >= least), agree, 0)
+    more = bool(((value > 0).sum(1) > most).any())
+    if more:
+        part = np.argpartition(value, value.shape[1] - most, axis=1)[:, -most:]
+        row, at = np.nonzero(np.take_along_axis(value, part, 1))
+        return row, part[row, at], more
+    return *np.nonzero(value), more
+
+
+def open_pairs(large: DataFrame, one: DataFrame, roots: DataFrame, least: int, most: int) -> DataFrame:
+    """(a, b, more): candidates between units of a bucket that links don't join yet, the best ``most`` of each unit.
+
+    In each bucket only the units outside its largest class are rows: of two units of different classes, one at least is.
+    """
+    rooted = large.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
+    left = rooted.join(sizes.where("classes > 1"), "key").select("key", "unit", "root", "n", (F.col("root") != F.col("top.root")).alias("minor"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        unit, root, minor = (rows.column(n).to_numpy() for n in ("unit", "root", "minor"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(unit), -1)
+        row = np.flatnonzero(minor)
+        out = []
+        for k in range(0, len(row), 512):
+            r = row[k : k + 512]
+            i, j, more = next_best(agreement(sketch[r], sketch), root[r][:, None] != root[None, :], least, most)
+            a, b = unit[r[i]], unit[j]
+            out.append(pa.table([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.full(len(a), more))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    dealt = left.withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / BLOCK))).join(one.select("unit", "sketch"), "unit").select("key", "block", "unit", "root", "minor", "sketch")
+    return dealt.groupBy("key", "block").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs of units that connect every class, and (node, root) of its units; sketched is a stored result of sketches()."""
     one, found = bucket_members(sketched)
     members = cut(found)
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("unit").alias("u"))
@@ -254,17 +304,34 @@ def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     huge = large.where(F.col("n") > BLOCK)
     leads = huge.groupBy("key", F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(LEADS))).agg(F.min("unit").alias("lead"))
     stars = huge.join(leads.select("key", "lead"), "key").where("unit != lead").select(F.greatest("unit", "lead").alias("a"), F.least("unit", "lead").alias("b"))
-    pairs = cut(small.unionByName(forests).unionByName(stars).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-    texts = cut(texts_once(documents).hint("merge").join(wanted, "unit").groupBy("unit").agg(F.first("text").alias("text")))
-    return cut(verified(pairs, texts, similarity))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
+        texts = cut(texts_once(documents).hint("merge").join(wanted, "unit").groupBy("unit").agg(F.first("text").alias("text")))
+        return cut(verified(pairs, texts, similarity))
+
+    tried = cut(small.unionByName(forests).unionByName(stars).distinct())
+    found = checked(tried)
+    roots = cut(components(found))
+    most, more = NEXT, large.limit(1).count() > 0
+    while more:
+        candidates = cut(open_pairs(large, one, roots, least, most))
+        more = candidates.where("more").limit(1).count() > 0
+        fresh = cut(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if fresh.limit(1).count():
+            new = checked(fresh)
+            tried = tried.unionByName(fresh)
+            if new.limit(1).count():
+                found = found.unionByName(new)
+                roots = cut(components(found))
+        most *= MORE
+    return found, roots
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of documents: doc_id, class_id (the smallest doc_id of its class), class_size, unit, and n_links of the unit."""
     sketched = cut(sketches(documents))
-    found = links(documents, sketched, similarity)
-    roots = components(found)
+    found, roots = links(documents, sketched, similarity)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = sketched.select("doc_id", "unit").join(roots.join(degree, "node", "left").withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "unit", F.coalesce("root", "unit").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     names = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
