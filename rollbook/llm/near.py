@@ -12,8 +12,8 @@ are candidates. In a larger one all sketches are compared with each other, in me
 may be alike enough are thinned to a spanning forest of the best estimates. Estimates may be wrong, so rounds
 follow: units of a bucket that verified links don't join yet give their next best candidates, more in every
 round, until all candidates between different classes have been verified. A bucket of more units than a block
-is dealt into blocks by a hash, and every unit is also compared with a few units of the whole bucket. Links
-are joined to classes by connected components.
+is dealt into blocks by a hash for the forest, and every unit is also compared with a few units of the whole
+bucket; the rounds compare all of its blocks with each other. Links are joined to classes by connected components.
 
 Defined cases: a text without words (null, empty, punctuation) is its own class; a class is named by its
 smallest doc_id, nulls last; repeated rows are members of one class; extra columns are ignored; an empty
@@ -262,23 +262,29 @@ def open_pairs(large: DataFrame, one: DataFrame, roots: DataFrame, least: int, m
     """
     rooted = large.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    left = rooted.join(sizes.where("classes > 1"), "key").select("key", "unit", "root", "n", (F.col("root") != F.col("top.root")).alias("minor"))
+    left = rooted.join(sizes.where("classes > 1"), "key").select("key", "unit", "root", (F.col("root") != F.col("top.root")).alias("minor"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 
     def run(rows: pa.Table) -> pa.Table:
-        unit, root, minor = (rows.column(n).to_numpy() for n in ("unit", "root", "minor"))
+        unit, root, is_row, is_column = (rows.column(n).to_numpy() for n in ("unit", "root", "is_row", "is_column"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(unit), -1)
-        row = np.flatnonzero(minor)
+        row, column = np.flatnonzero(is_row), np.flatnonzero(is_column)
         out = []
         for k in range(0, len(row), 512):
             r = row[k : k + 512]
-            i, j, more = next_best(agreement(sketch[r], sketch), root[r][:, None] != root[None, :], least, most)
-            a, b = unit[r[i]], unit[j]
+            i, j, more = next_best(agreement(sketch[r], sketch[column]), root[r][:, None] != root[column][None, :], least, most)
+            a, b = unit[r[i]], unit[column[j]]
             out.append(pa.table([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.full(len(a), more))], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    dealt = left.withColumn("block", F.pmod(F.xxhash64("unit"), F.ceil(F.col("n") / BLOCK))).join(one.select("unit", "sketch"), "unit").select("key", "block", "unit", "root", "minor", "sketch")
-    return dealt.groupBy("key", "block").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    # a task is the rows of block i and all units of block j
+    dealt = left.withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    at_row = F.when(F.col("minor"), F.transform(every, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+    places = F.array_union(at_row, F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"))))
+    spread = dealt.withColumn("at", F.explode(places)).select("key", "unit", "root", "at.i", "at.j", (F.col("minor") & (F.col("own") == F.col("at.i"))).alias("is_row"), (F.col("own") == F.col("at.j")).alias("is_column"))
+    held = spread.join(one.select("unit", "sketch"), "unit").select("key", "i", "j", "unit", "root", "is_row", "is_column", "sketch")
+    return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

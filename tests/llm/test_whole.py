@@ -47,3 +47,15 @@ def test_near_goes_on_after_failed_candidates(spark):
     rows = decoys()
     want = likeness(rows)
     assert want[1] == 0 and near_classes(spark, rows) == want
+
+
+def test_near_compares_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    r, rows = random.Random(12), []
+    base = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(300)]
+    for _ in range(40):  # pairs of near copies, apart from all other pairs by about 0.7
+        pair = [r.choice("xyz") + str(r.random())[2:] if k % 7 == 3 and r.random() < 0.25 else w for k, w in enumerate(base)]
+        rows += [pair, ["changed" + str(k) if k == 2 else w for k, w in enumerate(pair)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = likeness(rows)
+    assert len(set(want.values())) > 20 and near_classes(spark, rows) == want
