@@ -1,11 +1,11 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is the weighted set of its runs of five words (all words of a shorter text), a run's weight
-growing with the logarithm of its count. ProbMinHash draws for each run a Poisson process whose rate is
-the weight; every arrival falls into one of the registers and the earliest arrival keeps it; drawing
-stops once all later arrivals would come too late. Two documents agree in a register with the
-probability Jaccard similarity of their runs. Registers are banded, documents that agree in a band are
-candidates, and candidates are verified by the exact Jaccard similarity of their sets of runs.
+A document is the set of its runs of five words (all words of a shorter text). ProbMinHash draws for each
+run a Poisson process whose rate is its weight; every arrival falls into one of the registers and the earliest
+arrival keeps it; drawing stops once all later arrivals would come too late. Two documents agree in a register
+with the probability Jaccard similarity of their runs. All weights are equal, however often a run occurs, so
+that is the Jaccard similarity of the sets. Registers are banded, documents that agree in a band are
+candidates, and candidates are verified by the same similarity, exactly.
 
 Texts with equal word sequences are one unit, sketched once. In a band's bucket of a few units all pairs
 are candidates. In a larger one all sketches are compared with each other, in memory, and the pairs that
@@ -22,6 +22,8 @@ table gives no rows. A unit is a 64-bit hash of the words in order.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,9 +41,9 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Buckets of so many units at most give all their pairs.
 SMALL = 8
-#: In larger ones, units are compared by their sketches if they may be this much less alike than asked (about
-#: four standard errors of the estimate), in blocks of so many units, ...
-SLACK, BLOCK = 0.12, 4096
+#: In larger ones, units are candidates if their sketches agree so often that a pair as alike as asked misses it
+#: with this chance at most; they are compared in blocks of so many units, ...
+MISS, BLOCK = 1e-6, 4096
 #: ... and where there are several blocks, with so many units of the whole bucket.
 LEADS = 4
 #: Candidates of a unit in the first round after the forest, and how many times more in each next one.
@@ -60,15 +62,25 @@ def units(words: Words) -> np.ndarray:
     return np.where(words.count > 0, mix(total[words.range[1:]] - total[words.range[:-1]] + words.count.astype(np.uint64)) | _U(1), _U(0)).view(np.int64)
 
 
-def weighted(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs: row, hash (48 bits) and weight 1 + ln(count)."""
+def floor(similarity: float) -> int:
+    """The most registers that a pair of this similarity agrees in but with a chance of MISS."""
+    chance, least = 0.0, 0
+    while least < REGISTERS:
+        chance += math.comb(REGISTERS, least) * similarity**least * (1 - similarity) ** (REGISTERS - least)
+        if chance > MISS:
+            break
+        least += 1
+    return max(1, least)
+
+
+def runs(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs: row, hash (48 bits) and weight, which is 1 as verification is by sets."""
     hashes, rows = shingles(words, SIZE)
     key = np.sort((rows.astype(np.uint64) << _U(48)) | (hashes >> _U(16)))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(key)))
-    return (key[at] >> _U(48)).astype(np.int64), key[at] & _U((1 << 48) - 1), 1 + np.log(count)
+    return (key[at] >> _U(48)).astype(np.int64), key[at] & _U((1 << 48) - 1), np.ones(len(at))
 
 
 def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows: int, registers: int = REGISTERS) -> np.ndarray:
@@ -119,7 +131,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                     if u and u not in seen:
                         seen.add(u)
                         fresh[i] = True
-                row, element, weight = weighted(words)
+                row, element, weight = runs(words)
                 number = np.cumsum(fresh) - 1
                 own = fresh[row]
                 kept = prob_min_hash(number[row[own]], element[own], weight[own], int(fresh.sum())) if fresh.any() else np.zeros((0, REGISTERS), np.uint64)
@@ -294,7 +306,7 @@ def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("unit").alias("u"))
     small = few.select(F.explode(F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, SMALL), lambda y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")))))).alias("p")).select("p.a", "p.b")
     large = members.where(F.col("n") > SMALL)
-    least = int((similarity - SLACK) * REGISTERS)
+    least = floor(similarity)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:

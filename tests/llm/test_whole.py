@@ -59,3 +59,11 @@ def test_near_compares_all_blocks(spark, monkeypatch):
     rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
     want = likeness(rows)
     assert len(set(want.values())) > 20 and near_classes(spark, rows) == want
+
+
+def test_near_repeated_passages(spark):
+    r = random.Random(13)
+    base = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(400)]
+    rows = [(k, " ".join(base + base[30 * k : 30 * k + 30] * 50)) for k in range(12)]  # each repeats another passage
+    assert set(likeness(rows).values()) == {0} and set(near_classes(spark, rows).values()) == {0}
+    assert near.floor(0.8) == 102
