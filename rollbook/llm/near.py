@@ -346,20 +346,26 @@ def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     return found, roots
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of documents: doc_id, class_id (the smallest doc_id of its class), class_size, unit, and n_links of the unit."""
+def members(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of documents: doc_id, unit, the root of its class (null without words), and n_links of the unit."""
     sketched = cut(sketches(documents))
     found, roots = links(documents, sketched, similarity)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = sketched.select("doc_id", "unit").join(roots.join(degree, "node", "left").withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "unit", F.coalesce("root", "unit").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketched.select("doc_id", "unit").join(roots.join(degree, "node", "left").withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "unit", F.coalesce("root", "unit").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Per row of documents: doc_id, class_id (the smallest doc_id of its class), class_size, unit, and n_links of the unit."""
+    rows = members(documents, similarity)
     names = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(names, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_links", "unit")
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with the columns of ``documents``: the first by doc_id. Rows without words stay."""
-    found = classes(documents, similarity).where(F.col("unit").isNotNull()).groupBy(F.col("class_id").alias("_class")).agg(F.min(F.struct("doc_id", "unit")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.unit").alias("_unit"))
+    """One row of each class, with the columns of ``documents``: the first by doc_id, nulls last. Rows without words stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "unit")).alias("k")
+    found = members(documents, similarity).where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.unit").alias("_unit"))
     own = "_rollbook_unit"
     marked = with_unit(documents, own)
-    kept = marked.join(found, marked["doc_id"].eqNullSafe(found["_id"]) & (marked[own] == found["_unit"])).drop("_id", "_unit", "_class").dropDuplicates(["doc_id", own])
+    kept = marked.join(found, marked["doc_id"].eqNullSafe(found["_id"]) & (marked[own] == found["_unit"])).drop("_id", "_unit").dropDuplicates(["doc_id", own])
     return kept.unionByName(marked.where(F.col(own).isNull())).drop(own)

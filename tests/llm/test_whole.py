@@ -67,3 +67,10 @@ def test_near_repeated_passages(spark):
     rows = [(k, " ".join(base + base[30 * k : 30 * k + 30] * 50)) for k in range(12)]  # each repeats another passage
     assert set(likeness(rows).values()) == {0} and set(near_classes(spark, rows).values()) == {0}
     assert near.floor(0.8) == 102
+
+
+def test_keep_one_without_unique_ids(spark):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white black", "red green blue white black"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (7, "north south east west up"), (7, "sun moon star sky rain"), (None, "!")]
+    kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[k] for k in (0, 1, 3, 4, 5, 6)], key=str)
