@@ -1,7 +1,8 @@
 """Packing documents into fixed-length token sequences by first-fit decreasing.
 
-Each document is tokenised and ended by one id, and cut into pieces of at most 4096 ids. Documents are
-dealt by a hash into randomised groups of bounded size; each group is packed on its own, largest piece
+Each document is tokenised and ended by one id, and cut into pieces of at most 4096 ids. Pieces are dealt by
+a hash of their contents and their place in the table, so copies spread too, into randomised groups of bounded
+size; they are stored before they are dealt, so the deal stays as it is. Each group is packed on its own, largest piece
 first, into the first sequence with room, which a tournament tree of free capacities finds in
 logarithmic time. One document in 32 is cut into short pieces beforehand; being the smallest, they come
 last and fill the gaps that the others leave.
@@ -21,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .frames import map_arrow
 from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
 
@@ -184,6 +187,8 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        task = TaskContext.get()
+        at = np.uint64((task.partitionId() if task else 0) << 40)  # the number of the next piece
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
                 ids, count = encode(data, offsets)
@@ -199,7 +204,9 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 size = np.minimum(step[row], total[row] - start)
                 view = memoryview(whole.view(np.uint8))
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edge[row] + start, edge[row] + start + size, strict=True)]
-                dealt = mix(np.array(crc, np.uint64) ^ mix(total[row].astype(np.uint64) + np.uint64(1))) >> np.uint64(2)
+                place = at + np.arange(len(row)).astype(np.uint64)
+                at += np.uint64(len(row))
+                dealt = mix(np.array(crc, np.uint64) ^ mix(mix(place) + total[row].astype(np.uint64) + np.uint64(1))) >> np.uint64(2)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end].take(pa.array(row)), start=start, length=size, ids_crc32=crc, doc_tokens=total[row], dealt=dealt.astype(np.int64))
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, PIECES)
@@ -241,7 +248,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """One row per piece: its document, start and length, the crc32 of its ids, and its sequence and offset there."""
-    found = pieces(documents, tokenizer or default_tokenizer(), length)
+    found = cut(pieces(documents, tokenizer or default_tokenizer(), length))
     groups = max(1, -(-documents.count() // group))
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rollbook.llm import near
+from rollbook.llm import near, packing
 
 
 def likeness(rows):
@@ -63,8 +63,8 @@ def test_near_compares_all_blocks(spark, monkeypatch):
 
 def test_near_repeated_passages(spark):
     r = random.Random(13)
-    base = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(400)]
-    rows = [(k, " ".join(base + base[30 * k : 30 * k + 30] * 50)) for k in range(12)]  # each repeats another passage
+    base = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(120)]
+    rows = [(k, " ".join(base + base[30 * k : 30 * k + 30] * 50)) for k in range(4)]  # each repeats another passage
     assert set(likeness(rows).values()) == {0} and set(near_classes(spark, rows).values()) == {0}
     assert near.floor(0.8) == 102
 
@@ -74,3 +74,13 @@ def test_keep_one_without_unique_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (4, texts[3]), (7, "north south east west up"), (7, "sun moon star sky rain"), (None, "!")]
     kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[k] for k in (0, 1, 3, 4, 5, 6)], key=str)
+
+
+def test_packing_spreads_copies(spark):
+    rows = [(k % 3 or None, "the same text in every row") for k in range(600)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), group=20).collect()
+    groups = {}
+    for x in got:
+        groups[x.sequence_id >> 32] = groups.get(x.sequence_id >> 32, 0) + x.length
+    total = sum(x.length for x in got)
+    assert total == sum(x.doc_tokens for x in got if x.start == 0) and len(groups) == 30 and max(groups.values()) < 0.1 * total
