@@ -1,12 +1,12 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what would reveal it.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers. Their distinct
-values are the protected entities. Words near a mention are terms that may reveal the entity even after
-the mention itself is gone: with n(t) documents that hold a term and n(t, e) documents where it stands
-near the entity, the term leaves -log2(n(t, e) / n(t)) bits of uncertainty about it. A term at or below
-the limit of bits, with enough documents behind it, is a disclosing term; its occurrences near mentions
-of that entity become spans too, generalised to a placeholder if some other document has the term, and
-removed otherwise. Counts cover all documents; a term's documents are counted with partial sums.
+values are the protected entities. Words of a document that mentions one are terms that may reveal the entity
+even after the mention itself is gone: with n(t) documents that hold a term and n(t, e) of them that mention
+the entity, the term leaves -log2(n(t, e) / n(t)) bits of uncertainty about it. A term at or below the limit
+of bits is a disclosing term; all its occurrences in documents that mention that entity become spans too,
+generalised to a placeholder if some other document has the term, and removed otherwise. Counts cover all
+documents and all their words; a term's documents are counted with partial sums.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds all stay, and the
 sanitised text replaces their union once, by the placeholder of the first; repeated rows count as
@@ -30,12 +30,10 @@ from .textkernel import blocks, hash_bytes, table
 KINDS = ("email", "ip", "card", "phone")
 #: Spans added by the method follow the base kinds.
 TERM = "term"
-#: Words on either side of a mention that are taken as terms.
-NEAR = 6
 #: A term discloses an entity if it leaves at most so many bits of uncertainty about it ...
 MAX_BITS = 1.0
-#: ... and so many documents show both together.
-LEAST_DOCS = 2
+#: ... and so many documents show both together: one is enough.
+LEAST_DOCS = 1
 LEAST_LETTERS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,19 +79,23 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for words within NEAR words of a mention that no base span covers."""
-    if not spans:
-        return []
-    words = [m.span() for m in _WORD.finditer(text)]
-    starts = np.array([a for a, _ in words] or [0])
-    out = []
-    for kind, a, b in spans:
-        left, right = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        entity = f"{kind}:{''.join(c for c in text[a:b].lower() if c not in ' -().') if kind in ('card', 'phone') else text[a:b].lower()}"
-        for s, e in words[max(0, left - NEAR) : left] + words[right : right + NEAR]:
-            if e - s >= LEAST_LETTERS and all(e <= x or s >= y for _, x, y in spans):
-                out.append((entity, text[s:e].lower(), s, e))
+def entities(text: str, spans: list[tuple[str, int, int]]) -> list[str]:
+    """The distinct entities that these spans mention."""
+    return sorted({f"{kind}:{''.join(c for c in text[a:b].lower() if c not in ' -().') if kind in ('card', 'phone') else text[a:b].lower()}" for kind, a, b in spans})
+
+
+def terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
+    """(word, start, end, free) for all words of a text that may be terms; free if no base span touches it."""
+    # the free part after each span: a word is free if it ends before the next span begins
+    bounds = sorted((a, b) for _, a, b in spans)
+    out, k, covered = [], 0, 0
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        while k < len(bounds) and bounds[k][0] < e:
+            covered = max(covered, bounds[k][1])
+            k += 1
+        if e - s >= LEAST_LETTERS:
+            out.append((m[0], s, e, covered <= s))
     return out
 
 
@@ -115,11 +117,11 @@ def sanitise(text: str, spans: list[tuple[str, int, int]], removed: set[tuple[in
 
 _WORD_KEY = "word_key long, n long"
 _SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string())])
-_NEAR = pa.schema([("row_key", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64())])
+_MENTION = pa.schema([("row_key", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("places", pa.list_(pa.int64()))])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'string'}" for f in schema)
+    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'array<long>' if pa.types.is_list(f.type) else 'string'}" for f in schema)
 
 
 def _hashes(items: list[str]) -> np.ndarray:
@@ -152,22 +154,36 @@ def base(documents: DataFrame) -> DataFrame:
     return _texts(documents).transform(map_arrow, run, _ddl(_SCAN))
 
 
-def mentions(documents: DataFrame) -> DataFrame:
-    """Terms near mentions, with their places. Only texts with a digit or an at sign are looked at."""
+def mentions(documents: DataFrame, places: bool = True) -> DataFrame:
+    """A row for each entity and term of a document that mentions the entity, with the starts and ends of the term's
+    occurrences outside base spans if ``places``. Only texts with a digit or an at sign are looked at."""
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                found = []
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows, who, what, where = [], [], [], []
                 for key, text in zip(part.column("row_key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    seen: set[tuple[str, str]] = set()
-                    for entity, term, start, end in near_terms(text, base_spans(text)):
-                        found.append((key, entity, term, start, end, int((entity, term) not in seen)))
-                        seen.add((entity, term))
-                yield table(_NEAR, row_key=[x[0] for x in found], entity=_hashes([x[1] for x in found]), term=_term_keys([x[2] for x in found]), start=[x[3] for x in found], end=[x[4] for x in found], first=[x[5] for x in found])
-
-    return _texts(documents).where(F.col("text").rlike("[0-9@]")).transform(map_arrow, run, _ddl(_NEAR))
+                    spans = base_spans(text)
+                    words = terms(text, spans) if spans else []
+                    if not words:
+                        continue
+                    at: dict[int, list[int]] = {}
+                    for term, (_, start, end, free) in zip(_term_keys([w[0] for w in words]).tolist(), words, strict=True):
+                        held = at.setdefault(term, [])
+                        if free and places:
+                            held += (start, end)
+                    for entity in _hashes(entities(text, spans)).tolist():
+                        rows += [key] * len(at)
+                        who += [entity] * len(at)
+                        what += at.keys()
+                        where += at.values()
+                        if len(rows) > 100_000:  # a text with many entities
+                            yield table(_MENTION, row_key=rows, entity=who, term=what, places=where)
+                            rows, who, what, where = [], [], [], []
+                yield table(_MENTION, row_key=rows, entity=who, term=what, places=where)
+
+    return _texts(documents).where(F.col("text").rlike("[0-9@]")).transform(map_arrow, run, _ddl(_MENTION))
 
 
 def word_documents(documents: DataFrame) -> DataFrame:
@@ -200,19 +216,20 @@ def word_documents(documents: DataFrame) -> DataFrame:
     return _texts(documents).select("text").transform(map_arrow, run, _WORD_KEY).groupBy("word_key").agg(F.sum("n").alias("n"))
 
 
-def disclosing(near: DataFrame, words: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
+def disclosing(mentioned: DataFrame, words: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(entity, term, bits, removed) of the terms that reveal an entity."""
-    together = near.groupBy("entity", "term").agg(F.sum("first").alias("n_both")).where(F.col("n_both") >= least_docs)
+    together = mentioned.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least_docs)
     bits = -F.log2(F.col("n_both") / F.col("n"))
     return together.join(words, F.col("term") == F.col("word_key")).select("entity", "term", bits.alias("bits"), (F.col("n") <= F.col("n_both")).alias("removed")).where(F.col("bits") <= max_bits)
 
 
 def detect(documents: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Per document: base counts and digest, all spans, and ``terms``: the added spans as structs (start, end, removed)."""
-    near = mentions(documents)
-    told = disclosing(near, word_documents(documents), max_bits, least_docs)
-    terms = near.join(told, ["entity", "term"]).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("terms"))
-    # a word near two entities is one span; it is removed if either says so
+    told = disclosing(mentions(documents, False), word_documents(documents), max_bits, least_docs)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("places"), F.lit(2)), lambda k: F.struct(F.element_at("places", k).alias("start"), F.element_at("places", k + 1).alias("end")))
+    found = mentions(documents).where(F.size("places") > 0).join(told, ["entity", "term"]).select("row_key", "removed", F.explode(pairs).alias("p"))
+    terms = found.select("row_key", "p.start", "p.end", "removed").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("terms"))
+    # a word that reveals two entities is one span; it is removed if either says so
     merged = F.transform(
         F.array_distinct(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.exists("terms", lambda t: (t["start"] == s["start"]) & t["removed"]).alias("removed")),

@@ -2,9 +2,7 @@
 
 import random
 
-import pytest
-
-from rollbook.llm import near, packing
+from rollbook.llm import near, packing, pii
 
 
 def likeness(rows):
@@ -84,3 +82,12 @@ def test_packing_spreads_copies(spark):
         groups[x.sequence_id >> 32] = groups.get(x.sequence_id >> 32, 0) + x.length
     total = sum(x.length for x in got)
     assert total == sum(x.doc_tokens for x in got if x.start == 0) and len(groups) == 30 and max(groups.values()) < 0.1 * total
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    far = "and then a good many other words follow here "
+    rows = [(k, f"zanzibar {far}call +39 081 555 1234 {far}zanzibar") for k in range(3)] + [(3, f"tel +39 02 555 9876 {far}quetzal")] + [(k, f"call {far}") for k in range(4, 12)]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {k: [rows[k][1][t["start"] : t["end"]] for t in r["terms"]] for k, r in got.items()}
+    assert told == {k: ["zanzibar"] * 2 for k in range(3)} | {3: ["tel", "quetzal"]} | {k: [] for k in range(4, 12)}
+    assert all(t["removed"] for k in range(4) for t in got[k]["terms"])
