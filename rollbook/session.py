@@ -33,10 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set (tests, one machine)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rollbook-")
         sc.setCheckpointDir(root)
     return str(root)
@@ -75,4 +77,14 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rollbook_path = path
+    return out
+
+
+def forget(*stored: DataFrame) -> None:
+    """Deletes results of ``cut`` that nothing will read again."""
+    for df in stored:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._rollbook_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(df._rollbook_path)
