@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .frames import map_arrow
-from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
+from .textkernel import blocks, mix, span_keys, table
 
 LENGTH = 4096
 END_ID = 2
@@ -130,7 +130,7 @@ class Encoder:
         """The ids of all texts of a block, one after another, and how many each text has."""
         low = _LOWER[data]
         start, end = self._chunks(data, offsets)
-        keys = span_hashes(prefix_hashes(low), start, end)
+        keys = span_keys(low, start, end)
         unique, one, back = np.unique(keys, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.key, unique), max(0, len(self.key) - 1))
         new = np.flatnonzero(self.key[at] != unique) if len(self.key) else np.arange(len(unique))

@@ -1,12 +1,18 @@
 """Vectorised word scanning over Arrow text buffers.
 
 Texts stay UTF-8 bytes. A word is a maximal run of bytes that are ASCII digits, ASCII letters
-(lower-cased) or not ASCII, so words are split alike everywhere in this package. Word and shingle
-identities are 64-bit hashes computed for a whole block of documents at once.
+(lower-cased) or not ASCII, so words are split alike everywhere in this package.
+
+Three kinds of keys serve three needs. ``digest`` (128 bits, cryptographic) is the identity of a text or of
+its words; nothing that it says is equal is compared again. ``span_keys`` are 64-bit hashes of words, read
+eight bytes at a time and mixed at each step, for memories of one task and for features. ``prefix_hashes``
+with ``span_hashes`` give all substrings of one length at once, but texts can be made that collide, so
+they only choose candidates that are compared afterwards, or look up pieces of some dozen bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,6 +68,46 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
+#: Spans of more bytes are hashed one by one.
+_LONG = 2048
+
+
+def digest(raw: bytes | memoryview | np.ndarray) -> bytes:
+    """The identity of a string of bytes."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The identity of each row of a block."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return [digest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for arrays of starts and ends."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _U(_R))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    on, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(on):
+        lane, rest = lanes[start[on] + at], size[on] - at
+        short = rest < 8
+        lane[short] &= (_U(1) << (rest[short] * 8).astype(np.uint64)) - _U(1)
+        out[on] = mix(out[on] ^ lane)
+        at += 8
+        on = on[rest > 8]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def keys_of(items: list[bytes]) -> np.ndarray:
+    """The key that span_keys gives each of these strings."""
+    data, at = np.frombuffer(b"".join(items), np.uint8), np.cumsum([0, *map(len, items)])
+    return span_keys(data, at[:-1], at[1:])
+
+
 def hash_bytes(items: list[bytes]) -> np.ndarray:
     """The hash that span_hashes gives each of these strings."""
     data, at = np.frombuffer(b"".join(items), np.uint8), np.cumsum([0, *map(len, items)])
@@ -114,7 +160,7 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.range = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.range)
-        self.hash = span_hashes(prefix_hashes(self.folded), self.start, self.end)
+        self.hash = span_keys(self.folded, self.start, self.end)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""

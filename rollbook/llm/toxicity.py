@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fold, labelled_sample, map_arrow
-from .textkernel import Words, blocks, prefix_hashes, span_hashes, table
+from .textkernel import Words, blocks, span_keys, table
 
 #: Learning rows used of each class; the sample, and so the driver's memory, is bounded by it.
 SAMPLE_PER_CLASS = 1500
@@ -39,8 +39,7 @@ _BITS = 18
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     """The words of a block, and for each its hash and those of its prefixes."""
     words = Words(data, offsets)
-    sums = prefix_hashes(words.folded)
-    parts = [words.hash, *(span_hashes(sums, words.start, np.minimum(words.end, words.start + n)) ^ np.uint64(n) for n in PREFIXES)]
+    parts = [words.hash, *(span_keys(words.folded, words.start, np.minimum(words.end, words.start + n)) ^ np.uint64(n) for n in PREFIXES)]
     return words, np.stack(parts, 1)
 
 
