@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-
+from ..session import cut, forget
 
 #: Pairs for each task of a round.
 PAIRS = 250_000
@@ -28,9 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
     about the logarithm of the longest path.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    state, tasks = None, max(8, edges.count() // PAIRS)
+    state, last, tasks = None, None, max(8, edges.count() // PAIRS)
     while True:
         pairs = cut(_stars(_stars(pairs, True).coalesce(tasks), False).coalesce(tasks))
+        if last:
+            forget(last)
+        last = pairs
         r = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (r.n, r.s) == state:
             break

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A sample of one row in SAMPLED tells which keys are frequent: at most HOT_KEYS, of which it holds LEAST_DRAWN rows or more.
+SAMPLED, HOT_KEYS, LEAST_DRAWN = 50, 1000, 100
 #: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 holds tens of MB on both sides.
 ROWS = 1000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -19,6 +21,35 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores behind it until no column of these tables is called so (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unskewed(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small`` (stored tables; a key has few rows in ``small``) without a hot key in one task.
+
+    A sample only decides how a key is joined: the rows of ``small`` for its most frequent keys, a bounded number,
+    are broadcast to where the rows of ``big`` lie; all other keys are shuffled. Rows without a key stay where they are.
+    """
+    drawn = big.select(*on).dropna().sample(1 / SAMPLED, 17).groupBy(*on).count().where(F.col("count") >= LEAST_DRAWN)
+    found = [tuple(r)[:-1] for r in drawn.orderBy(F.desc("count")).limit(HOT_KEYS).collect()]
+    if not found:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, big.select(*on).schema))
+    parts = [big.join(hot, on, "left_semi").join(F.broadcast(small.join(hot, on, "left_semi")), on, how)]
+    rest = big.join(hot, on, "left_anti")
+    parts.append(rest.dropna(subset=on).join(small, on, how))
+    if how == "left":
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in on]
+        parts.append(rest.where(" or ".join(f"`{c}` is null" for c in on)).select("*", *none))
+    columns = parts[1].columns
+    return parts[0].select(columns).unionByName(parts[1]) if len(parts) == 2 else parts[0].select(columns).unionByName(parts[1]).unionByName(parts[2].select(columns))
+
+
 def fold(doc_id: str, modulus: int, held: int) -> Column:
     """True where crc32 of the id as text, modulo ``modulus``, is ``held``; False for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == held, F.lit(False))

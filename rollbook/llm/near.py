@@ -9,20 +9,24 @@ candidates, and candidates are verified by the same similarity, exactly.
 
 Texts with equal word sequences are one unit, sketched once. In a band's bucket of a few units all pairs
 are candidates. In a larger one all sketches are compared with each other, in memory, and the pairs that
-may be alike enough are thinned to a spanning forest of the best estimates. Estimates may be wrong, so rounds
-follow: units of a bucket that verified links don't join yet give their next best candidates, more in every
-round, until all candidates between different classes have been verified. A bucket of more units than a block
-is dealt into blocks by a hash for the forest, and every unit is also compared with a few units of the whole
-bucket; the rounds compare all of its blocks with each other. Links are joined to classes by connected components.
+may be alike enough are thinned to a spanning forest of the best estimates, which is verified. Estimates may
+be wrong, so every bucket whose units are then still in several classes is looked at again, exactly: its tasks
+hold the units' sets themselves, compare all units of different classes, and give only the links that join
+classes; so no pairs travel. A bucket of more units or elements than a block is dealt into blocks by a hash: for the
+forest each by itself, with a few units of the whole bucket; for the exact pass, all blocks with each other.
+Links are joined to classes by connected components.
 
 Defined cases: a text without words (null, empty, punctuation) is its own class; a class is named by its
 smallest doc_id, nulls last; repeated rows are members of one class; extra columns are ignored; an empty
-table gives no rows. A unit is a 64-bit hash of the words in order.
+table gives no rows. A unit is half of a 128-bit digest of the words in order; among n different texts about
+n*n / 2**65 pairs share that half, which the other half tells apart: those few units, and only those, are
+known to the driver and take another number.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import cut
+from ..session import cut, forget
 from .components import components
-from .frames import map_arrow
-from .textkernel import Words, blocks, mix, shingles, table
+from .frames import fresh, map_arrow, unskewed
+from .textkernel import Words, blocks, digests, mix, shingles, table
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -41,25 +45,28 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Buckets of so many units at most give all their pairs.
 SMALL = 8
-#: In larger ones, units are candidates if their sketches agree so often that a pair as alike as asked misses it
-#: with this chance at most; they are compared in blocks of so many units, ...
-MISS, BLOCK = 1e-6, 4096
+#: In larger ones, units may be in the forest if their sketches agree so often that a pair as alike as asked misses it
+#: with this chance at most; they are compared in blocks of so many units and elements of their sets, ...
+MISS, BLOCK, ELEMENTS = 1e-6, 4096, 1 << 21
 #: ... and where there are several blocks, with so many units of the whole bucket.
 LEADS = 4
-#: Candidates of a unit in the first round after the forest, and how many times more in each next one.
-NEXT, MORE = 4, 8
+#: A list of so many units at most (8 bytes each) is broadcast to pick their texts.
+BROADCAST_UNITS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _KEYS = np.arange(1, ROWS + 1).astype(np.uint64) * _STEP
 
 
-def units(words: Words) -> np.ndarray:
-    """A hash of each row's words in order; 0 for rows without words."""
-    n = len(words.hash)
-    nth = (np.arange(n) - np.repeat(words.range[:-1], words.count)).astype(np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(words.hash + (nth + _U(1)) * _STEP), dtype=np.uint64, out=total[1:])
-    return np.where(words.count > 0, mix(total[words.range[1:]] - total[words.range[:-1]] + words.count.astype(np.uint64)) | _U(1), _U(0)).view(np.int64)
+def halves(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a digest of each row's words in order; the first is odd, and 0 for rows without words."""
+    both = np.frombuffer(b"".join(digests(words.hash.view(np.uint8), words.range * 8)), np.int64).reshape(-1, 2)
+    return np.where(words.count > 0, both[:, 0] | 1, 0), both[:, 1]
+
+
+def units(words: Words, shared: Sequence[int] = ()) -> np.ndarray:
+    """The unit of each row; ``shared`` are first halves that different texts have in common."""
+    one, two = halves(words)
+    return np.where(np.isin(one, np.array(shared, np.int64)), (one ^ two) | 1, one)
 
 
 def floor(similarity: float) -> int:
@@ -117,18 +124,18 @@ def bands(kept: np.ndarray) -> np.ndarray:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """(doc_id, unit, keys, sketch): band keys and a byte of each register only where a task meets a unit for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """(doc_id, unit, check, keys, sketch, size): band keys, a byte of each register and the number of runs only where a task meets a unit for the first time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("unit", pa.int64()), ("check", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()), ("size", pa.int64())])
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
                 words = Words(data, offsets)
-                unit = units(words)
+                unit, check = halves(words)
                 fresh = np.zeros(len(unit), bool)
-                for i, u in enumerate(unit.tolist()):
-                    if u and u not in seen:
+                for i, u in enumerate(zip(unit.tolist(), check.tolist(), strict=True)):
+                    if u[0] and u not in seen:
                         seen.add(u)
                         fresh[i] = True
                 row, element, weight = runs(words)
@@ -137,18 +144,27 @@ def sketches(documents: DataFrame) -> DataFrame:
                 kept = prob_min_hash(number[row[own]], element[own], weight[own], int(fresh.sum())) if fresh.any() else np.zeros((0, REGISTERS), np.uint64)
                 keys, small = bands(kept), mix(kept).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(fresh) * BANDS]).astype(np.int32)), pa.array(keys.ravel()))
-                yield table(schema, doc_id=batch.column("doc_id")[first:end], unit=pa.array(unit, pa.int64(), mask=unit == 0), keys=lists, sketch=[small[k].tobytes() if f else None for f, k in zip(fresh, number, strict=True)])
+                yield table(schema, doc_id=batch.column("doc_id")[first:end], unit=pa.array(unit, pa.int64(), mask=unit == 0), check=check, keys=lists, sketch=[small[k].tobytes() if f else None for f, k in zip(fresh, number, strict=True)], size=np.bincount(row, minlength=len(unit)))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, unit long, keys array<long>, sketch binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(map_arrow, run, "doc_id long, unit long, check long, keys array<long>, sketch binary, size long")
 
 
-def with_unit(documents: DataFrame, name: str = "unit", text: str = "text") -> DataFrame:
+def told_apart(sketched: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``sketched`` with units that no two texts share, and the first halves that had to be told apart (next to none)."""
+    both = sketched.where("unit is not null").groupBy("unit").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi")
+    shared = [r.unit for r in both.collect()]
+    if shared:
+        sketched = sketched.withColumn("unit", F.when(F.col("unit").isin(shared), F.col("unit").bitwiseXOR(F.col("check")).bitwiseOR(1)).otherwise(F.col("unit")))
+    return sketched, shared
+
+
+def with_unit(documents: DataFrame, shared: Sequence[int] = (), name: str = "unit", text: str = "text") -> DataFrame:
     """``documents`` and a last column of units."""
     schema = StructType([*documents.schema.fields, StructField(name, LongType())])
 
     def run(batches):
         for batch in batches:
-            unit = np.concatenate([np.zeros(0, np.int64), *(units(Words(data, offsets)) for _, _, data, offsets in blocks(batch.column(text)))])
+            unit = np.concatenate([np.zeros(0, np.int64), *(units(Words(data, offsets), shared) for _, _, data, offsets in blocks(batch.column(text)))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unit, pa.int64(), mask=unit == 0)], names=[*batch.schema.names, name])
 
     return documents.transform(map_arrow, run, schema)
@@ -187,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").transform(map_arrow, run, "a long, b long, similarity double")
 
 
-def texts_once(documents: DataFrame) -> DataFrame:
+def texts_once(documents: DataFrame, shared: Sequence[int] = ()) -> DataFrame:
     """(unit, text): a text of each unit once for each task."""
     schema = pa.schema([("unit", pa.int64()), ("text", pa.string())])
 
@@ -195,7 +211,7 @@ def texts_once(documents: DataFrame) -> DataFrame:
         seen: set[int] = {0}
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
-                unit, fresh = units(Words(data, offsets)), []
+                unit, fresh = units(Words(data, offsets), shared), []
                 for i, u in enumerate(unit.tolist()):
                     if u not in seen:
                         seen.add(u)
@@ -206,12 +222,16 @@ def texts_once(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").transform(map_arrow, run, "unit long, text string")
 
 
-def bucket_members(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unit, keys, sketch) of every unit, and (key, unit, n) of buckets of n > 1 units."""
-    one = sketched.where(F.size("keys") > 0).groupBy("unit").agg(F.min(F.struct("keys", "sketch")).alias("s")).select("unit", "s.keys", "s.sketch")
-    exploded = one.select("unit", F.explode("keys").alias("key"))
+def units_once(sketched: DataFrame) -> DataFrame:
+    """(unit, keys, sketch, size) of every unit."""
+    return sketched.where(F.size("keys") > 0).groupBy("unit").agg(F.min(F.struct("keys", "sketch", "size")).alias("s")).select("unit", "s.keys", "s.sketch", "s.size")
+
+
+def bucket_members(one: DataFrame) -> DataFrame:
+    """(key, unit, size, n) of buckets of n > 1 units."""
+    exploded = one.select("unit", "size", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return one, exploded.join(sizes, "key").select("key", "unit", "n")
+    return exploded.join(sizes, "key").select("key", "unit", "size", "n")
 
 
 def forest(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -246,63 +266,101 @@ def forest(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """In how many registers each row of ``left`` agrees with each of ``right``."""
-    out = np.empty((len(left), len(right)), np.uint8)
-    step = max(1, (4 << 20) // max(1, right.size))
-    for k in range(0, len(left), step):
-        out[k : k + step] = (left[k : k + step, None, :] == right[None, :, :]).sum(2, dtype=np.uint8)
+def exact_links(sets: list[np.ndarray], root: np.ndarray, is_row: np.ndarray, is_column: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a row and a column whose sets are similar enough and that connect all classes which such pairs connect.
+
+    Exact: of a pair, elements that no third or other set here has can't be common, which rules most pairs out;
+    the others' common elements are counted. Pairs of one class, given or joined meanwhile, are skipped.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, ids, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = many[ids] > 1
+    ids, owner = ids[held], owner[held]
+    edge = np.searchsorted(owner, np.arange(len(sets) + 1))
+    common_at_most = np.diff(edge)
+    _, root = np.unique(root, return_inverse=True)
+    column, mark, out = np.flatnonzero(is_column), np.zeros(len(many), np.int32), []
+    for x in np.flatnonzero(is_row):
+        bound = np.minimum(common_at_most[x], common_at_most[column])
+        able = (bound >= similarity * (size[x] + size[column] - bound)) & (root[column] != root[x]) & ~(is_row[column] & (column < x) & is_column[x])
+        some = column[able]
+        if not len(some):
+            continue
+        mark[ids[edge[x] : edge[x + 1]]] = 1
+        length = common_at_most[some]
+        begin = np.cumsum(length) - length
+        where = np.repeat(edge[some] - begin, length) + np.arange(length.sum())
+        common = np.add.reduceat(mark[ids[where]], begin)
+        mark[ids[edge[x] : edge[x + 1]]] = 0
+        for y in some[common >= similarity * (size[x] + size[some] - common)]:
+            if root[y] != root[x]:
+                out.append((int(x), int(y)))
+                root[root == root[y]] = root[x]
     return out
 
 
-def next_best(agree: np.ndarray, apart: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """For each row the columns of another class that agree in ``least`` registers, the best ``most`` of them, and
-    whether any row has more of them."""
-    value = np.where(apart & (agree >= least), agree, 0)
-    more = bool(((value > 0).sum(1) > most).any())
-    if more:
-        part = np.argpartition(value, value.shape[1] - most, axis=1)[:, -most:]
-        row, at = np.nonzero(np.take_along_axis(value, part, 1))
-        return row, part[row, at], more
-    return *np.nonzero(value), more
+def element_sets(texts: DataFrame) -> DataFrame:
+    """(unit, elements) of texts (unit, text): the distinct runs of each as sorted 32-bit hashes."""
+    schema = pa.schema([("unit", pa.int64()), ("elements", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for first, end, data, offsets in blocks(batch.column("text")):
+                hashes, rows = shingles(Words(data, offsets), SIZE)
+                edge = np.searchsorted(rows, np.arange(len(offsets)))
+                yield table(schema, unit=batch.column("unit")[first:end], elements=[np.unique((hashes[a:b] >> _U(32)).astype(np.uint32)).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
+
+    return texts.transform(map_arrow, run, "unit long, elements binary")
 
 
-def open_pairs(large: DataFrame, one: DataFrame, roots: DataFrame, least: int, most: int) -> DataFrame:
-    """(a, b, more): candidates between units of a bucket that links don't join yet, the best ``most`` of each unit.
+def open_buckets(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, unit, root, minor, blocks) of all buckets whose units are in several classes.
 
-    In each bucket only the units outside its largest class are rows: of two units of different classes, one at least is.
+    Of two units of different classes at least one is outside the largest class: those are ``minor``.
     """
     rooted = large.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("classes"))
-    left = rooted.join(sizes.where("classes > 1"), "key").select("key", "unit", "root", (F.col("root") != F.col("top.root")).alias("minor"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("elements"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("n"), F.sum("elements").alias("elements")).where("classes > 1")
+    top = top.select("key", F.col("top.root").alias("main"), F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / ELEMENTS)).alias("blocks"))
+    return rooted.join(top, "key").select("key", "unit", "root", (F.col("root") != F.col("main")).alias("minor"), "blocks")
+
+
+def open_links(opened: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between units of different classes in the buckets of open_buckets(), which connect all that links connect."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(rows: pa.Table) -> pa.Table:
         unit, root, is_row, is_column = (rows.column(n).to_numpy() for n in ("unit", "root", "is_row", "is_column"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(unit), -1)
-        row, column = np.flatnonzero(is_row), np.flatnonzero(is_column)
-        out = []
-        for k in range(0, len(row), 512):
-            r = row[k : k + 512]
-            i, j, more = next_best(agreement(sketch[r], sketch[column]), root[r][:, None] != root[column][None, :], least, most)
-            a, b = unit[r[i]], unit[column[j]]
-            out.append(pa.table([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.full(len(a), more))], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        order = np.argsort(unit)
+        elements = rows.column("elements").to_pylist()
+        pairs = exact_links([np.frombuffer(elements[k], np.uint32) for k in order], root[order], is_row[order], is_column[order], similarity)
+        a, b = unit[order][[p[0] for p in pairs]], unit[order][[p[1] for p in pairs]]
+        return pa.table([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], schema=schema)
 
     # a task is the rows of block i and all units of block j
-    dealt = left.withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
+    dealt = opened.withColumn("own", F.pmod(F.xxhash64("unit"), F.col("blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     at_row = F.when(F.col("minor"), F.transform(every, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
     places = F.array_union(at_row, F.transform(every, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"))))
     spread = dealt.withColumn("at", F.explode(places)).select("key", "unit", "root", "at.i", "at.j", (F.col("minor") & (F.col("own") == F.col("at.i"))).alias("is_row"), (F.col("own") == F.col("at.j")).alias("is_column"))
-    held = spread.join(one.select("unit", "sketch"), "unit").select("key", "i", "j", "unit", "root", "is_row", "is_column", "sketch")
-    return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    held = spread.join(sets, "unit").select("key", "i", "j", "unit", "root", "is_row", "is_column", "elements")
+    return held.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame, shared: Sequence[int]) -> DataFrame:
+    """(unit, text) of the wanted units, stored. A list of units within a checked bound is broadcast, so that only wanted texts are shuffled."""
+    wanted = cut(wanted.distinct())
+    few = wanted.count() <= BROADCAST_UNITS
+    texts = texts_once(documents, shared).join(F.broadcast(wanted) if few else wanted.hint("merge"), "unit")
+    out = cut(texts.groupBy("unit").agg(F.first("text").alias("text")))
+    forget(wanted)
+    return out
 
 
-def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of units that connect every class, and (node, root) of its units; sketched is a stored result of sketches()."""
-    one, found = bucket_members(sketched)
-    members = cut(found)
+def links(documents: DataFrame, one: DataFrame, shared: Sequence[int] = (), similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs of units that connect every class, and (node, root) of its units; ``one`` is a stored result of units_once()."""
+    members = cut(bucket_members(one))
     few = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("unit").alias("u"))
     small = few.select(F.explode(F.flatten(F.transform("u", lambda x, i: F.transform(F.slice("u", i + 2, SMALL), lambda y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")))))).alias("p")).select("p.a", "p.b")
     large = members.where(F.col("n") > SMALL)
@@ -324,48 +382,54 @@ def links(documents: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     stars = huge.join(leads.select("key", "lead"), "key").where("unit != lead").select(F.greatest("unit", "lead").alias("a"), F.least("unit", "lead").alias("b"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct()
-        texts = cut(texts_once(documents).hint("merge").join(wanted, "unit").groupBy("unit").agg(F.first("text").alias("text")))
-        return cut(verified(pairs, texts, similarity))
+        texts = texts_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("unit")), shared)
+        out = cut(verified(pairs, texts, similarity))
+        forget(texts)
+        return out
 
     tried = cut(small.unionByName(forests).unionByName(stars).distinct())
     found = checked(tried)
+    forget(tried)
     roots = cut(components(found))
-    most, more = NEXT, large.limit(1).count() > 0
-    while more:
-        candidates = cut(open_pairs(large, one, roots, least, most))
-        more = candidates.where("more").limit(1).count() > 0
-        fresh = cut(candidates.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if fresh.limit(1).count():
-            new = checked(fresh)
-            tried = tried.unionByName(fresh)
-            if new.limit(1).count():
-                found = found.unionByName(new)
-                roots = cut(components(found))
-        most *= MORE
+    opened = cut(open_buckets(large, roots))
+    if opened.limit(1).count():
+        texts = texts_of(documents, opened.select("unit"), shared)
+        more = cut(open_links(opened, element_sets(texts), similarity))
+        if more.limit(1).count():
+            found = found.unionByName(cut(verified(more, texts, similarity)))
+            forget(roots)
+            roots = cut(components(found))
+        forget(texts, more)
+    forget(opened, members)
     return found, roots
 
 
-def members(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of documents: doc_id, unit, the root of its class (null without words), and n_links of the unit."""
-    sketched = cut(sketches(documents))
-    found, roots = links(documents, sketched, similarity)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    return sketched.select("doc_id", "unit").join(roots.join(degree, "node", "left").withColumnRenamed("node", "unit"), "unit", "left").select("doc_id", "unit", F.coalesce("root", "unit").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def members(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, list[int]]:
+    """Per row of documents, stored: doc_id, unit and the root of its class (null without words); and what told_apart() found."""
+    stored = cut(sketches(documents))
+    sketched, shared = told_apart(stored)
+    one, ids = cut(units_once(sketched)), cut(sketched.select("doc_id", "unit"))
+    forget(stored)
+    _, roots = links(documents, one, shared, similarity)
+    rows = unskewed(ids, roots.withColumnRenamed("node", "unit"), ["unit"], "left")
+    out = cut(rows.select("doc_id", "unit", F.coalesce("root", "unit").alias("root")))
+    forget(one, ids, roots)
+    return out, shared
 
 
 def classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of documents: doc_id, class_id (the smallest doc_id of its class), class_size, unit, and n_links of the unit."""
-    rows = members(documents, similarity)
+    """Per row of documents: doc_id, class_id (the smallest doc_id of its class), class_size and unit."""
+    rows, _ = members(documents, similarity)
     names = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(names, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_links", "unit")
+    return unskewed(rows, names, ["root"], "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "unit")
 
 
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the columns of ``documents``: the first by doc_id, nulls last. Rows without words stay."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "unit")).alias("k")
-    found = members(documents, similarity).where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("k.doc_id").alias("_id"), F.col("k.unit").alias("_unit"))
-    own = "_rollbook_unit"
-    marked = with_unit(documents, own)
-    kept = marked.join(found, marked["doc_id"].eqNullSafe(found["_id"]) & (marked[own] == found["_unit"])).drop("_id", "_unit").dropDuplicates(["doc_id", own])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "unit")).alias("k")
+    rows, shared = members(documents, similarity)
+    own, the_id, the_unit = (fresh(n, documents) for n in ("kept_unit", "first_id", "first_unit"))
+    found = rows.where(F.col("root").isNotNull()).groupBy("root").agg(first).select(F.col("k.doc_id").alias(the_id), F.col("k.unit").alias(the_unit))
+    marked = with_unit(documents, shared, own)
+    kept = marked.join(found, F.col("doc_id").eqNullSafe(F.col(the_id)) & (F.col(own) == F.col(the_unit))).drop(the_id, the_unit).dropDuplicates(["doc_id", own])
     return kept.unionByName(marked.where(F.col(own).isNull())).drop(own)
