@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages from raw documents to packed training sequences.
 
 Each stage works on all that its predecessor kept, which was written as Parquet and read again. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever else they are called.
+
+Defined cases: rows without a language (null, empty or letterless texts among them) end in the first stage, so
+later stages meet such rows only where they are called on their own: there a null or empty text has no lines, is
+near no other text, has no benchmark window, and is packed as its end id. Repeated rows are one class of near
+duplicates. An empty table passes all stages as an empty table.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import decontamination, language, lines, near, packing
-from rollbook.llm.frames import read
+from rollbook.llm.frames import fresh, read
 from rollbook.session import cut
 
 #: A document is rejected if no language is found, or none with this posterior.
@@ -19,13 +24,14 @@ LEAST_POSTERIOR = 0.5
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language (null, empty, no letter) or with an unclear one."""
-    model = language.Model.fit(docs)
-    return language.mark(docs, model, "_rollbook_lang").where((F.col("_rollbook_lang.lang_pred") != "und") & (F.col("_rollbook_lang.score") >= LEAST_POSTERIOR)).drop("_rollbook_lang")
+    found = fresh("language", docs)
+    return language.mark(docs, language.Model.fit(docs), found).where((F.col(found)["lang_pred"] != "und") & (F.col(found)["score"] >= LEAST_POSTERIOR)).drop(found)
 
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes boilerplate lines of each source; n_chars follows the text. Every document stays."""
-    cleaned = lines.dedup_lines(docs).drop("n_lines", "n_dropped").select(docs.columns)
+    found = fresh("cleaned", docs)
+    cleaned = lines.marked(docs, found).withColumn("text", F.col(found)["text"]).drop(found)
     return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
 
 
@@ -36,7 +42,8 @@ def by_nearness(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark window."""
-    return decontamination.mark(docs, read(spark, sf_dir, "benchmark"), "_rollbook_hit").where("_rollbook_hit = 0").drop("_rollbook_hit")
+    found = fresh("n_hit", docs)
+    return decontamination.mark(docs, read(spark, sf_dir, "benchmark"), found).where(F.col(found) == 0).drop(found)
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
