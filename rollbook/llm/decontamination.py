@@ -1,9 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Texts are normalised to lower-case words joined by single spaces. Every run of ten consecutive words
-of a benchmark item (all words of a shorter item) is a pattern; the automaton holds all patterns, and
-each document is scanned once. Match ends are mapped back to words and from there to byte offsets of
-the original text.
+Texts are normalised to lower-case words. Every run of ten consecutive words of a benchmark item (all words
+of a shorter item) is a pattern; the automaton holds all patterns, its letters being the benchmark's words, and
+each document is scanned once, word by word. Words outside the benchmark are one letter of no pattern. Match ends
+are words, whose byte offsets in the original text are known.
+
+An automaton is held by every Python worker, so its size is bounded. A benchmark of more bytes is dealt into
+several automata by a hash of the items; the documents are scanned by one after another, what was found so far
+being stored with them in between.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no pattern; a
 null item_id still marks words but is no item; repeated items count once for each distinct id; extra
@@ -13,144 +17,151 @@ columns of either table are ignored; an empty benchmark leaves every document cl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .frames import map_arrow
-from .textkernel import FOLD, Words, blocks, table
+from ..session import cut, forget
+from .frames import fresh, map_arrow
+from .textkernel import Words, blocks
 
 WINDOW = 10
-#: The automaton is held by every Python worker, so the benchmark is checked against this many bytes.
-MAX_BENCHMARK_BYTES = 32 << 20
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-
-
-def normalised(data: np.ndarray, words: Words) -> tuple[bytes, np.ndarray]:
-    """All words of a block, each with a space on both sides, and where each word begins in that."""
-    length = words.end - words.start
-    begin = np.concatenate([[0], np.cumsum(length + 1)])
-    out = np.full(begin[-1] + 1, 32, np.uint8)
-    inside = words.folded != 0
-    out[np.arange(inside.sum()) + np.repeat(np.arange(len(length)), length) + 1] = words.folded[inside]
-    return out.tobytes(), begin
-
-
-def words_of(text: str | None) -> list[str]:
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    words, folded = Words(data, np.array([0, len(data)])), FOLD[data].tobytes()
-    return [folded[a:b].decode() for a, b in zip(words.start, words.end, strict=True)]
-
-
-def automaton(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Patterns to (number of words, ids of the items that hold it)."""
-    patterns: dict[str, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            run = words[k : k + window]
-            owners = patterns.setdefault(f" {' '.join(run)} ", (len(run), set()))[1]
-            if item_id is not None:
-                owners.add(item_id)
-    if not patterns:
-        return None
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-    for pattern, value in patterns.items():
-        machine.add_word(pattern, value)
-    machine.make_automaton()
-    return machine
-
-
-_built: dict[int, ahocorasick.Automaton | None] = {}
-
-
-def _machine(items, window: int):
+#: Bytes of benchmark texts for one automaton, about: some 150 bytes of memory for each.
+AUTOMATON_BYTES = 2 << 20
+
+_RUNS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+_FOUND = StructType([StructField("n_words", LongType()), StructField("runs", _RUNS), StructField("spans", _RUNS), StructField("items", ArrayType(StringType()))])
+_PAIRS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ARROW = pa.struct([("n_words", pa.int64()), ("runs", _PAIRS), ("spans", _PAIRS), ("items", pa.list_(pa.string()))])
+
+#: The letter of words that no pattern has.
+_OTHER = 1
+
+
+def letters(numbers: np.ndarray) -> np.ndarray:
+    """Word numbers as code points that are letters of their own: from 2 on, without surrogates."""
+    return np.where(numbers < 0xD7FE, numbers + 2, numbers + 0x802)
+
+
+def as_string(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le")
+
+
+class Machine:
+    """The automaton of some items (item_id, text)."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        raw = [text.encode() for _, text in items]
+        words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.known, numbers = np.unique(words.hash, return_inverse=True)
+        if len(self.known) > 1_000_000:
+            raise ValueError("an automaton has a million different words at most")
+        text = as_string(letters(numbers))
+        patterns: dict[str, set[str]] = {}
+        for (item_id, _), a, b in zip(items, words.range[:-1].tolist(), words.range[1:].tolist(), strict=True):
+            for k in range(a, max(a + 1, b - window + 1) if b > a else a):
+                owners = patterns.setdefault(text[k : min(b, k + window)], set())
+                if item_id is not None:
+                    owners.add(item_id)
+        self.shortest = min(map(len, patterns), default=0)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for pattern, owners in patterns.items():
+            self.machine.add_word(pattern, (len(pattern), frozenset(owners)))
+        if patterns:
+            self.machine.make_automaton()
+
+    def scan(self, words: Words):
+        """For each row which of its words lie in a match, and the items that match."""
+        codes = np.full(len(words.hash), _OTHER)
+        if self.shortest:
+            at = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
+            hit = self.known[at] == words.hash
+            codes[hit] = letters(at[hit])
+        for a, b in zip(words.range[:-1].tolist(), words.range[1:].tolist(), strict=True):
+            edges, items = np.zeros(b - a + 1, np.int32), set()
+            if self.shortest and (codes[a:b] != _OTHER).sum() >= self.shortest:
+                for last, (n, owners) in self.machine.iter(as_string(codes[a:b])):
+                    edges[last + 1 - n] += 1
+                    edges[last + 1] -= 1
+                    items |= owners
+            yield np.cumsum(edges[:-1]) > 0, items
+
+
+_built: dict[bytes, Machine] = {}
+
+
+def _machine(items, window: int) -> Machine:
     """Built once in each worker process; the latest one is kept."""
-    key = hash((window, tuple(items)))
+    key = hashlib.sha256(repr((window, items)).encode()).digest()
     if key not in _built:
         _built.clear()
-        _built[key] = automaton(items, window)
+        _built[key] = Machine(items, window)
     return _built[key]
 
 
-def scan(text: str, begin_chars: np.ndarray, machine) -> tuple[np.ndarray, set[str]]:
-    """Which words lie in a match, and the items that match. begin_chars: where each word's leading space is."""
-    edges, items = np.zeros(len(begin_chars) + 1, np.int32), set()
-    for last, (n, owners) in machine.iter(text):
-        word = int(np.searchsorted(begin_chars, last, "left"))  # words before the closing space
-        edges[word - n] += 1
-        edges[word] -= 1
-        items |= owners
-    return np.cumsum(edges[:-1]) > 0, items
-
-
-def items_of(benchmark: DataFrame) -> list[tuple[str | None, str]]:
-    """The benchmark's items, once its size is found to be within the bound."""
-    used = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").where("text is not null")
+def dealt_items(benchmark: DataFrame):
+    """The distinct items with a text, one part after another, each of about AUTOMATON_BYTES."""
+    used = benchmark.selectExpr("cast(item_id as string) item_id", "cast(text as string) text").where("text is not null").distinct()
     size = used.selectExpr("coalesce(sum(octet_length(text)), 0) n").first().n
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; one automaton is built for {MAX_BENCHMARK_BYTES} at most")
-    return sorted({(r.item_id, r.text) for r in used.collect()}, key=str)
-
-
-def scan_block(data: np.ndarray, offsets: np.ndarray, machine):
-    """For each row: its first word and how many words it has, which of them are hit, and the items found."""
-    words = Words(data, offsets)
-    joined, begin = normalised(data, words)
-    for a, b in zip(words.range[:-1], words.range[1:], strict=True):
-        hit, items = np.zeros(b - a, bool), set()
-        if machine is not None and b > a:
-            raw = joined[begin[a] : begin[b] + 1]
-            text = raw.decode("utf-8", "replace")
-            where = begin[a : b + 1] - begin[a]
-            if len(text) != len(raw) and next(machine.iter(text), None) is not None:
-                lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
-                where = (np.cumsum(lead) - 1)[where]
-            hit, items = scan(text, where, machine)
-            hit = hit[: b - a]
-        yield words, a, hit, sorted(items)
+    parts = max(1, -(-size // AUTOMATON_BYTES))
+    for k in range(parts):
+        part = used if parts == 1 else used.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        yield k == parts - 1, sorted([(r.item_id, r.text) for r in part.collect()], key=str)
+
+
+def marked(documents: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW) -> DataFrame:
+    """``documents`` with a last column ``name``: n_words, runs of words inside windows (word numbers), their spans
+    (byte offsets of the text) and the sorted items that occur."""
+    schema, held = StructType([*documents.schema.fields, StructField(name, _FOUND)]), None
+    for last, items in dealt_items(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches, shared=shared, again=held is not None):
+            machine = _machine(shared.value, window)
+            for batch in batches:
+                before = batch.column(name).to_pylist() if again else None
+                out = []
+                for first, _, data, offsets in blocks(batch.column("text")):
+                    words = Words(data, offsets)
+                    for i, (hit, found) in enumerate(machine.scan(words)):
+                        if again:
+                            found = found.union(before[first + i]["items"])
+                            for r in before[first + i]["runs"]:
+                                hit[r["start"] : r["end"]] = True
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).tolist() if hit.any() else []
+                        runs, a, at = list(zip(edge[::2], edge[1::2], strict=True)), words.range[i], offsets[i]
+                        spans = [{"start": int(words.start[a + s] - at), "end": int(words.end[a + e - 1] - at)} for s, e in runs]
+                        out.append({"n_words": len(hit), "runs": [{"start": s, "end": e} for s, e in runs], "spans": spans, "items": sorted(found)})
+                columns = batch.columns[:-1] if again else batch.columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _ARROW)], names=[f.name for f in schema])
+
+        done = (documents if held is None else held).transform(map_arrow, run, schema)
+        if last:
+            return done
+        before, held = held, cut(done)
+        if before is not None:
+            forget(before)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, words inside benchmark windows, items that occur, and hit spans as byte offsets of the text."""
-    shared = documents.sparkSession.sparkContext.broadcast(items_of(benchmark))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(shared.value, window)
-        for batch in batches:
-            for first, end, data, offsets in blocks(batch.column("text")):
-                size, hits, found, spans = [], [], [], []
-                for at, (words, a, hit, items) in zip(offsets.tolist(), scan_block(data, offsets, machine), strict=False):
-                    size.append(len(hit))
-                    hits.append(int(hit.sum()))
-                    found.append(items)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]])))
-                    spans.append([{"start": int(words.start[a + s]) - at, "end": int(words.end[a + e - 1]) - at} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-                yield table(
-                    _ARROW, doc_id=batch.column("doc_id")[first:end], n_words=size, n_hit=hits, n_items=[len(x) for x in found],
-                    items_sha256=[hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], contaminated=[n > 0 for n in hits], items=found, spans=spans,
-                )
-
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").transform(map_arrow, run, SCHEMA)
+    found = marked(documents.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text"), benchmark, "found", window)
+    n_hit = F.aggregate("found.runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id", F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.size("found.runs") > 0).alias("contaminated"), F.col("found.items").alias("items"), F.col("found.spans").alias("spans"),
+    )
 
 
 def mark(documents: DataFrame, benchmark: DataFrame, name: str = "n_hit", window: int = WINDOW) -> DataFrame:
     """``documents`` with a last column ``name``: the words inside benchmark windows."""
-    shared = documents.sparkSession.sparkContext.broadcast(items_of(benchmark))
-
-    def run(batches):
-        machine = _machine(shared.value, window)
-        for batch in batches:
-            hits = [int(hit.sum()) for _, _, data, offsets in blocks(batch.column("text")) for _, _, hit, _ in scan_block(data, offsets, machine)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.int64())], names=[*batch.schema.names, name])
-
-    return documents.transform(map_arrow, run, StructType([*documents.schema.fields, StructField(name, LongType())]))
+    found = fresh("found", documents)
+    n_hit = F.aggregate(F.col(found)["runs"], F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return marked(documents, benchmark, found, window).withColumn(found, n_hit).withColumnRenamed(found, name)
 
 
 ORACLE_SQL = r"""
