@@ -8,6 +8,11 @@ of bits is a disclosing term; all its occurrences in documents that mention that
 generalised to a placeholder if some other document has the term, and removed otherwise. Counts cover all
 documents and all their words; a term's documents are counted with partial sums.
 
+A page of many entities and many terms would have the product of both as pairs. Most needn't be made: entities
+of one set of documents count as one; a term of so few documents that one of them is enough discloses all
+entities beside it; and an entity of fewer documents than a term needs can't be disclosed by it. Pairs are
+only made of the rest.
+
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds all stay, and the
 sanitised text replaces their union once, by the placeholder of the first; repeated rows count as
 documents of their own; an empty table gives no rows; extra columns are ignored.
@@ -23,22 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .frames import map_arrow, unskewed
 from .language import letter_words
-from .frames import map_arrow
-from .textkernel import blocks, hash_bytes, table
+from .textkernel import blocks, digest, keys_of, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans added by the method follow the base kinds.
 TERM = "term"
-#: A term discloses an entity if it leaves at most so many bits of uncertainty about it ...
+#: A term discloses an entity if it leaves at most so many bits of uncertainty about it; one document is enough.
 MAX_BITS = 1.0
-#: ... and so many documents show both together: one is enough.
-LEAST_DOCS = 1
 LEAST_LETTERS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match begins where a run of digits does, as what fails there fails at its later digits too, and takes whole runs
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -116,16 +121,15 @@ def sanitise(text: str, spans: list[tuple[str, int, int]], removed: set[tuple[in
 
 
 _WORD_KEY = "word_key long, n long"
-_SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string())])
-_MENTION = pa.schema([("row_key", pa.int64()), ("entity", pa.int64()), ("term", pa.int64()), ("places", pa.list_(pa.int64()))])
-
-
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"`{f.name}` {'long' if f.type == pa.int64() else 'array<long>' if pa.types.is_list(f.type) else 'string'}" for f in schema)
+_SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.binary()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", pa.string())])
+_TERM = pa.struct([("term", pa.int64()), ("places", pa.list_(pa.int64()))])
+_MENTION = pa.schema([("row_key", pa.binary()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(_TERM))])
+_SCAN_DDL = "doc_id long, row_key binary, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, base string"
+_MENTION_DDL = "row_key binary, entities array<long>, terms array<struct<term:long,places:array<long>>>"
 
 
 def _hashes(items: list[str]) -> np.ndarray:
-    return hash_bytes([x.encode() for x in items]).view(np.int64) if items else np.zeros(0, np.int64)
+    return keys_of([x.encode() for x in items]).view(np.int64) if items else np.zeros(0, np.int64)
 
 
 def _term_keys(terms: list[str]) -> np.ndarray:
@@ -135,8 +139,16 @@ def _term_keys(terms: list[str]) -> np.ndarray:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _rows(batch):
+    """The rows of a batch in blocks of bounded bytes: their numbers, and for each its key (a digest of id and text) and text."""
+    ids = batch.column("doc_id").to_pylist()
+    for first, end, data, offsets in blocks(batch.column("text")):
+        raw = data.tobytes()
+        parts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield first, end, [(digest(b"%s:%s" % (str(i).encode(), p)), p.decode()) for i, p in zip(ids[first:end], parts, strict=True)]
 
 
 def base(documents: DataFrame) -> DataFrame:
@@ -144,46 +156,34 @@ def base(documents: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                spans = [base_spans(t) for t in part.column("text").to_pylist()]
+            for first, end, rows in _rows(batch):
+                spans = [base_spans(t) for _, t in rows]
                 text = [joined(s) for s in spans]
                 counts = {f"n_{k}": [sum(s[0] == k for s in x) for x in spans] for k in KINDS}
-                yield table(_SCAN, doc_id=part.column("doc_id"), row_key=part.column("row_key"), base=text, base_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in text], **counts)
+                yield table(_SCAN, doc_id=batch.column("doc_id")[first:end], row_key=[k for k, _ in rows], base=text, base_sha256=[hashlib.sha256(t.encode()).hexdigest() for t in text], **counts)
 
-    return _texts(documents).transform(map_arrow, run, _ddl(_SCAN))
+    return _texts(documents).transform(map_arrow, run, _SCAN_DDL)
 
 
-def mentions(documents: DataFrame, places: bool = True) -> DataFrame:
-    """A row for each entity and term of a document that mentions the entity, with the starts and ends of the term's
-    occurrences outside base spans if ``places``. Only texts with a digit or an at sign are looked at."""
+def mentions(documents: DataFrame) -> DataFrame:
+    """A row for each document that mentions an entity: its entities, and its terms with the starts and ends of their occurrences
+    outside base spans. Only texts with a digit or an at sign are looked at."""
 
     def run(batches):
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
-                rows, who, what, where = [], [], [], []
-                for key, text in zip(part.column("row_key").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    spans = base_spans(text)
-                    words = terms(text, spans) if spans else []
-                    if not words:
+            for _, _, rows in _rows(batch):
+                out = []
+                for key, text in rows:
+                    if not (spans := base_spans(text)) or not (words := terms(text, spans)):
                         continue
                     at: dict[int, list[int]] = {}
                     for term, (_, start, end, free) in zip(_term_keys([w[0] for w in words]).tolist(), words, strict=True):
-                        held = at.setdefault(term, [])
-                        if free and places:
-                            held += (start, end)
-                    for entity in _hashes(entities(text, spans)).tolist():
-                        rows += [key] * len(at)
-                        who += [entity] * len(at)
-                        what += at.keys()
-                        where += at.values()
-                        if len(rows) > 100_000:  # a text with many entities
-                            yield table(_MENTION, row_key=rows, entity=who, term=what, places=where)
-                            rows, who, what, where = [], [], [], []
-                yield table(_MENTION, row_key=rows, entity=who, term=what, places=where)
-
-    return _texts(documents).where(F.col("text").rlike("[0-9@]")).transform(map_arrow, run, _ddl(_MENTION))
+                        at.setdefault(term, []).extend((start, end) if free else ())
+                    out.append({"row_key": key, "entities": _hashes(entities(text, spans)).tolist(), "terms": [{"term": t, "places": p} for t, p in at.items()]})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, _MENTION)
+
+    return _texts(documents).where(F.col("text").rlike("[0-9@]")).transform(map_arrow, run, _MENTION_DDL)
 
 
 def word_documents(documents: DataFrame) -> DataFrame:
@@ -216,39 +216,66 @@ def word_documents(documents: DataFrame) -> DataFrame:
     return _texts(documents).select("text").transform(map_arrow, run, _WORD_KEY).groupBy("word_key").agg(F.sum("n").alias("n"))
 
 
-def disclosing(mentioned: DataFrame, words: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(entity, term, bits, removed) of the terms that reveal an entity."""
-    together = mentioned.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least_docs)
-    bits = -F.log2(F.col("n_both") / F.col("n"))
-    return together.join(words, F.col("term") == F.col("word_key")).select("entity", "term", bits.alias("bits"), (F.col("n") <= F.col("n_both")).alias("removed")).where(F.col("bits") <= max_bits)
-
-
-def detect(documents: DataFrame, max_bits: float = MAX_BITS, least_docs: int = LEAST_DOCS) -> DataFrame:
+def disclosing(mentioned: DataFrame, words: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
+    """(row_key, term, removed) of the terms that reveal an entity of that document, from a stored result of mentions().
+
+    A repeated row (same id and text) mentions as often as it is there.
+    """
+    share = 2.0**-max_bits  # of a term's documents that have to mention the entity
+    documents = cut(mentioned.groupBy("row_key").agg(F.count(F.lit(1)).alias("times")))
+    times = documents.where("times > 1")
+    each = mentioned.dropDuplicates(["row_key"]).join(times, "row_key", "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    entity = cut(each.select("row_key", "times", F.explode("entities").alias("entity")))
+    term = cut(each.select("row_key", "times", F.explode("terms.term").alias("term")))
+    # entities of one set of documents have the same counts with every term: n, and two sums of their documents' hashes, name the set
+    # two documents may have one hash; two sets of documents then differ in the other
+    h = [F.xxhash64("row_key", F.lit(k)).cast("decimal(20,0)") for k in (1, 2)]
+    sets = cut(entity.groupBy("entity").agg(F.sum("times").alias("n_e"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b")))
+    group = cut(unskewed(entity, sets, ["entity"]).select("row_key", "times", F.xxhash64("n_e", "a", "b").alias("who"), "n_e").distinct())
+    known = cut(unskewed(term, words.withColumnRenamed("word_key", "term"), ["term"]).select("row_key", "term", "n"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    pairs = known.where("n > 1").join(group.where("n_e > 1"), "row_key").where(F.col("n_e") >= least)
+    together = pairs.groupBy("who", "term").agg(F.sum("times").alias("n_both"), F.first("n").alias("n"))
+    told = cut(together.where(F.col("n_both") >= least).select("who", "term", (F.col("n") <= F.col("n_both")).alias("whole")))
+    some = pairs.select("row_key", "who", "term").join(told, ["who", "term"]).groupBy("row_key", "term").agg(F.max("whole").alias("whole"))
+    alone = known.where(least <= 1).select("row_key", "term", (F.col("n") == 1).alias("whole"))
+    return some.unionByName(alone).groupBy("row_key", "term").agg(F.max("whole").alias("removed"))
+
+
+def detect(documents: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """Per document: base counts and digest, all spans, and ``terms``: the added spans as structs (start, end, removed)."""
-    told = disclosing(mentions(documents, False), word_documents(documents), max_bits, least_docs)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("places"), F.lit(2)), lambda k: F.struct(F.element_at("places", k).alias("start"), F.element_at("places", k + 1).alias("end")))
-    found = mentions(documents).where(F.size("places") > 0).join(told, ["entity", "term"]).select("row_key", "removed", F.explode(pairs).alias("p"))
-    terms = found.select("row_key", "p.start", "p.end", "removed").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "removed"))).alias("terms"))
-    # a word that reveals two entities is one span; it is removed if either says so
-    merged = F.transform(
-        F.array_distinct(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.exists("terms", lambda t: (t["start"] == s["start"]) & t["removed"]).alias("removed")),
-    )
+    mentioned = cut(mentions(documents))
+    told = disclosing(mentioned, word_documents(documents), max_bits)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t.places"), F.lit(2)), lambda k: F.struct(F.element_at("t.places", k).alias("start"), F.element_at("t.places", k + 1).alias("end")))
+    places = mentioned.dropDuplicates(["row_key"]).select("row_key", F.explode("terms").alias("t")).where(F.size("t.places") > 0).select("row_key", F.col("t.term").alias("term"), pairs.alias("at"))
+    found = places.join(told, ["row_key", "term"]).select("row_key", F.explode(F.transform("at", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("removed").alias("removed")))).alias("p"))
+    terms = cut(found.groupBy("row_key").agg(F.array_sort(F.collect_list("p")).alias("terms")))
     text = F.transform("terms", lambda t: F.concat_ws(":", F.lit(TERM), t["start"], t["end"]))
-    found = base(documents).join(terms.withColumn("terms", merged), "row_key", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")))
-    return found.select("doc_id", "row_key", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), text), ",").alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
+    found = unskewed(cut(base(documents)), terms, ["row_key"], "left").withColumn("terms", F.coalesce("terms", none))
+    added = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), text), ",")
+    return found.select("doc_id", "row_key", *(f"n_{k}" for k in KINDS), "base_sha256", added.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms")
 
 
-def sanitise_documents(documents: DataFrame, **limits) -> DataFrame:
+def sanitise_documents(documents: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """Per document: doc_id, the sanitised text and its spans."""
-    found = detect(documents, **limits).groupBy("row_key").agg(F.first("spans").alias("spans"), F.first("terms").alias("terms"))
+    found = detect(documents, max_bits).dropDuplicates(["row_key"]).where("spans != ''").select("row_key", "spans", "terms")
+    keyed = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("row_key", pa.binary())])
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.string())])
 
-    def run(batches):
+    def key(batches):
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            removed = [{(t["start"], t["end"]) for t in x if t["removed"]} for x in batch.column("terms").to_pylist()]
-            split = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(","))] if s else [] for s in spans]
-            yield table(schema, doc_id=batch.column("doc_id"), text=[sanitise(t, s, r) for t, s, r in zip(texts, split, removed, strict=True)], spans=spans)
+            for first, end, rows in _rows(batch):
+                yield table(keyed, doc_id=batch.column("doc_id")[first:end], text=batch.column("text")[first:end], row_key=[k for k, _ in rows])
 
-    return _texts(documents).join(found, "row_key").select("doc_id", "text", "spans", "terms").transform(map_arrow, run, "doc_id long, text string, spans string")
+    def run(batches):
+        for batch in batches:
+            for first, end, _, _ in blocks(batch.column("text")):
+                part = batch.slice(first, end - first)
+                texts, spans = part.column("text").to_pylist(), [s or "" for s in part.column("spans").to_pylist()]
+                removed = [{(t["start"], t["end"]) for t in x or () if t["removed"]} for x in part.column("terms").to_pylist()]
+                split = [[(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(","))] if s else [] for s in spans]
+                yield table(schema, doc_id=part.column("doc_id"), text=[sanitise(t, s, r) for t, s, r in zip(texts, split, removed, strict=True)], spans=spans)
+
+    rows = _texts(documents).transform(map_arrow, key, "doc_id long, text string, row_key binary")
+    return rows.join(found, "row_key", "left").select("doc_id", "text", "spans", "terms").transform(map_arrow, run, "doc_id long, text string, spans string")
