@@ -7,7 +7,7 @@ encodings is scored by a logistic layer. A share of the sample is kept from trai
 score so that 0.5 is the best cut.
 
 Defined cases: a null or empty text is one passage without words; without both classes among the
-learning rows every score is 0.5; ids with several labels count as 1 if one label says so; repeated rows
+learning rows (of short enough texts) every score is 0.5; ids with several labels count as 1 if one label says so; repeated rows
 and extra columns do no harm. Long texts are more passages; their attention is summed in pieces, so
 memory grows with the text alone.
 """
@@ -24,8 +24,8 @@ from .textkernel import Words, blocks, table
 from .toxicity import best_cut
 
 PASSAGE = 64
-#: Learning rows used of each class; the sample, and so the driver's memory, is bounded by it.
-SAMPLE_PER_CLASS = 3000
+#: Learning rows used of each class, and the most bytes of a text that teaches: both bound the driver's memory.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 3000, 1 << 16
 CUT = 0.5
 HIDDEN, GATE = 16, 12
 EPOCHS = 25
@@ -151,7 +151,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
                 edge = np.concatenate([[0], np.cumsum(count)])
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], y=batch.column("y")[first:end], bag=[x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
-    drawn = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
+    short = F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES
+    drawn = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(short).join(sample, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text")
     rows = sorted(drawn.transform(map_arrow, run, "doc_id long, y int, bag binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["bag"]))
     y = np.array([r["y"] for r in rows], int)
     if len(np.unique(y)) < 2:

@@ -9,7 +9,7 @@ multiplying embeddings again. A share of the sample is kept from training: it pl
 0.7 is the best cut, and gives each language its own threshold.
 
 Defined cases: a null or empty text has pooled values of zero and so the model's base score; without
-both classes among the learning rows every score is 0.5; ids with several labels count as toxic if one
+both classes among the learning rows (of short enough texts) every score is 0.5; ids with several labels count as toxic if one
 label says so; rows with a null language use the threshold 0.7; repeated rows and extra columns do no
 harm.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .frames import fold, labelled_sample, map_arrow
 from .textkernel import Words, blocks, span_keys, table
 
-#: Learning rows used of each class; the sample, and so the driver's memory, is bounded by it.
-SAMPLE_PER_CLASS = 1500
+#: Learning rows used of each class, and the most bytes of a text that teaches: both bound the driver's memory.
+SAMPLE_PER_CLASS, SAMPLE_BYTES = 1500, 1 << 15
 CUT = 0.7
 DIM = 16
 FILTERS = 6
@@ -230,7 +230,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLA
                 words, ids = word_hashes(data, offsets)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], lang=batch.column("lang")[first:end], y=batch.column("y")[first:end], ids=[ids[a:b].tobytes() for a, b in zip(words.range[:-1], words.range[1:], strict=True)])
 
-    drawn = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(sample, "doc_id")
+    drawn = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(sample, "doc_id")
     rows = sorted(drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "y", "text").transform(map_arrow, run, "doc_id long, lang string, y int, ids binary").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["ids"]))
     docs = [np.frombuffer(r["ids"], np.uint64).reshape(-1, PARTS) for r in rows]
     chosen = unlike(docs)
