@@ -205,14 +205,84 @@ def test_forward_sums_all_segmentations():
     pieces = [b" a", b"a", b"b", b"ab", b" ab", b" ", b"abb"]
     pieces += [bytes([x]) for x in range(256) if bytes([x]) not in pieces]
     p = np.append(np.linspace(0.1, 0.4, len(pieces)), 0)[:, None]
-    (word, ids), = language.pieces_of(np.frombuffer(b"abb", np.uint8), np.array([0]), np.array([3]), language.Lookup(pieces))
+    parts = language.Parts(np.frombuffer(b"abb", np.uint8), np.array([0]), np.array([3]), language.Lookup(pieces))
+    (word, ids), = parts.together()
 
     def total(s):
-        return 1.0 if not s else sum(p[pieces.index(s[:k]), 0] * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in pieces)
+        sums = [1.0] + [0.0] * len(s)
+        for e in range(1, len(s) + 1):
+            sums[e] = sum(sums[e - k] * p[pieces.index(s[e - k : e]), 0] for k in range(1, e + 1) if s[e - k : e] in pieces)
+        return sums[-1]
 
     assert np.isclose(language.forward(ids, p)[0, -1, 0], total(b" abb"))
 
 
+def test_long_runs_are_summed_whole():
+    r = random.Random(6)
+    pieces = language.vocabulary(language.default_vocabulary())
+    chosen = [x.decode() for x in pieces if len(x) > 5 and x[0] > 127 and x.decode(errors="ignore").encode() == x]
+    runs = ["".join(r.choice(chosen) for _ in range(40)), "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(70)), "a" * 300, "ab", "й" * 5000]
+    probability = np.append(np.random.default_rng(1).uniform(1e-8, 1e-2, (len(pieces), 2)), [[0, 0]], 0)
+    data = " ".join(runs).encode()
+    words, folded = language.letter_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    scorer = language.Scorer(pieces, probability)
+    scorer(words, folded)
+    known = {x: i for i, x in enumerate(pieces)}
+    for word, run in enumerate(runs):
+        raw, got = b" " + run.encode(), scorer.value[np.searchsorted(scorer.key, words.hash[word])]
+        logs = np.full((len(raw) + 1, 2), -np.inf)
+        logs[0] = 0
+        for e in range(1, len(raw) + 1):
+            for k in range(1, min(e, 30) + 1):
+                if (i := known.get(raw[e - k : e])) is not None:
+                    logs[e] = np.logaddexp(logs[e], logs[e - k] + np.log(probability[i]))
+        assert np.allclose(got, logs[-1], rtol=1e-9), run[:20]
+
+
+def test_language_against_brute_force(spark):
+    """Learning and prediction of a small corpus, by plain dictionaries and every segmentation."""
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        lang = ("xx", "yy")[k % 2]
+        rows.append((k, " ".join("".join(r.choice({"xx": "abcd", "yy": "cdef"}[lang]) for _ in range(r.randint(1, 9))) for _ in range(4)), lang))
+    rows += [(60, "abab Feed", None), (61, "123", "xx"), (62, None, "yy")]
+    pieces = language.vocabulary(language.default_vocabulary())
+    start = {x: 0.25 ** len(x) + 1e-6 for x in pieces}
+
+    def sums(word, p):
+        forth, back, n = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0], len(word)
+        cells = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if word[a:b] in p]
+        for a, b in sorted(cells, key=lambda c: c[1]):
+            forth[b] += forth[a] * p[word[a:b]]
+        for a, b in sorted(cells, key=lambda c: -c[0]):
+            back[a] += p[word[a:b]] * back[b]
+        return forth, back, cells
+
+    learned = {}
+    for lang in ("xx", "yy"):
+        used = Counter(b" " + w.lower().encode() for k, t, x in rows if x == lang and t and zlib.crc32(str(k).encode()) % 5 for w in re.findall("[A-Za-z]+", t))
+        p = dict(start)
+        for _ in range(language.ROUNDS):
+            whole = sum(p.values())
+            p, count = {x: v / whole for x, v in p.items()}, dict.fromkeys(pieces, 0.02)
+            for word, n in used.items():
+                forth, back, cells = sums(word, p)
+                for a, b in cells:
+                    count[word[a:b]] += n * forth[a] * p[word[a:b]] * back[b] / forth[-1]
+            p = count
+        whole = sum(p.values())
+        learned[lang] = {x: v / whole for x, v in p.items()}
+    for x in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        words = re.findall("[A-Za-z]+", rows[x.doc_id][1] or "")
+        if not words:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        log = np.array([sum(np.log(sums(b" " + w.lower().encode(), learned[lang])[0][-1]) for w in words) for lang in ("xx", "yy")])
+        post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert x.lang_pred == ("xx", "yy")[log.argmax()] and abs(x.score - post.max()) < 1e-4 and x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0)
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -246,3 +316,67 @@ def test_pipeline_keeps_clean_documents(spark, docs):
     classes = near.classes(d)
     kept = near.keep_one(d)
     assert kept.count() == classes.select("class_id").distinct().count()
+
+
+def test_convolution_against_plain_loops():
+    """Scoring by precomputed rows equals embedding, filtering and pooling word by word; training lowers the loss."""
+    r = random.Random(3)
+    texts = ["", "bad", *(" ".join(r.choice(["bad", "worse", "fine", "good", "lovely", "awful"]) for _ in range(r.randint(1, 12))) for _ in range(40))]
+    raw = [t.encode() for t in texts]
+    words, hashes = toxicity.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    docs = [hashes[a:b] for a, b in zip(words.range[:-1], words.range[1:])]
+    model = toxicity.Model(np.unique(hashes))
+    y = np.array([int("bad" in t or "awful" in t) for t in texts])
+
+    def plain(doc):
+        x = [model.embed[model.rows(h[None])[0]].sum(0) for h in doc]
+        pooled = []
+        for j, f in enumerate(model.filters):
+            z = [sum((x[i + k] @ f[k] for k in range(len(f)) if i + k < len(x)), np.zeros(toxicity.FILTERS)) + model.bias[j * toxicity.FILTERS : (j + 1) * toxicity.FILTERS] for i in range(len(x))]
+            pooled.append(np.maximum(0, np.max(z, 0)) if z else np.zeros(toxicity.FILTERS))
+        return float(np.concatenate(pooled) @ model.out + model.base)
+
+    def loss():
+        logit = np.array([plain(d) for d in docs])
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, logit, -logit))))
+
+    before = loss()
+    model.train([model.rows(d) for d in docs], y)
+    assert loss() < 0.5 * before
+    got = model.logits(model.rows(hashes), words.count, model.table())
+    assert np.allclose(got, [plain(d) for d in docs], atol=1e-3)
+
+
+def test_attention_and_its_gradient():
+    """Gated attention bag by bag, and the gradient against finite differences."""
+    r = np.random.default_rng(2)
+    count = np.array([1, 4, 2, 7])
+    x, y = r.normal(0, 1, (14, quality.N_FEATURES)), np.array([1, 0, 0, 1])
+    model = quality.Attention(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES))
+    logit, c = model.forward(x, count)
+    p, at = model.p, 0
+    for k, n in enumerate(count):
+        h = np.tanh(x[at : at + n] @ p["e"] + p["eb"])
+        s = (np.tanh(h @ p["v"]) / (1 + np.exp(-h @ p["u"]))) @ p["a"]
+        w = np.exp(s) / np.exp(s).sum()
+        assert np.isclose(logit[k], (w @ h) @ p["o"] + p["ob"][0]) and np.allclose(c["w"][at : at + n], w)
+        at += n
+    loss = lambda: np.log1p(np.exp(-np.where(y == 1, 1, -1) * model.forward(x, count)[0])).sum()
+    g = model.gradient(1 / (1 + np.exp(-logit)) - y, count, c)
+    for name, value in p.items():
+        for i in r.integers(0, value.size, 5):
+            old = value.flat[i]
+            value.flat[i] = old + 1e-5
+            up = loss()
+            value.flat[i] = old - 1e-5
+            down = loss()
+            value.flat[i] = old
+            assert np.isclose((up - down) / 2e-5, g[name].flat[i], atol=1e-5), name
+
+
+def test_passage_features_do_not_depend_on_neighbours():
+    texts = ["One two. THREE, four!", "", "x " * 200, "a|b|c 1 2 3"]
+    raw = [t.encode() for t in texts]
+    together, count = quality.passages(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    alone = [quality.passages(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in raw]
+    assert count.tolist() == [1, 1, 4, 1] and np.allclose(together, np.concatenate(alone), atol=1e-6)

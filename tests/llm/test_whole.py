@@ -1,8 +1,14 @@
 """Cases in which a bound once stood for the whole job."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 
-from rollbook.llm import near, packing, pii
+import numpy as np
+
+from rollbook.llm import decontamination, media, near, packing, pii, textkernel
+from rollbook.session import cut
 
 
 def likeness(rows):
@@ -91,3 +97,117 @@ def test_disclosing_terms_of_whole_documents(spark):
     told = {k: [rows[k][1][t["start"] : t["end"]] for t in r["terms"]] for k, r in got.items()}
     assert told == {k: ["zanzibar"] * 2 for k in range(3)} | {3: ["tel", "quetzal"]} | {k: [] for k in range(4, 12)}
     assert all(t["removed"] for k in range(4) for t in got[k]["terms"])
+
+
+def thue_morse(n=1024):
+    """A string of two letters and its complement: every polynomial hash modulo a power of two gives both one value."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_text_is_taken_for_another(spark):
+    one, two = thue_morse()
+    data = [np.frombuffer(x.encode(), np.uint8) for x in (one, two)]
+    sums = [textkernel.prefix_hashes(d) for d in data]
+    whole = np.array([0]), np.array([1024])
+    assert textkernel.span_hashes(sums[0], *whole) == textkernel.span_hashes(sums[1], *whole)  # so it is no identity
+    assert textkernel.span_keys(data[0], *whole) != textkernel.span_keys(data[1], *whole)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one), (4, " ".join(one)), (5, " ".join(two))], "doc_id long, text string").repartition(1)
+    for r in media.media(docs).collect():
+        text = {1: one, 2: two, 3: one, 4: " ".join(one), 5: " ".join(two)}[r.doc_id]
+        assert r.payload_sha256 == hashlib.sha256(media.payload(text.encode())).hexdigest()
+    crc = {r.doc_id: r.ids_crc32 for r in packing.pack(docs).where("start = 0").collect()}
+    assert crc[1] == crc[3] != crc[2] and crc[4] != crc[5]
+    classes = {r.doc_id: r.class_id for r in near.classes(docs).collect()}
+    assert classes[1] == classes[3] == 1 and classes[2] == 2
+
+
+def test_units_with_one_first_half_are_told_apart(spark):
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 9, 1), (5, None, 0)]
+    told, shared = near.told_apart(spark.createDataFrame(rows, "doc_id long, unit long, check long"))
+    unit = {r.doc_id: r.unit for r in told.collect()}
+    assert shared == [7] and unit[1] == unit[3] != unit[2] and unit[4] == 9 and unit[5] is None
+
+
+def test_store_keeps_each_chunk_once(spark):
+    r = random.Random(4)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(30_000))
+    texts = [passage, passage + "end", "start" + passage, "".join(r.choice("ijklmnop ") for _ in range(9000)), passage, None, "", passage * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x for x in media.media(docs).collect()}
+    for k, t in enumerate(texts):
+        whole = media.payload((t or "").encode())
+        assert (got[k].payload_sha256, got[k].payload_bytes, got[k].n_bytes) == (hashlib.sha256(whole).hexdigest(), len(whole), len((t or "").encode()))
+    assert got[0].media_sha256 == got[4].media_sha256 and got[5].feature == got[6].feature
+    references = cut(media.references_of(media.lists(docs)))
+    plan, borrowed = media.settle(references)
+    kept = [c.digest for t in media.store(docs, b"", plan) for x in t.collect() for c in x.own]
+    every = [x.digest for x in references.collect()]
+    assert sorted(kept) == sorted(set(every)) and len(every) == len(kept) + borrowed.count() > len(kept) + 10
+
+
+def test_benchmark_of_several_automata(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = items.selectExpr("item_id", "text").unionByName(spark.createDataFrame([(-1, "the")], "item_id long, text string"))
+    once = sorted(map(str, decontamination.decontaminate(docs, items).collect()))
+    marks = sorted((r.doc_id, r.n) for r in decontamination.mark(docs, items, "n").collect())
+    monkeypatch.setattr(decontamination, "AUTOMATON_BYTES", 3000)
+    assert len(list(decontamination.dealt_items(items))) > 2
+    assert sorted(map(str, decontamination.decontaminate(docs, items).collect())) == once
+    assert sorted((r.doc_id, r.n) for r in decontamination.mark(docs, items, "n").collect()) == marks and any(n for _, n in marks)
+
+
+def test_pii_of_long_texts(spark):
+    import time
+
+    addresses = " ".join(f"user{k}@host{k % 97}.example word{k % 500}" for k in range(20_000))
+    rows = [(1, "9" * 2_000_000), (2, addresses), (3, "+" + "1 (" * 300_000), (4, "1." * 500_000), (5, "a@" * 200_000), (6, "4111 1111 1111 1111 " * 20_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert got[2].n_email == 20_000 and got[4].n_ip == 125_000 and got[1].n_card == got[5].n_email == 0
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, text):
+    digits = [int(c) for c in text if c.isascii() and c.isdigit()]
+    if kind == "ip":
+        return all(int(p) <= 255 for p in text.split("."))
+    if kind == "card":
+        odd, even = digits[::-1][::2], digits[::-1][1::2]
+        return 16 <= len(digits) <= 19 and (sum(odd) + sum(sum(divmod(2 * d, 10)) for d in even)) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def test_pii_against_brute_force(spark):
+    """Base spans by the plain patterns, terms by counting every pair of a document's terms and entities."""
+    r = random.Random(5)
+    said = ["call", "mail", "server", "zanzibar", "quetzal", "ocelot", "tapir", "host", "the", "card"]
+    data = ["+39 081 555 1234", "a.b@c.de", "x@y.org", "10.0.0.1", "300.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4.5.6.7.8", "+1-2", "é@b.it", "00.01.002.3"]
+    rows = [(k, " ".join(r.choice(said if r.random() < 0.8 else data) for _ in range(r.randint(0, 14)))) for k in range(150)]
+    pairs = [("lynx", "x@y.org"), ("okapi", "10.0.0.1"), ("gnu", "a.b@c.de")]  # words that go with one value, more or less
+    rows += [(300 + k, f"{r.choice(said)} {a} {b if r.random() < 0.7 else ''} {'rare' + chr(97 + k % 20) * 3}") for k in range(40) for a, b in [pairs[k % 3]]]
+    rows += [(200, None), (7, "tapir +39 081 555 1234"), (7, "tapir +39 081 555 1234")]
+    texts = [t or "" for _, t in rows]
+    base = [[(kind, *m.span()) for kind, p in PATTERNS.items() for m in re.finditer(p, t) if valid(kind, m[0])] for t in texts]
+    value = lambda t, s: (s[0], re.sub(r"[ .()-]", "", t[s[1] : s[2]]) if s[0] in ("card", "phone") else t[s[1] : s[2]].lower())
+    words = [[(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W\d_]+", t)] for t in texts]
+    holds, both = Counter(), Counter()
+    for t, s, w in zip(texts, base, words):
+        terms = {x[0] for x in w if len(x[0]) >= 3}
+        holds.update({x[0] for x in w})
+        both.update((term, e) for term in terms for e in {value(t, x) for x in s})
+    got = Counter()
+    for row in pii.detect(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[(row.doc_id, row.n_email, row.n_ip, row.n_card, row.n_phone, row.base_sha256, row.spans, str([(x.start, x.end, x.removed) for x in row.terms]))] += 1
+    want = Counter()
+    for (doc_id, _), t, s, w in zip(rows, texts, base, words):
+        mine = {value(t, x) for x in s}
+        told = {term: max(both[term, e] for e in mine) for term in {x[0] for x in w if len(x[0]) >= 3}} if mine else {}
+        spans = [(a, b, told[x] == holds[x]) for x, a, b in w if x in told and 2 * told[x] >= holds[x] and not any(a < q and p < b for _, p, q in s)]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        n = Counter(x[0] for x in s)
+        want[(doc_id, *(n[k] for k in PATTERNS), hashlib.sha256(text.encode()).hexdigest(), ",".join([text] * bool(text) + [f"term:{a}:{b}" for a, b, _ in spans]), str(spans))] += 1
+    assert got == want and any("term" in k[6] for k in want)
