@@ -1,19 +1,25 @@
 """Content-defined chunking of media payloads, with deduplicated storage and verified reconstruction.
 
-A payload is a text's bytes, filled up with bytes of 255 to a positive multiple of 576. A gear hash rolls
-over it; where its top bits are zero, between a least and a greatest length, a chunk ends. So equal
-stretches of different payloads give equal chunks whatever stands before them. A chunk is stored once, as
-a compressed block under its digest, and a payload as the ordered list of its digests. Spark joins the
-lists to the store, the chunks come back in order, and the payload is verified against its digest before
-anything is computed from it.
-
-Blocks are compressed with a dictionary trained on a bounded sample of the texts. The stored form of a
-payload, whose bytes and digest are reported, is its manifest: a header, and for each chunk its digest,
-its length and its compressed block.
+A payload is a text's bytes, filled up with bytes of 255 to a positive multiple of 576; texts are UTF-8, which has
+no byte of 255, so payloads are equal where texts are. A gear hash rolls over a payload; where its top bits are
+zero, between a least and a greatest length, a chunk ends. So equal stretches of different payloads give equal
+chunks whatever stands before them. A payload is known by its SHA-256, a chunk by a 128-bit digest.
+
+Which place keeps a chunk is settled by joins of digests alone: the first payload and position by order. Then the
+chunks are cut again and compressed, and meet in the one shuffle of blocks, by payload: the store gets a row for
+each payload, with the blocks of the chunks that it keeps. The store is written in passes, each for its share of
+the payloads, so that the shuffle files of one pass are all there is beside it. Reading back, most payloads have
+all their chunks in their own row; only blocks that other payloads borrow are joined to them by digest.
+Every payload that is read back must have the SHA-256 that its rows have.
+
+Blocks are compressed with a dictionary trained on a bounded sample of the distinct texts, which is part of the
+store and named by its digest. The stored form of a payload, whose bytes and digest are reported, is its manifest: a
+header with the dictionary's digest, and for each chunk its digest, its length and its compressed block.
 
 Defined cases: null counts as empty, and an empty payload is 576 bytes of 255; repeated rows and equal
 texts share everything; a payload longer than memory allows for one task can't be read (2 GB is Spark's
-own bound for a text); extra columns are ignored; an empty table gives no rows.
+own bound for a text); where the sample is too small to train on, the dictionary is empty; extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,16 +34,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .frames import map_arrow
-from .textkernel import blocks, prefix_hashes, span_hashes, table
+from ..session import cut, forget
+from .frames import map_arrow, unskewed
+from .textkernel import blocks, digest, table
 
 UNIT, FILL = 576, 255
 #: Chunk lengths in bytes: least, about average above it, greatest.
 LEAST, BITS, MOST = 1024, 11, 8192
-LEVEL = 19
-#: Texts, chosen by a hash, that the compression dictionary is trained on, and its greatest size in bytes.
-SAMPLE, DICTIONARY = 1000, 262144
+#: Level 19 takes nine times as long for 7 % fewer bytes.
+LEVEL = 6
+#: Distinct texts, chosen by a hash, that the compression dictionary is trained on; texts of more bytes aren't drawn, so the
+#: sample has 64 MB at most; and the dictionary's greatest size.
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 1000, 65536, 262144
+#: Passes in which the store is written.
+PASSES = 2
 _U = np.uint64
 _GEAR = np.random.default_rng(20240301).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -71,9 +81,9 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-def manifest(size: int, chunks: list[tuple[bytes, int, bytes]]) -> bytes:
-    """The stored form: length, number of chunks, then digest, length and block of each."""
-    return b"".join([b"CDC1", struct.pack("<QI", size, len(chunks)), *(x for digest, n, block in chunks for x in (digest, struct.pack("<II", n, len(block)), block))])
+def manifest(size: int, dictionary_digest: bytes, chunks: list[tuple[bytes, int, bytes]]) -> bytes:
+    """The stored form: length, number of chunks, the dictionary's digest, then digest, length and block of each chunk."""
+    return b"".join([b"CDC2", struct.pack("<QI", size, len(chunks)), dictionary_digest, *(x for key, n, block in chunks for x in (key, struct.pack("<II", n, len(block)), block))])
 
 
 def feature(data: np.ndarray, lengths: list[int]) -> str:
@@ -88,8 +98,10 @@ def feature(data: np.ndarray, lengths: list[int]) -> str:
 
 def dictionary(documents: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample; empty where there is too little to learn from."""
-    texts = documents.select(F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(SAMPLE)
-    parts = [raw[k : k + 2048] for r in texts.toArrow().column("text").to_pylist() for raw in [r.encode()] for k in range(0, len(raw), 2048)]
+    texts = documents.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("text"))
+    least = [r.h for r in texts.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    drawn = texts.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text")
+    parts = [raw[k : k + 2048] for t in drawn.toArrow().column("text").to_pylist() for raw in [t.encode()] for k in range(0, len(raw), 2048)]
     if sum(map(len, parts)) < 2 * DICTIONARY:
         return b""
     return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
@@ -99,130 +111,172 @@ def _dict(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]).view(np.int64)
-
-
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def digest_of(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
-
-
 def _pieces(whole: bytes):
     """(digest, chunk) in order."""
     at = 0
     for end in cuts(np.frombuffer(whole, np.uint8)):
-        yield digest_of(whole[at:end]), whole[at:end]
+        yield digest(whole[at:end]), whole[at:end]
         at = end
 
 
+def _payloads(column):
+    """For each row of a text column its payload and that payload's SHA-256, block by block: first row, end, list."""
+    for first, end, data, offsets in blocks(column):
+        raw = data.tobytes()
+        wholes = [payload(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield first, end, np.diff(offsets), [(w, hashlib.sha256(w).digest()) for w in wholes]
+
+
 def lists(documents: DataFrame) -> DataFrame:
-    """(doc_id, tk, n_bytes, sha, digests) of every row; the list only where a task meets a text for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary()))])
+    """(doc_id, sha, n_bytes, digests) of every row; the list only where a task meets a payload for the first time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.binary()))])
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            for first, end, data, offsets in blocks(batch.column("text")):
-                raw, tk = data.tobytes(), _keys(data, offsets)
-                sha, digests = [], []
-                for t, a, b in zip(tk.tolist(), offsets[:-1], offsets[1:], strict=True):
-                    fresh = t not in seen
-                    seen.add(t)
-                    whole = payload(raw[a:b]) if fresh else b""
-                    sha.append(hashlib.sha256(whole).digest() if fresh else None)
-                    digests.append([d for d, _ in _pieces(whole)] if fresh else None)
-                yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=sha, digests=digests)
+            for first, end, size, rows in _payloads(batch.column("text")):
+                found = []
+                for whole, sha in rows:
+                    found.append(None if sha in seen else [d for d, _ in _pieces(whole)])
+                    seen.add(sha)
+                yield table(schema, doc_id=batch.column("doc_id")[first:end], sha=[sha for _, sha in rows], n_bytes=size, digests=found)
 
-    return _texts(documents).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha binary, digests array<binary>")
+    return _texts(documents).transform(map_arrow, run, "doc_id long, sha binary, n_bytes long, digests array<binary>")
 
 
-def chunks(documents: DataFrame, trained: bytes) -> DataFrame:
-    """(digest, tk, pos, block) of every chunk, once for each task."""
-    schema = pa.schema([("digest", pa.binary()), ("tk", pa.int64()), ("pos", pa.int32()), ("block", pa.binary())])
+def chunks(documents: DataFrame, trained: bytes, nth: int, passes: int) -> DataFrame:
+    """(sha, pos, digest, size, block) of the chunks of one pass' payloads, each payload once for each task."""
+    schema = pa.schema([("sha", pa.binary()), ("pos", pa.int32()), ("digest", pa.binary()), ("size", pa.int32()), ("block", pa.binary())])
 
     def run(batches):
-        texts: set[int] = set()
-        given: set[bytes] = set()
+        seen: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained), write_content_size=True, write_checksum=False, write_dict_id=False)
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column("text")):
-                raw, rows = data.tobytes(), []
-                for tk, a, b in zip(_keys(data, offsets).tolist(), offsets[:-1], offsets[1:], strict=True):
-                    if tk in texts:
-                        continue
-                    texts.add(tk)
-                    for pos, (digest, part) in enumerate(_pieces(payload(raw[a:b]))):
-                        if digest not in given:
-                            given.add(digest)
-                            rows.append((digest, tk, pos, pack.compress(part)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+            for _, _, _, rows in _payloads(batch.column("text")):
+                out = []
+                for whole, sha in rows:
+                    if sha[0] % passes == nth and sha not in seen:
+                        seen.add(sha)
+                        out += [(sha, pos, key, len(part), pack.compress(part)) for pos, (key, part) in enumerate(_pieces(whole))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return _texts(documents).transform(map_arrow, run, "digest binary, tk long, pos int, block binary")
+    return _texts(documents).transform(map_arrow, run, "sha binary, pos int, digest binary, size int, block binary")
 
 
-def store(documents: DataFrame, trained: bytes, references: DataFrame) -> DataFrame:
-    """The chunk store in the shared folder: (digest, tk, pos, block, uses), every chunk once, with the place that gave it."""
-    one = chunks(documents, trained).groupBy("digest").agg(F.min(F.struct("tk", "pos", "block")).alias("c"))
-    uses = references.groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
-    return cut(one.join(uses, "digest").select("digest", "c.tk", "c.pos", "c.block", "uses"))
+_STORE = "sha binary, n int, borrows int, own array<struct<pos:int,digest:binary,size:int,lent:boolean,block:binary>>"
+_OWN = pa.struct([("pos", pa.int32()), ("digest", pa.binary()), ("size", pa.int32()), ("lent", pa.bool_()), ("block", pa.binary())])
+_STORE_ARROW = pa.schema([("sha", pa.binary()), ("n", pa.int32()), ("borrows", pa.int32()), ("own", pa.list_(_OWN))])
 
 
-def rebuild(stored: DataFrame, heads: DataFrame, references: DataFrame, trained: bytes) -> DataFrame:
-    """Every payload from the store, verified: (tk, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
+def store(documents: DataFrame, trained: bytes, plan: DataFrame) -> list[DataFrame]:
+    """The chunk store in the shared folder, a table for each pass: a row for each payload with the chunks that it keeps.
 
-    A chunk goes from the place that gave it straight to its payload; further uses are joined by digest.
+    ``plan``: (sha, n, borrowed, lent) with the positions of chunks that another place keeps, and of kept ones that others use.
     """
-    schema = pa.schema([("tk", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor(dict_data=_dict(trained))
-        held: list[tuple] = []  # the head and chunks of the payload that is being read
-
-        def finish():
-            (tk, _, head), parts = held[0], [unpack.decompress(h[2]) for h in held[1:]]
-            whole = b"".join(parts)
-            found, (n, sha) = hashlib.sha256(whole), struct.unpack("<I32s", head)
-            if len(parts) != n or found.digest() != sha:
-                raise ValueError(f"payload {tk}: {len(parts)} of {n} chunks, sha256 {found.hexdigest()}, expected {sha.hex()}")
-            media = manifest(len(whole), [(digest_of(p), len(p), h[2]) for p, h in zip(parts, held[1:], strict=True)])
-            return tk, len(whole), found.hexdigest(), zlib.crc32(whole[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(whole, np.uint8), [len(p) for p in parts])
+        held: list[dict] = []  # the plan and chunks of the payload that is being written
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+        def finish() -> dict:
+            plan, parts = held[0], {r["pos"]: r for r in held[1:]}  # copies from several tasks are one
+            borrowed, lent = set(plan["borrowed"] or ()), set(plan["lent"] or ())
+            if plan["pos"] >= 0 or sorted(parts) != list(range(plan["size"])):
+                raise ValueError(f"payload {plan['sha'].hex()}: chunks {sorted(parts)} of {plan['size']}")
+            own = [{"pos": k, "digest": r["digest"], "size": r["size"], "lent": k in lent, "block": r["block"]} for k, r in sorted(parts.items()) if k not in borrowed]
+            return {"sha": plan["sha"], "n": plan["size"], "borrows": len(borrowed), "own": own}
 
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 done = []
-                for row in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
-                    if held and held[0][0] != row[0]:
+                for row in batch.slice(first, 256).to_pylist():
+                    if held and held[0]["sha"] != row["sha"]:
                         done.append(finish())
                         held = []
                     held.append(row)
                 if done:
-                    yield out(done)
+                    yield pa.RecordBatch.from_pylist(done, _STORE_ARROW)
         if held:
-            yield out([finish()])
+            yield pa.RecordBatch.from_pylist([finish()], _STORE_ARROW)
+
+    out, none = [], F.lit(None)
+    for nth in range(PASSES):
+        found = chunks(documents, trained, nth, PASSES).select("*", none.cast("array<int>").alias("borrowed"), none.cast("array<int>").alias("lent"))
+        mine = plan.where(F.conv(F.hex(F.substring("sha", 1, 1)), 16, 10).cast("int") % PASSES == nth)
+        heads = mine.select("sha", F.lit(-1).alias("pos"), none.cast("binary").alias("digest"), F.col("n").alias("size"), none.cast("binary").alias("block"), "borrowed", "lent")
+        out.append(cut(found.unionByName(heads).repartition("sha").sortWithinPartitions("sha", "pos").transform(map_arrow, run, _STORE)))
+    return out
+
+
+_OUT = "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
 
-    first = stored.select("tk", "pos", "block")
-    shared = stored.where("uses > 1").select("digest", F.col("tk").alias("tk0"), F.col("pos").alias("pos0"), "block")
-    further = references.join(shared, "digest").where((F.col("tk") != F.col("tk0")) | (F.col("pos") != F.col("pos0"))).select("tk", "pos", "block")
-    n = F.size("digests")
-    little_endian = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0")) for k in range(4)))
-    meta = heads.select("tk", F.lit(-1).alias("pos"), F.concat(little_endian, F.col("sha")).alias("block"))
-    ordered = first.unionByName(further).unionByName(meta).repartition("tk").sortWithinPartitions("tk", "pos")
-    return ordered.transform(map_arrow, run, "tk long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def rebuild(payloads: DataFrame, trained: bytes) -> DataFrame:
+    """The values of payloads (sha, n, own, more) as read back from their own and borrowed blocks, verified."""
+    kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    schema = pa.schema(list(zip([c.split()[0] for c in _OUT.split(", ")], kinds, strict=True)))
+
+    def run(batches):
+        unpack, name = zstandard.ZstdDecompressor(dict_data=_dict(trained)), digest(trained)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                out = []
+                for row in batch.slice(first, 64).to_pylist():
+                    held = sorted([*row["own"], *(row["more"] or ())], key=lambda r: r["pos"])
+                    parts = [unpack.decompress(r["block"]) for r in held]
+                    whole = b"".join(parts)
+                    found = hashlib.sha256(whole)
+                    if [r["pos"] for r in held] != list(range(row["n"])) or found.digest() != row["sha"]:
+                        raise ValueError(f"payload {row['sha'].hex()}: {len(held)} of {row['n']} chunks, sha256 {found.hexdigest()}")
+                    media = manifest(len(whole), name, [(r["digest"], len(p), r["block"]) for r, p in zip(held, parts, strict=True)])
+                    out.append((row["sha"], len(whole), found.hexdigest(), zlib.crc32(whole[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(whole, np.uint8), [len(p) for p in parts])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return payloads.transform(map_arrow, run, _OUT)
+
+
+def references_of(listed: DataFrame) -> DataFrame:
+    """(sha, pos, digest) of the chunks of every payload, from lists()."""
+    return listed.where("digests is not null").dropDuplicates(["sha"]).select("sha", F.posexplode("digests").alias("pos", "digest"))
+
+
+def settle(references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who keeps which chunk, from digests alone: the plan for store(), and (sha, pos, digest) of the chunks that another place keeps."""
+    owners = references.groupBy("digest").agg(F.min(F.struct("sha", "pos")).alias("o"), F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    owners = cut(owners.select("digest", F.col("o.sha").alias("sha0"), F.col("o.pos").alias("pos0")))
+    borrowed = cut(unskewed(references, owners, ["digest"]).where((F.col("sha") != F.col("sha0")) | (F.col("pos") != F.col("pos0"))).select("sha", "pos", "digest"))
+    marks = borrowed.select("sha", "pos", F.lit(False).alias("lends")).unionByName(owners.select(F.col("sha0").alias("sha"), F.col("pos0").alias("pos"), F.lit(True).alias("lends")))
+    marked = marks.groupBy("sha").agg(*(F.collect_list(F.when(F.col("lends") == v, F.col("pos"))).alias(n) for n, v in (("borrowed", False), ("lent", True))))
+    plan = cut(references.groupBy("sha").agg(F.count(F.lit(1)).cast("int").alias("n")).join(marked, "sha", "left"))
+    forget(owners)
+    return plan, borrowed
 
 
 def media(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, and the values of its payload as read back from the store."""
-    trained, rows = dictionary(documents), cut(lists(documents))
-    heads = rows.where("sha is not null").groupBy("tk").agg(F.min(F.struct("sha", "digests")).alias("h")).select("tk", "h.sha", "h.digests")
-    references = heads.select("tk", F.posexplode("digests").alias("pos", "digest"))
-    # stored before the join, so that the chunks' shuffle files are gone when it runs
-    rebuilt = cut(rebuild(store(documents, trained, references), heads, references, trained))
-    return rows.select("doc_id", "tk", "n_bytes").join(rebuilt, "tk").drop("tk")
+    spark = documents.sparkSession
+    kept_dictionary = cut(spark.createDataFrame([(digest(raw), raw) for raw in [dictionary(documents)]], "digest binary, dictionary binary"))
+    trained = bytes(kept_dictionary.first().dictionary)  # part of the store: read back from there
+    listed = cut(lists(documents))
+    rows = cut(listed.select("doc_id", "sha", "n_bytes"))
+    references = cut(references_of(listed))
+    forget(listed)
+    plan, borrowed = settle(references)
+    forget(references)
+    stored = store(documents, trained, plan)
+    forget(plan)
+    every = stored[0]
+    for more in stored[1:]:
+        every = every.unionByName(more)
+    lent = cut(every.select(F.explode("own").alias("c")).where("c.lent").select("c.digest", "c.block"))
+    fetched = unskewed(borrowed, lent, ["digest"]).groupBy("sha").agg(F.collect_list(F.struct("pos", "digest", "block")).alias("more"))
+    none = F.lit(None).cast("array<struct<pos:int,digest:binary,block:binary>>").alias("more")
+    whole = rebuild(every.where("borrows = 0").select("sha", "n", "own", none), trained)
+    mended = rebuild(every.where("borrows > 0").join(fetched, "sha").select("sha", "n", "own", "more"), trained)
+    rebuilt = cut(whole.unionByName(mended))
+    forget(lent, borrowed)
+    return unskewed(rows, rebuilt, ["sha"], "left").select("doc_id", "n_bytes", *(c.split()[0] for c in _OUT.split(", ")[1:]))
