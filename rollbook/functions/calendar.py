@@ -66,7 +66,8 @@ def days(spark: SparkSession, first: int = 2000, last: int = 2100) -> DataFrame:
 def day_kind(y: Column, m: Column, d: Column) -> tuple[Column, Column]:
     """Kind and holiday name of a day, without a join: inesistente, festivo, domenica, sabato or feriale."""
     date = day_date(y, m, d)
-    name = F.when(date == easter(y), EASTER).when(date == F.date_add(easter(y), 1), EASTER_MONDAY)
+    spring = m.between(3, 4)  # Easter isn't looked for in other months
+    name = F.when(spring & (date == easter(y)), EASTER).when(spring & (date == F.date_add(easter(y), 1)), EASTER_MONDAY)
     for mm, dd, title, since in HOLIDAYS:
         name = name.when((m == mm) & (d == dd) & (y >= since), title)
     kind = F.when(date.isNull(), "inesistente").when(name.isNotNull(), "festivo").when(F.weekday(date) == 6, "domenica").when(F.weekday(date) == 5, "sabato").otherwise("feriale")

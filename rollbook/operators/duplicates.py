@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import name_key
+from ..functions.values import clean, name_key
 from .rows import valid_period
 
 
@@ -13,25 +13,45 @@ def exportable() -> Column:
     return (F.col("status") == "completato") & F.col("is_foglio_firma")
 
 
-def exclusion_reason() -> Column:
-    """Why a sheet isn't exported; null if it is."""
-    return (
-        F.when(exportable(), F.lit(None).cast("string"))
-        .when(~F.col("is_foglio_firma"), "non è un foglio firma")
-        .when(F.col("status").isin("in_coda", "in_lavorazione"), "lettura non terminata")
-        .when(F.col("status") == "errore", "errore di lettura")
-        .otherwise("scartato")
-    )
+# Why a sheet isn't exported.
+NOT_A_SHEET = "Non riconosciuto come foglio firma"
+EXCLUDED = {
+    "in_coda": "In attesa di elaborazione", "in_lavorazione": "Elaborazione in corso", "errore": "Elaborazione non riuscita", "scartato": "Scartato: la pagina non è un foglio firma",
+}
+# End of fixed values.
 
 
-def duplicate_peers(sheets: DataFrame) -> DataFrame:
-    """(doc_id, peers): other exportable sheets of the same operator, pupil and month. Names are compared by their words;
-    sheets without a name or a period aren't compared. Groups are counted before their members meet, so that only
-    real groups are gathered."""
+def exclusion_reason(error: Column | None = None) -> Column:
+    """Why a sheet isn't exported, with the reader's error if there is one; null if it is."""
+    status = F.col("status")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in EXCLUDED.items() for x in kv]), status)
+    reason = F.when(status == "completato", NOT_A_SHEET).otherwise(F.coalesce(known, F.concat(F.lit("Stato «"), status, F.lit("»"))))
+    told = F.when((status == "errore") & clean(error).isNotNull(), F.concat(F.lit(": "), clean(error))) if error is not None else F.lit(None)
+    return F.when(~exportable(), F.concat(reason, F.coalesce(told, F.lit(""))))
+
+
+def _compared(sheets: DataFrame) -> DataFrame:
+    """Exportable sheets with the names' words in order; those without a name or a period aren't compared."""
     keyed = sheets.where(exportable() & valid_period(F.col("mese"), F.col("anno"))).select("doc_id", name_key(F.col("operatore")).alias("op_key"), name_key(F.col("alunno")).alias("al_key"), "mese", "anno")
-    keyed = keyed.where("op_key <> '' and al_key <> ''")
-    group = ["op_key", "al_key", "mese", "anno"]
-    gathered = keyed.groupBy(*group).agg(F.array_sort(F.collect_list("doc_id")).alias("docs")).where(F.size("docs") > 1)
+    return keyed.where("op_key <> '' and al_key <> ''")
+
+
+_GROUP = ["op_key", "al_key", "mese", "anno"]
+
+
+def duplicates(sheets: DataFrame) -> DataFrame:
+    """(doc_id, gruppo, fogli): sheets of the same operator, pupil and month, with the group's least id and its size. One row for
+    each sheet, however large its group: counted with partial sums, and joined back only for real groups."""
+    keyed = _compared(sheets)
+    real = keyed.groupBy(*_GROUP).agg(F.min("doc_id").alias("gruppo"), F.count(F.lit(1)).alias("fogli")).where("fogli > 1")
+    return keyed.join(real, _GROUP).select("doc_id", "gruppo", "fogli")
+
+
+def duplicate_peers(sheets: DataFrame, most: int = 1000) -> DataFrame:
+    """(doc_id, peers): the other sheets of a sheet's group, for groups of ``most`` sheets at most, as a person reads the list; larger
+    groups are told by duplicates()."""
+    grouped = duplicates(sheets).where(F.col("fogli") <= most)
+    gathered = grouped.groupBy("gruppo").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
     return gathered.select(F.explode("docs").alias("doc_id"), "docs").select("doc_id", F.array_remove("docs", F.col("doc_id")).alias("peers"))
 
 

@@ -13,7 +13,7 @@ from .readings import COHERENCE, same_value
 from .reports import state_key
 
 # Thresholds of a choice, plausible shares of hours, digits taken for others, ranks of states.
-LEGIBLE, UNCERTAIN, WEAK, TAU_LEAST, CONTEXT_P = 0.05, 0.7, 0.3, 0.05, 0.02
+LEGIBLE, UNCERTAIN, WEAK, TAU_LEAST, CONTEXT_P = 0.05, 0.7, 0.3, 0.25, 0.02
 SHARES, SHARE_TOLERANCE, ODD_DURATION = (0.25, 1 / 3, 0.5, 2 / 3, 0.75, 1.0), 0.03, 60
 CONFUSED, W_CONFUSED = {"1": "47", "4": "1", "7": "1", "2": "9", "9": "2", "0": "6", "6": "0"}, -4.0
 STATE_RANK = ["errore", "errori", "da_verificare", "in_coda", "in_lavorazione", "ok", "scartato"]
@@ -136,13 +136,16 @@ def document_confidence(cells: DataFrame, grid: DataFrame) -> DataFrame:
 
 def costs(usage: DataFrame, prices: DataFrame, default: str) -> DataFrame:
     """(doc_id, input_tokens, output_tokens, cost_usd) of reader calls (doc_id, model, input, output, cache_write, cache_read): prices
-    (model, family, price_in, price_out) by model, else by family, else of the default; a few rows."""
-    exact = F.broadcast(prices.select("model", F.col("price_in").alias("i1"), F.col("price_out").alias("o1")))
-    family = F.broadcast(prices.groupBy("family").agg(F.min_by("price_in", "model").alias("i2"), F.min_by("price_out", "model").alias("o2")))
-    base = prices.where(F.col("model") == default).first()
-    j = usage.join(exact, "model", "left").join(family, F.contains("model", "family"), "left")
-    i, o = F.coalesce("i1", "i2", F.lit(base.price_in)), F.coalesce("o1", "o2", F.lit(base.price_out))
-    cost = ((F.col("input") + CACHE_WRITE * F.col("cache_write") + CACHE_READ * F.col("cache_read")) * i + F.col("output") * o) / 1e6
+    (model, family, price_in, price_out) by model, else by the longest family in the model's name, else of the default, else
+    unknown. The price list is a few rows; each model is priced once."""
+    models = usage.select("model").distinct()
+    exact = F.broadcast(prices.select("model", F.struct("price_in", "price_out").alias("own")))
+    family = F.broadcast(prices.groupBy("family").agg(F.min_by(F.struct("price_in", "price_out"), "model").alias("kin")))
+    base = F.broadcast(prices.where(F.col("model") == default).agg(F.first(F.struct("price_in", "price_out")).alias("base")))
+    kin = models.join(family, F.contains("model", "family")).groupBy("model").agg(F.max_by("kin", F.struct(F.length("family"), "family")).alias("kin"))
+    priced = models.join(exact, "model", "left").join(kin, "model", "left").join(base).select("model", F.coalesce("own", "kin", "base").alias("price"))
+    j = usage.join(priced, usage["model"].eqNullSafe(priced["model"]), "left")
+    cost = ((F.col("input") + CACHE_WRITE * F.col("cache_write") + CACHE_READ * F.col("cache_read")) * F.col("price.price_in") + F.col("output") * F.col("price.price_out")) / 1e6
     return j.groupBy("doc_id").agg(F.sum(F.col("input") + F.col("cache_write") + F.col("cache_read")).alias("input_tokens"), F.sum("output").alias("output_tokens"), F.round(F.sum(cost), 6).alias("cost_usd"))
 
 
@@ -153,6 +156,11 @@ def list_order(key: str, descending: bool = False) -> list[Column]:
     return [by.desc_nulls_last() if descending else by.asc_nulls_last(), F.col("doc_id")]
 
 
+def store_order() -> list[Column]:
+    """The store's own order: when a sheet came, its file without regard to case, its page."""
+    return [F.col("created_at").asc_nulls_first(), F.lower("source_file"), F.col("source_page"), F.col("doc_id")]
+
+
 def queue(sheets: DataFrame, most: int = 40) -> DataFrame:
     """The dashboard's queue: sheets being read and waiting, then the latest finished, ``most`` in all (a report's top)."""
     place = F.when(F.col("status") == "in_lavorazione", 0).when(F.col("status") == "in_coda", 1).otherwise(2)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,27 +28,59 @@ _T = HOUR_FIELDS[:4]
 def best_rows(readings: DataFrame, absent: DataFrame | None = None) -> DataFrame:
     """(doc_id, giorno, prog_entrata, ..., ore_dichiarate, score): of all combinations of the four best alternatives of each
     field, the one with the largest sum of log probabilities and coherence; of equals the one with likelier readings
-    in the fields' order. At most 4**5 combinations a row, made and reduced within one task's row."""
+    in the fields' order. The at most 4**5 combinations of a batch's rows are scored as one numpy array."""
     if absent is None:
         absent = readings.select("doc_id", "giorno").distinct().withColumn("assente", F.lit(False))
-    ranked = F.slice(F.array_sort("candidates", lambda a, b: F.when(a["logprob"] > b["logprob"], -1).when(a["logprob"] < b["logprob"], 1).when(a["value"] < b["value"], -1).otherwise(1)), 1, TOP)
-    wide = readings.withColumn("c", ranked).groupBy("doc_id", "giorno").agg(*(F.max(F.when(F.col("campo") == f, F.col("c"))).alias(f) for f in HOUR_FIELDS)).join(absent, ["doc_id", "giorno"], "left")
-    nothing = F.array(F.struct(F.lit(None).cast("int").alias("value"), F.lit(0.0).alias("logprob")))
-    out = wide
-    for k, f in enumerate(HOUR_FIELDS):  # the position keeps the first of equals
-        out = out.select("*", F.posexplode(F.when(F.size(f) > 0, F.col(f)).otherwise(nothing)).alias(f"i{k}", f"v{k}"))
-    pe, pu, ee, eu, h = (F.col(f"v{k}.value") for k in range(5))
-    pair = lambda a, b: F.when(b <= a, W_ORDER).when((b - a < SHORTEST) | (b - a > LONGEST), W_DURATION).otherwise(0.0)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    eff, prog = F.when(eu > ee, eu - ee), F.when(pu > pe, pu - pe)
-    less = F.coalesce("assente", F.lit(False)) & (h < eff)
-    score = (
-        sum((F.col(f"v{k}.logprob") for k in range(1, 5)), F.col("v0.logprob")) + zero(pair(pe, pu)) + zero(pair(ee, eu)) + zero(F.when(pe == ee, W_SAME)) + zero(F.when(pu == eu, W_SAME))
-        + zero(F.when(F.abs(eff - h) < 0.6, W_HOURS).when(eff.isNotNull() & h.isNotNull() & ~less, W_HOURS_OFF))
-        + zero(F.when(F.abs(prog - h) < 0.6, W_PROG).when(prog.isNotNull() & h.isNotNull() & (ee.isNull() | eu.isNull()), F.when(h <= prog + 0.6, W_WITHIN).otherwise(W_BEYOND)))
-    )
-    scored = out.select("doc_id", "giorno", score.alias("score"), F.struct(*(F.col(f"v{k}.value").alias(f) for k, f in enumerate(HOUR_FIELDS))).alias("row"), F.struct(*(-F.col(f"i{k}") for k in range(5))).alias("rank"))
-    return scored.groupBy("doc_id", "giorno").agg(F.max_by("row", F.struct(F.round("score", 9), "rank")).alias("row"), F.max("score").alias("score")).select("doc_id", "giorno", "row.*", "score")
+    wide = readings.groupBy("doc_id", "giorno").agg(*(F.max(F.when(F.col("campo") == f, F.col("candidates"))).alias(f) for f in HOUR_FIELDS)).join(absent, ["doc_id", "giorno"], "left")
+    schema = pa.schema([("doc_id", pa.string()), ("giorno", pa.int32()), *((f, pa.int32()) for f in HOUR_FIELDS), ("score", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                value, weight = _alternatives(part)
+                out = _best_combination(value, weight, np.array([bool(x) for x in part.column("assente").to_pylist()]))
+                chosen = [pa.array(v, pa.int32(), mask=np.isnan(v)) for v in out[:5]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("giorno").cast(pa.int32()), *chosen, pa.array(out[5])], schema=schema)
+
+    return wide.mapInArrow(run, "doc_id string, giorno int, " + ", ".join(f"{f} int" for f in HOUR_FIELDS) + ", score double")
+
+
+def _alternatives(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Values and log probabilities of each row's fields, the best four in order: (rows, 5, 4). A field without candidates has one
+    alternative, no value; what is missing beyond that can't win."""
+    value, weight = np.full((part.num_rows, 5, TOP), np.nan), np.full((part.num_rows, 5, TOP), -np.inf)
+    for k, f in enumerate(HOUR_FIELDS):
+        for i, options in enumerate(part.column(f).to_pylist()):
+            best = sorted(options or (), key=lambda o: (-o["logprob"], o["value"]))[:TOP]
+            value[i, k, : len(best)] = [o["value"] for o in best]
+            weight[i, k, : len(best)] = [o["logprob"] for o in best]
+            if not best:
+                weight[i, k, 0] = 0.0
+    return value, weight
+
+
+def _best_combination(value: np.ndarray, weight: np.ndarray, absent: np.ndarray) -> list[np.ndarray]:
+    """The five values of each row's best combination, and its score."""
+    n = len(value)
+    grid = np.stack(np.meshgrid(*[np.arange(TOP)] * 5, indexing="ij")).reshape(5, -1)  # in the fields' order: the first of equals wins
+    v = [value[:, k, :][:, grid[k]] for k in range(5)]
+    score = sum(weight[:, k, :][:, grid[k]] for k in range(5))
+    pe, pu, ee, eu, h = v
+    with np.errstate(invalid="ignore"):
+        for a, b in ((pe, pu), (ee, eu)):
+            length = b - a
+            score += np.where(length <= 0, W_ORDER, np.where((length < SHORTEST) | (length > LONGEST), W_DURATION, 0.0)) * ~np.isnan(length)
+        score += W_SAME * (pe == ee) + W_SAME * (pu == eu)
+        eff, prog = np.where(eu > ee, eu - ee, np.nan), np.where(pu > pe, pu - pe, np.nan)
+        less = absent[:, None] & (h < eff)
+        near = np.abs(eff - h) < 0.6
+        score += np.where(near, W_HOURS, np.where(~np.isnan(eff) & ~np.isnan(h) & ~less, W_HOURS_OFF, 0.0))
+        planned = np.abs(prog - h) < 0.6
+        alone = ~np.isnan(prog) & ~np.isnan(h) & (np.isnan(ee) | np.isnan(eu))
+        score += np.where(planned, W_PROG, np.where(alone, np.where(h <= prog + 0.6, W_WITHIN, W_BEYOND), 0.0))
+    best = np.round(score, 9).argmax(1)
+    return [*(x[np.arange(n), best] for x in v), score[np.arange(n), best]]
 
 
 def _relations(field: str, v: dict) -> list[tuple[tuple[str, ...], int | None, bool]]:
@@ -166,15 +199,25 @@ def same_value(field: str, a: Column, b: Column) -> Column:
     return (a.isNull() & b.isNull()) | F.coalesce(equal, F.lit(False))
 
 
+def shifted(minute: Column, hours: Column, sign: int, first_reader: bool = True) -> Column:
+    """A time so many hours later (sign 1) or earlier (-1): the first reader's must be one that the form admits, the second's lies
+    within the day."""
+    moved = minute + sign * F.round(hours * 60).cast("int")
+    return F.when(moved.between(360, 1200) & (moved % 5 == 0) if first_reader else moved.between(0, 1439), moved)
+
+
 def merge_readings(first: DataFrame, again: DataFrame, coherent: Column) -> DataFrame:
     """Rows of a first reading with a targeted re-read, field by field. Both have the day fields, incerti and illeggibili;
     ``coherent`` is an expression over the merged day fields.
 
     Illegible in both: none. Illegible again only: the first value, in doubt. Equal: the first value, cleared, in doubt
     only if the re-read doubts it and the row is incoherent. Otherwise: the re-read's value, in doubt if the re-read doubts
-    it, if only one sees writing, or if the row is incoherent. An empty re-read of a filled row is ignored."""
+    it, if only one sees writing, or if the row is incoherent. An empty re-read of a filled row is ignored. A dash in the effective
+    times (trattino_effettivo, if both have it) is the re-read's where both effective times are taken from it or equal."""
     keys = ["doc_id", "giorno"]
-    b = again.select(*keys, *(F.col(f).alias(f"b_{f}") for f in DAY_FIELDS), F.col("incerti").alias("b_inc"), F.col("illeggibili").alias("b_ill"))
+    dash = "trattino_effettivo"
+    with_dash = dash in first.columns and dash in again.columns
+    b = again.select(*keys, *(F.col(f).alias(f"b_{f}") for f in DAY_FIELDS), F.col("incerti").alias("b_inc"), F.col("illeggibili").alias("b_ill"), *([F.col(dash).alias(f"b_{dash}")] if with_dash else []))
     present = lambda f, c: F.coalesce(c, F.lit(False)) if f in DAY_FIELDS[5:8] else c.isNotNull()
     written = lambda p: F.array_contains(F.array(*(present(f, F.col(p + f)) for f in DAY_FIELDS)), True)
     both = first.join(b, keys, "left").withColumn("read", F.col("b_inc").isNotNull() & ~(written("") & ~written("b_") & (F.size("b_ill") == 0) & (F.size("b_inc") == 0)))
@@ -187,13 +230,16 @@ def merge_readings(first: DataFrame, again: DataFrame, coherent: Column) -> Data
         )
         step[f"k_{f}"] = kind
     told = both.withColumns(step)
+    if with_dash:  # before the times are replaced
+        from_again = lambda f: F.col(f"k_{f}").isin("same", "taken", "taken_doubt") | ((F.col(f"k_{f}") != "keep") & same_value(f, F.col(f), F.col(f"b_{f}")))
+        told = told.withColumn(dash, F.when(from_again("eff_entrata") & from_again("eff_uscita"), F.col(f"b_{dash}")).otherwise(F.col(dash)))
     empty = {f: F.lit(False) if f in DAY_FIELDS[5:8] else F.lit(None).cast(first.schema[f].dataType) for f in DAY_FIELDS}
     merged = told.withColumns({f: F.when(F.col(f"k_{f}") == "none", empty[f]).when(F.col(f"k_{f}").startswith("taken"), F.col(f"b_{f}")).otherwise(F.col(f)) for f in DAY_FIELDS}).withColumn("coerente", F.coalesce(coherent, F.lit(False)))
     listed = lambda test: F.array_compact(F.array(*(F.when(test(f), F.lit(f)) for f in DAY_FIELDS)))
     kind = lambda f: F.col(f"k_{f}")
     doubt = lambda f: (kind(f) == "keep") & F.array_contains("incerti", f) | kind(f).isin("doubt", "taken_doubt") | (~F.col("coerente") & ((kind(f) == "taken") | ((kind(f) == "same") & F.array_contains("b_inc", f))))
     illegible = lambda f: (kind(f) == "none") | (kind(f) == "keep") & F.array_contains("illeggibili", f)
-    return merged.withColumns({"incerti": listed(doubt), "illeggibili": listed(illegible)}).select(*keys, *DAY_FIELDS, "incerti", "illeggibili")
+    return merged.withColumns({"incerti": listed(doubt), "illeggibili": listed(illegible)}).select(*keys, *DAY_FIELDS, *([dash] if with_dash else []), "incerti", "illeggibili")
 
 
 def rows_to_reread(rows: DataFrame, findings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ changed or withdrawn document needs no counter to be decremented.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,46 @@ SURE, SURE_COVERAGE, MARGIN, BONUS_ONE, BONUS_PAIR = 0.90, 0.80, 0.08, 0.10, 0.1
 MAX_LENGTH, MAX_CONTRIBUTIONS = 200, 20_000
 # End of fixed values.
 FIELDS = list(LIMITS)
-#: Registry entries that one block holds; a larger vocabulary is compared block by block.
-BLOCK = 20_000
+DEDUCED = [*FIELDS, "lotto", "municipalita", "ore_pei"]
+#: Registry entries of one block, and distinct readings that a task compares with it.
+BLOCK, READINGS = 20_000, 2_000
+
+
+def least_score(field: str) -> float:
+    """Entries less alike than this change no decision about a field: with every bonus they are no suggestion, nor do they come
+    within the margin of an entry that may replace the reading."""
+    replace, _, _, suggest = LIMITS[field]
+    return min(suggest, replace - MARGIN) - BONUS_PAIR
+
+
+class Bounds:
+    """Upper bounds of a reading's likeness to all entries of a block, from their characters alone: matching blocks can't be longer than
+    the characters that both have, and each other character costs a half at least, a missing one a whole."""
+
+    def __init__(self, names: list[str]):
+        texts = [n.replace(" ", "") for n in names]
+        self.size = np.array([len(t) for t in texts], np.int32)
+        self.count = np.zeros((len(texts), 64), np.int16)
+        for i, t in enumerate(texts):
+            np.add.at(self.count[i], [ord(ch) & 63 for ch in t], 1)
+
+    def of(self, name: str) -> np.ndarray:
+        text = name.replace(" ", "")
+        own = np.bincount([ord(ch) & 63 for ch in text], minlength=64).astype(np.int16)
+        common = np.minimum(self.count, own).sum(1)
+        low, high = np.minimum(self.size, len(text)), np.maximum(self.size, len(text))
+        edit = 1 - ((high - low) + 0.5 * (low - common)) / np.maximum(high, 1)
+        return np.round((2 * common / np.maximum(low + high, 1) + np.maximum(edit, 0)) / 2 + 1e-4, 6)
+
+
+def value_order() -> list[Column]:
+    """Registry entries by how often they occur, then by value."""
+    return [F.desc("conteggio"), F.col("valore")]
+
+
+def export_order() -> list[Column]:
+    """Registry entries as an export lists them: by field and normalised text."""
+    return [F.col("campo"), normal(F.col("valore")), F.col("valore")]
 
 
 def trusted(field: str) -> Column:
@@ -65,12 +104,28 @@ def evicted(contributed: DataFrame, most: int = MAX_CONTRIBUTIONS) -> DataFrame:
     return contributed.join(latest.select("doc_id"), "doc_id", "left_semi")
 
 
+def to_json(values_: DataFrame, associations: DataFrame, contributed: DataFrame) -> DataFrame:
+    """One row (value): the registry as the file that sources.store.registry() reads, keys in order. The registry of one office is
+    small; it is its file's size that bounds this."""
+    fields = values_.groupBy("campo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chiave", F.struct("valore", "conteggio", "ultimo_uso", "manuale"))))).alias("m"))
+    entries = fields.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("campo", F.to_json("m"))))).alias("campi"))
+    columns = [c for c in associations.columns if c not in ("op_key", "al_key", "k")]
+    key = F.col("k") if "k" in associations.columns else F.concat_ws("|", "op_key", "al_key")
+    links = associations.select(key.alias("k"), F.struct(*columns).alias("v")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", F.to_json("v").alias("v"))))).alias("associazioni"))
+    one = contributed.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("campo", "chiave")))).alias("campi"), F.max("aggiornato").alias("aggiornato"))
+    docs = one.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("doc_id", F.to_json(F.struct("campi", "aggiornato")).alias("v"))))).alias("documenti"))
+    whole = entries.join(links).join(docs)
+    # the maps hold JSON already: they are put together as text
+    block = lambda c: F.concat(F.lit(f'"{c}":{{'), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ","), F.lit("}"))
+    return whole.select(F.concat(F.lit("{"), block("campi"), F.lit(","), block("associazioni"), F.lit(","), block("documenti"), F.lit("}")).alias("value"))
+
+
 def match(readings: DataFrame, vocabulary: DataFrame, bonuses: DataFrame | None = None) -> DataFrame:
     """Decisions for readings (doc_id, campo, letto): identico, sostituito, ambiguo, simile or nuovo.
 
     vocabulary: (campo, chiave, valore); bonuses: (doc_id, campo, chiave, bonus). Equal keys are found by a join. Only
-    distinct readings that are left meet the vocabulary, in blocks of bounded size that a task holds in memory; each
-    block gives the candidates that can matter, which are then ranked.
+    distinct readings that are left meet the vocabulary of their field, in blocks of bounded size that a task holds in memory;
+    bounds from the characters rule most entries out, and only candidates that can matter leave the task to be ranked.
     """
     # ``in`` names of the struct are those of likeness()
     text = readings.select("doc_id", "campo", clean(F.col("letto")).alias("letto")).where(enough_letters(F.col("letto")))
@@ -78,25 +133,27 @@ def match(readings: DataFrame, vocabulary: DataFrame, bonuses: DataFrame | None
     known = vocabulary.select("campo", "chiave", F.col("valore").alias("noto"))
     same = keyed.join(known, ["campo", "chiave"]).select("doc_id", "campo", "letto", F.lit("identico").alias("esito"), F.col("noto").alias("valore"), F.lit(1.0).alias("somiglianza"), F.lit(False).alias("incerto"))
     rest = keyed.join(known.select("campo", "chiave"), ["campo", "chiave"], "left_anti")
-    blocks = max(1, -(-vocabulary.count() // BLOCK))
     distinct = rest.select("campo", "letto").distinct().withColumn("n", normal(F.col("letto")))
+    blocks, parts = max(1, -(-vocabulary.count() // BLOCK)), max(1, -(-distinct.count() // READINGS))
     placed = vocabulary.select("campo", "chiave", "valore", normal(F.col("valore")).alias("n"), F.pmod(F.xxhash64("campo", "chiave"), F.lit(blocks)).alias("block"))
     schema = pa.schema([("campo", pa.string()), ("letto", pa.string()), ("chiave", pa.string()), ("noto", pa.string()), ("s", pa.float64()), ("c", pa.float64()), ("sospetta", pa.bool_()), ("numeri", pa.bool_())])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         words = right.to_pylist()
+        bounds = Bounds([w["n"] for w in words])
         out = []
         for r in left.to_pylist():
-            least = LIMITS[r["campo"]][3] - BONUS_PAIR
-            scored = [(r["campo"], r["letto"], w["chiave"], w["valore"], *likeness(r["n"], w["n"])) for w in words if w["campo"] == r["campo"]]
-            scored.sort(key=lambda x: (-x[4], x[3]))
-            out += [x for k, x in enumerate(scored) if k < 2 or x[4] >= least]  # the first two always count for the margin
+            least = least_score(r["campo"])
+            for k in np.flatnonzero(bounds.of(r["n"]) >= least):
+                scored = likeness(r["n"], words[k]["n"])
+                if scored[0] >= least:
+                    out.append((r["campo"], r["letto"], words[k]["chiave"], words[k]["valore"], *scored))
         return pa.table([pa.array([x[k] for x in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    parts = 8 * blocks
+    # every block of the vocabulary meets every part of the readings once; both have bounded sizes
     left = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("letto"), F.lit(parts)))
     right = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(compare, "campo string, letto string, chiave string, noto string, s double, c double, sospetta boolean, numeri boolean")
+    found = left.groupBy("campo", "block", "part").cogroup(right.groupBy("campo", "block", "part")).applyInArrow(compare, "campo string, letto string, chiave string, noto string, s double, c double, sospetta boolean, numeri boolean")
     scored = rest.select("doc_id", "campo", "letto").join(found, ["campo", "letto"], "left")
     if bonuses is not None:
         scored = scored.join(bonuses, ["doc_id", "campo", "chiave"], "left")
@@ -136,12 +193,13 @@ def deduce(resolved: DataFrame, associations: DataFrame, field: str) -> DataFram
     a = associations.select(F.col("op_key").alias("a_op"), F.col("al_key").alias("a_al"), F.col(field).alias("v"))
     by_op = resolved.where("op_key is not null").join(a, F.col("op_key") == F.col("a_op")).where(both)
     by_al = resolved.where("op_key is null and al_key is not null").join(a, F.col("al_key") == F.col("a_al"))
-    return by_op.unionByName(by_al).groupBy("doc_id").agg(F.count_distinct(name_key(F.col("v"))).alias("k"), F.count(F.lit(1)).alias("n"), F.count("v").alias("m"), F.max("v").alias("valore")).where("k = 1 and n = m").select("doc_id", F.lit(field).alias("campo"), "valore")
+    return by_op.unionByName(by_al).groupBy("doc_id").agg(F.count_distinct(name_key(F.col("v").cast("string"))).alias("k"), F.count(F.lit(1)).alias("n"), F.count("v").alias("m"), F.max("v").alias("valore")).where("k = 1 and n = m").select("doc_id", F.lit(field).alias("campo"), "valore")
 
 
 def correct(sheets: DataFrame, vocabulary: DataFrame, associations: DataFrame) -> DataFrame:
     """All decisions for flat sheets, in fixed order: operator, pupil, the operator again with the pupil's associations if it
-    was not recognised, school, entity. Bonuses rest on what is recognised so far."""
+    was not recognised, school, entity. Bonuses rest on what is recognised so far. Then illegible fields without a value are
+    deduced (dedotto, in doubt) where the associations leave one value."""
     read = lambda f: sheets.select("doc_id", F.lit(f).alias("campo"), F.col(f).alias("letto"))
     known = lambda f: vocabulary.where(F.col("campo") == f)
     good = F.col("esito").isin("identico", "sostituito")
@@ -161,6 +219,11 @@ def correct(sheets: DataFrame, vocabulary: DataFrame, associations: DataFrame) -
     out, resolved = op.unionByName(al), keys(op, al)
     for f in ("istituto", "ente"):
         out = out.unionByName(match(read(f), known(f), association_bonuses(resolved, associations, f)))
+    for f in DEDUCED:
+        if f in sheets.columns and f in associations.columns:
+            lost = sheets.where(F.col(f).isNull() & F.array_contains("h_illeggibili", f)).select("doc_id")
+            told = deduce(resolved.join(lost, "doc_id", "left_semi"), associations, f)
+            out = out.unionByName(told.select("doc_id", "campo", F.lit(None).cast("string").alias("letto"), F.lit("dedotto").alias("esito"), F.col("valore").cast("string").alias("valore"), F.lit(0.0).alias("somiglianza"), F.lit(True).alias("incerto")))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import clean, clock, normal
 from ..plans.model import CODE, LABELS
+from ..session import cut
 from .duplicates import exportable
 from .rows import has_content, pair_written, spreadsheet_measures, valid_period
 from .rules import ordered
@@ -30,9 +31,10 @@ def export_order() -> list[Column]:
 
 def numbered(sheets: DataFrame, order: list[Column], name: str = "n", parts: int | None = None) -> DataFrame:
     """Rows numbered from 1 over a total order, without gathering them: range partitions are numbered on their own and
-    shifted by the sizes of those before. The sizes are one row for each partition."""
+    shifted by the sizes of those before. The sizes are one row for each partition. Placed rows are stored first, as
+    ranges come from a sample that may differ from one run to the next."""
     n = parts or int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    placed = sheets.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33))
+    placed = cut(sheets.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)))
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") + 1 + F.col("_before")).drop("_p", "_i", "_before")

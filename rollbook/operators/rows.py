@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_kind, month_days, week_of_month
-from ..functions.values import blank, minutes, span
+from ..functions.values import blank, span, with_times
 from ..plans.model import DAY_FIELDS, HEADER_FIELDS, MAX_DAY_HOURS
 
 _NO_NAMES = "array<string>"
@@ -64,7 +64,7 @@ def typed(rows: DataFrame) -> DataFrame:
     computed, else 0); tipo, festivita and settimana of the day.
     """
     ok = valid_period(F.col("mese"), F.col("anno"))
-    out = rows.withColumn("periodo_valido", ok).withColumns({f"min_{f}": minutes(F.col(f)) for f in DAY_FIELDS[:4]})
+    out = with_times(rows.withColumn("periodo_valido", ok), {f"min_{f}": f for f in DAY_FIELDS[:4]})
     out = out.withColumns({
         "n_giorni": F.when(F.col("periodo_valido"), month_days(F.col("anno"), F.col("mese"))).otherwise(31),
         "min_prog": span(F.col("min_prog_entrata"), F.col("min_prog_uscita")), "min_eff": span(F.col("min_eff_entrata"), F.col("min_eff_uscita")),

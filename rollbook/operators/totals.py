@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import day_kind, week_bounds, week_of_month
+from ..functions.messages import week_outcome
 from ..plans.model import CODE, TOLERANCE
 from .rows import names, pair_legible_written, pair_written
 
@@ -67,3 +68,12 @@ def difference(totals: DataFrame, sheets: DataFrame) -> DataFrame:
     """Totals with the declared monthly total and its difference from the sum of declared hours."""
     joined = totals.join(sheets.select("doc_id", "totale_mensile_dichiarato"), "doc_id")
     return joined.withColumn("differenza_totale", F.round(F.col("ore_dichiarate") - F.col("totale_mensile_dichiarato"), 2).cast(_SUM)).withColumn("totale_diverso", F.abs("differenza_totale") > TOLERANCE)
+
+
+def week_block(weeks: DataFrame) -> DataFrame:
+    """The weekly block of a sheet's report: weeks with their outcome against the full weekly quota, and the month's row (settimana null)."""
+    own = weeks.select("doc_id", "settimana", "dal", "al", "ore", "ore_pei", "ore_pei_doc", "differenza", week_outcome(F.col("ore"), F.col("ore_pei_doc")).alias("esito"))
+    none = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)
+    month = weeks.groupBy("doc_id").agg(F.sum("ore").alias("o"), F.sum("ore_pei").alias("q"))
+    total = month.select("doc_id", none("settimana"), none("dal"), none("al"), F.col("o").cast(_SUM).alias("ore"), F.col("q").cast(_SUM).alias("ore_pei"), none("ore_pei_doc"), (F.col("o") - F.col("q")).cast(_SUM).alias("differenza"), none("esito"))
+    return own.unionByName(total)

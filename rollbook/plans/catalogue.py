@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import duplicates, reports
+from ..operators import duplicates, reports, rules
 from ..operators import rows as R
 from ..operators import totals as T
+from ..session import cut
 from . import adapter
-from .model import codes
+from .model import CODES, DAY_FIELDS, LABELS, codes
 from .pipeline import Validated, validate
 
 _QUERIES: dict = {}
@@ -116,16 +117,12 @@ def day_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(on_events(_ROW_FINDINGS + "SELECT * FROM f"))
 def row_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule of a row, in one pass."""
-    from ..operators import rules
-
     return rules.row_findings(_typed(spark, sf_dir)).select("doc_id", "giorno", "codice", "gravita", "campo")
 
 
 @query(on_events(_WEEKS + _SHEET_FINDINGS + "SELECT * FROM g WHERE codice <> 'E06_NON_FOGLIO_FIRMA'"))
 def sheet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of a sheet as a whole."""
-    from ..operators import rules
-
     sheets, rows = adapter.sheets(spark, sf_dir), _typed(spark, sf_dir)
     return rules.sheet_findings(sheets, T.month_totals(rows), T.week_totals(rows, sheets)).select("doc_id", "codice", "gravita", "campo")
 
@@ -154,10 +151,11 @@ _PEERS = f""", k AS (SELECT doc_id, op_key, alunno, mese, anno FROM d WHERE {_EX
 peers AS (SELECT a.doc_id, list(b.doc_id ORDER BY b.doc_id) AS peers FROM k a JOIN k b USING (op_key, alunno, mese, anno) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id) """
 
 
-@query(on_events(_PEERS + "SELECT doc_id, array_to_string(peers, ',') AS peers FROM peers"))
+@query(on_events(_PEERS + ", sized AS (SELECT k.doc_id, min(o.doc_id) AS gruppo, count(*) AS fogli FROM k JOIN k o USING (op_key, alunno, mese, anno) GROUP BY k.doc_id) SELECT doc_id, array_to_string(peers, ',') AS peers, gruppo, fogli FROM peers JOIN sized USING (doc_id)"))
 def possible_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of the same operator, pupil and month, with the others of their group."""
-    return duplicates.duplicate_peers(adapter.sheets(spark, sf_dir)).withColumn("peers", F.array_join("peers", ","))
+    """Sheets of the same operator, pupil and month: their group, its size, and the others of it."""
+    sheets = adapter.sheets(spark, sf_dir)
+    return duplicates.duplicates(sheets).join(duplicates.duplicate_peers(sheets).withColumn("peers", F.array_join("peers", ",")), "doc_id")
 
 
 @query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + _PEERS + f""", j AS (SELECT d.*, st.*EXCLUDE (doc_id), peers IS NOT NULL AS dup, {_EXPORT} AS done, (SELECT round(sum(ric), 2) FROM x WHERE x.doc_id = d.doc_id) AS ric FROM d LEFT JOIN st USING (doc_id) LEFT JOIN peers USING (doc_id))
@@ -167,7 +165,7 @@ count(*) FILTER (done AND dup) AS possibili_duplicati, count(*) FILTER (done AND
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dashboard's figures."""
     v = _all(spark, sf_dir)
-    return duplicates.kpis(v.sheets, v.states, v.totals, duplicates.duplicate_peers(v.sheets))
+    return duplicates.kpis(v.sheets, v.states, v.totals, duplicates.duplicates(v.sheets))
 
 
 @query(on_events("SELECT s.status, count(d.doc_id) AS n FROM (SELECT unnest(['in_coda', 'in_lavorazione', 'completato', 'errore', 'scartato']) AS status) s LEFT JOIN d USING (status) GROUP BY 1"))
@@ -177,19 +175,36 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(on_events(_SUMS + _ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + f"""SELECT CAST(row_number() OVER (ORDER BY lower(operatore) NULLS LAST, anno, mese, lower(alunno), source_file, source_page, doc_id) AS BIGINT) AS n, doc_id, coalesce(operatore, '(illeggibile)') AS operatore, alunno, istituto, mese, anno,
-CAST(prog AS DECIMAL(12,2)) AS prog, CAST(calc AS DECIMAL(12,2)) AS calc, CAST(dich AS DECIMAL(12,2)) AS dich, CAST(ric AS DECIMAL(12,2)) AS ric, giorni, ass_al, ass_op, firme, n_errori AS errori, n_attenzioni AS attenzioni, stato
+CAST(prog AS DECIMAL(12,2)) AS prog, CAST(calc AS DECIMAL(12,2)) AS calc, CAST(dich AS DECIMAL(12,2)) AS dich, CAST(ric AS DECIMAL(12,2)) AS ric, CAST(round(ric / nullif(prog, 0), 4) AS DOUBLE) AS quota, giorni, ass_al, ass_op, firme, CAST(totale AS DECIMAL(9,4)) AS totale_mensile_dichiarato, n_errori AS errori, n_attenzioni AS attenzioni, stato
 FROM d JOIN xs USING (doc_id) JOIN st USING (doc_id) WHERE {_EXPORT}"""))
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One numbered row per exportable sheet."""
     v = _all(spark, sf_dir)
-    return reports.summary(v.sheets, v.rows, v.states).drop("quota", "totale_mensile_dichiarato")
-
-
-@query()
+    return reports.summary(v.sheets, v.rows, v.states).withColumn("quota", F.col("quota").cast("double"))
+
+
+#: What a day's row says in words: errors, else warnings, in order of emission; else what is written.
+_OUTCOMES = f""", told AS (SELECT doc_id, giorno, codice, CASE WHEN gravita = 'errore' THEN 0 ELSE 1 END AS w, campo,
+  CASE left(codice, 3) {' '.join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(["E03", "E01", "W12", "W02", "W01", "W03", "W05", "W11", "E05", "W04"]))} END AS o,
+  CASE codice {' '.join(f"WHEN '{c}' THEN '{t.replace(chr(39), chr(39) * 2)}'" for c, _, t in CODES)} END AS titolo,
+  CASE campo {' '.join(f"WHEN '{k}' THEN '{v.lower().replace(chr(39), chr(39) * 2)}'" for k, v in LABELS.items())} END AS etichetta, CASE campo {' '.join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(DAY_FIELDS))} END AS posto FROM f WHERE gravita <> 'info'),
+by_code AS (SELECT doc_id, giorno, w, o, CASE WHEN codice LIKE 'E05%' THEN 'illeggibile: ' || string_agg(etichetta, ', ' ORDER BY posto) WHEN codice LIKE 'W04%' THEN 'lettura incerta: ' || string_agg(etichetta, ', ' ORDER BY posto) ELSE any_value(titolo) END AS t FROM told GROUP BY doc_id, giorno, w, codice, o),
+by_day AS (SELECT doc_id, giorno, w, string_agg(t, '; ' ORDER BY o) AS t FROM by_code GROUP BY doc_id, giorno, w),
+line AS (SELECT doc_id, giorno, CASE WHEN min(w) = 0 THEN 'Errore: ' ELSE 'Da verificare: ' END || arg_min(t, w) AS problemi FROM by_day GROUP BY doc_id, giorno),
+o AS (SELECT x.*, pe IS NOT NULL OR eff_w OR dich_raw IS NOT NULL OR al OR op OR firma OR nota OR x_ore OR x_note AS piena,
+  coalesce(problemi, CASE WHEN op THEN 'Assenza operatore' WHEN al THEN 'Assenza alunno' WHEN NOT (pe IS NOT NULL OR eff_w OR dich_raw IS NOT NULL OR firma OR nota OR x_ore OR x_note) THEN '' WHEN prog_w AND NOT eff_w AND (dich_raw IS NULL OR coalesce(dich <= 0.01, false)) AND NOT x_ore THEN 'Non svolto' WHEN ric > 0 OR eff_w THEN 'OK' ELSE 'Non svolto' END) AS esito,
+  CASE WHEN mese = 1 AND giorno = 1 THEN 'Capodanno' WHEN mese = 1 AND giorno = 6 THEN 'Epifania' END AS festivita FROM x LEFT JOIN line USING (doc_id, giorno)) """
+_CLOCK = "CASE WHEN {0} IS NOT NULL THEN lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0') END AS {1}"
+
+
+@query(on_events(_ROW_FINDINGS + _OUTCOMES + f"""SELECT o.doc_id, coalesce(operatore, '(illeggibile)') AS operatore, alunno, istituto, o.anno, o.mese, giorno, tipo, festivita, {_CLOCK.format("pe", "prog_entrata")}, {_CLOCK.format("pu", "prog_uscita")}, {_CLOCK.format("ee", "eff_entrata")}, {_CLOCK.format("eu", "eff_uscita")},
+CAST(round(mp / 60.0, 2) AS DECIMAL(12,2)) AS prog, CAST(round(me / 60.0, 2) AS DECIMAL(12,2)) AS calc, CAST(dich_raw AS DECIMAL(12,2)) AS dich, CAST(round(CASE WHEN op THEN 0.0 ELSE coalesce(dich_raw, me / 60.0) END, 2) AS DECIMAL(12,2)) AS ric, CAST(round(dich_raw - me / 60.0, 2) AS DECIMAL(12,2)) AS diff,
+al AS assenza_alunno, op AS assenza_operatore, firma, CASE WHEN nota THEN 'permesso 104' END AS note, coalesce(nullif(esito, ''), festivita, '') AS esito FROM o JOIN d USING (doc_id) WHERE piena AND {_EXPORT}"""))
 def detail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per exportable sheet and day, with its outcome in words."""
-    v = _all(spark, sf_dir)
-    return reports.detail(v.sheets, v.rows, v.findings, codes(spark))
+    sheets, rows = adapter.sheets(spark, sf_dir), cut(_typed(spark, sf_dir))
+    # the outcome follows from the rows' findings alone: weeks, totals and states aren't needed
+    return reports.detail(sheets, rows, rules.row_findings(rows), codes(spark))
 
 
 @query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + f"""SELECT codice, gravita, count(*) AS n, count(DISTINCT doc_id) AS fogli FROM (SELECT doc_id, codice, gravita FROM f UNION ALL SELECT doc_id, codice, gravita FROM g) JOIN d USING (doc_id) WHERE {_EXPORT} GROUP BY ALL"""))
@@ -204,25 +219,25 @@ def _grouped_sql(label: str, other: str) -> str:
     return on_events(_SUMS + f""", b AS (SELECT {label} AS label, {other} AS other, xs.* FROM d JOIN xs USING (doc_id) WHERE {_EXPORT}),
 q AS (SELECT min(label) AS gruppo, count(*) AS fogli, sum(ric) AS ric, sum(prog) AS prog, CAST(sum(giorni) AS BIGINT) AS giorni, CAST(sum(ass_al) AS BIGINT) AS ass_al, CAST(sum(ass_op) AS BIGINT) AS ass_op, array_to_string(list_sort(list(DISTINCT other)), ', ') AS altri FROM b GROUP BY lower(label)
 UNION ALL SELECT NULL, count(*), sum(ric), sum(prog), CAST(sum(giorni) AS BIGINT), CAST(sum(ass_al) AS BIGINT), CAST(sum(ass_op) AS BIGINT), NULL FROM b)
-SELECT gruppo, fogli, CAST(ric AS DECIMAL(18,2)) AS ric, CAST(prog AS DECIMAL(18,2)) AS prog, giorni, ass_al, ass_op, altri, coalesce(gruppo LIKE '(%', false) AS segnaposto FROM q""")
+SELECT gruppo, fogli, CAST(ric AS DECIMAL(18,2)) AS ric, CAST(prog AS DECIMAL(18,2)) AS prog, CAST(round(ric / nullif(prog, 0), 4) AS DOUBLE) AS quota, giorni, ass_al, ass_op, altri, coalesce(gruppo LIKE '(%', false) AS segnaposto FROM q""")
 
 
 @query(_grouped_sql("coalesce(operatore, '(illeggibile)')", "alunno"))
 def totals_by_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by operator with a section total."""
-    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "operatore", "alunno").drop("quota")
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "operatore", "alunno").withColumn("quota", F.col("quota").cast("double"))
 
 
 @query(_grouped_sql("alunno", "coalesce(operatore, '(illeggibile)')"))
 def totals_by_pupil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by pupil with a section total."""
-    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "alunno", "operatore").drop("quota")
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "alunno", "operatore").withColumn("quota", F.col("quota").cast("double"))
 
 
 @query(_grouped_sql("istituto", "coalesce(operatore, '(illeggibile)')"))
 def totals_by_school(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by school with a section total."""
-    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "istituto", "operatore").drop("quota")
+    return reports.grouped_totals(adapter.sheets(spark, sf_dir), _typed(spark, sf_dir), "istituto", "operatore").withColumn("quota", F.col("quota").cast("double"))
 
 
 @query(on_events(_SUMS + f"""SELECT lower(istituto) AS gruppo, CAST(sum(ric) FILTER (anno = 2024 AND mese = 1) AS DECIMAL(18,2)) AS "2024-01", CAST(sum(ric) FILTER (anno = 2024 AND mese = 2) AS DECIMAL(18,2)) AS "2024-02" FROM d JOIN xs USING (doc_id) WHERE {_EXPORT} GROUP BY 1"""))
@@ -346,12 +361,12 @@ def latest_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest(o, "key", "gen")
 
 
-@query("SELECT o_custkey AS doc_id, o_orderpriority AS campo, arg_min(o_orderstatus, o_orderkey) AS originale, arg_max(o_orderstatus, o_orderkey) AS valore, arg_min(o_orderstatus, o_orderkey) <> arg_max(o_orderstatus, o_orderkey) AS modificato FROM orders GROUP BY ALL")
+@query("SELECT o_custkey AS doc_id, o_orderpriority AS campo, arg_min(o_orderstatus, o_orderkey) AS originale, arg_max(chr(CAST(68 + o_orderkey % 5 AS INTEGER)), o_orderkey) AS valore, arg_min(o_orderstatus, o_orderkey) <> arg_max(chr(CAST(68 + o_orderkey % 5 AS INTEGER)), o_orderkey) AS modificato FROM orders GROUP BY ALL")
 def edit_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first and the latest value of edited fields."""
     from ..streaming import ingest
 
-    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("campo"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("old"), F.col("o_orderstatus").alias("new"))
+    log = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("campo"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("old"), F.char((F.col("o_orderkey") % 5 + 68).cast("int")).alias("new"))
     return ingest.edit_state(log)
 
 
@@ -362,7 +377,20 @@ def selected_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(adapter.sheets(spark, sf_dir), "doc_id").select("pos", "doc_id", "status")
 
 
-@query()
+_CHOICES = """, g AS (SELECT * FROM (VALUES (0, 0, -0.5::DOUBLE), (1, 30, -1.2::DOUBLE), (2, -60, -2.5::DOUBLE)) t(i, s, lp)),
+v AS (SELECT doc_id, giorno, al, pe, pu, ee, eu, CAST(dich * 60 AS INTEGER) AS h FROM x WHERE pe IS NOT NULL OR pu IS NOT NULL OR ee IS NOT NULL OR eu IS NOT NULL OR dich IS NOT NULL),
+c AS (SELECT doc_id, giorno, al, a.i AS i0, b.i AS i1, c.i AS i2, d.i AS i3, e.i AS i4, pe + a.s AS pe, pu + b.s AS pu, ee + c.s AS ee, eu + d.s AS eu, h + e.s AS h,
+  CASE WHEN v.pe IS NULL THEN 0 ELSE a.lp END + CASE WHEN v.pu IS NULL THEN 0 ELSE b.lp END + CASE WHEN v.ee IS NULL THEN 0 ELSE c.lp END + CASE WHEN v.eu IS NULL THEN 0 ELSE d.lp END + CASE WHEN v.h IS NULL THEN 0 ELSE e.lp END AS lp
+  FROM v, g a, g b, g c, g d, g e WHERE (v.pe IS NOT NULL OR a.i = 0) AND (v.pu IS NOT NULL OR b.i = 0) AND (v.ee IS NOT NULL OR c.i = 0) AND (v.eu IS NOT NULL OR d.i = 0) AND (v.h IS NOT NULL OR e.i = 0)),
+k AS (SELECT *, CASE WHEN eu > ee THEN eu - ee END AS de, CASE WHEN pu > pe THEN pu - pe END AS dp FROM c),
+z AS (SELECT *, lp + coalesce(CASE WHEN pu <= pe THEN -8.0 WHEN pu - pe < 30 OR pu - pe > 480 THEN -3.0 ELSE 0 END, 0) + coalesce(CASE WHEN eu <= ee THEN -8.0 WHEN eu - ee < 30 OR eu - ee > 480 THEN -3.0 ELSE 0 END, 0)
+  + CASE WHEN pe = ee THEN 1.0 ELSE 0 END + CASE WHEN pu = eu THEN 1.0 ELSE 0 END + CASE WHEN abs(de - h) < 0.6 THEN 2.5 WHEN de IS NOT NULL AND h IS NOT NULL AND NOT (al AND h < de) THEN -2.0 ELSE 0 END
+  + CASE WHEN abs(dp - h) < 0.6 THEN 0.5 WHEN dp IS NOT NULL AND h IS NOT NULL AND (ee IS NULL OR eu IS NULL) THEN CASE WHEN h <= dp + 0.6 THEN 0.3 ELSE -1.0 END ELSE 0 END AS score FROM k)
+SELECT doc_id, giorno, pe AS prog_entrata, pu AS prog_uscita, ee AS eff_entrata, eu AS eff_uscita, h AS ore_dichiarate, round(CAST(score AS DOUBLE), 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, giorno ORDER BY round(CAST(score AS DOUBLE), 9) DESC, i0, i1, i2, i3, i4) AS r FROM z) WHERE r = 1"""
+
+
+@query(on_events(_CHOICES))
 def reconciled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest coherent values of each row, from three alternatives of each field."""
     from ..operators import readings
@@ -413,18 +441,29 @@ def report_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.caption(adapter.sheets(spark, sf_dir))
 
 
-@query()
+_MONTHS = "['gennaio', 'febbraio', 'marzo', 'aprile', 'maggio', 'giugno', 'luglio', 'agosto', 'settembre', 'ottobre', 'novembre', 'dicembre']"
+
+
+@query(on_events(_ROW_FINDINGS + _WEEKS + _SHEET_FINDINGS + _STATES + f""", mt AS (SELECT doc_id, round(sum(ric), 2) AS ric, round(coalesce(sum(dich), 0), 2) AS dich, count(*) FILTER (NOT op AND ric > 0) AS giorni FROM x GROUP BY doc_id)
+SELECT d.doc_id, d.doc_id AS id, CASE WHEN operatore IS NOT NULL THEN operatore || ' – ' || {_MONTHS}[mese] || ' ' || anno ELSE source_file || ' – pagina ' || source_page END AS display_name, status, is_sheet AS is_foglio_firma, operatore, CAST(pei AS DOUBLE) AS ore_pei, CAST(mt.ric AS DOUBLE) AS ore_riconosciute, CAST(mt.dich AS DOUBLE) AS ore_dichiarate,
+mt.giorni AS giorni_lavorati, CAST(totale AS DOUBLE) AS totale, n_errori, n_attenzioni, campi_illeggibili, stato FROM d JOIN mt USING (doc_id) JOIN st USING (doc_id)"""))
 def sheet_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each sheet's summary as JSON."""
+    """Each sheet's summary: the JSON payload, read back field by field."""
     from ..operators import payloads
 
     v = _all(spark, sf_dir)
-    return payloads.summaries(v.sheets, v.totals, v.states)
+    told = F.from_json("payload", "id string, display_name string, status string, is_foglio_firma boolean, header struct<operatore:string,ore_pei:double>, totals struct<ore_riconosciute:double,ore_dichiarate:double,giorni_lavorati:bigint,totale_mensile_dichiarato:double,n_errori:bigint,n_attenzioni:bigint,campi_illeggibili:bigint,stato:string>")
+    read = payloads.summaries(v.sheets, v.totals, v.states).select("doc_id", told.alias("p"))
+    return read.select("doc_id", "p.id", "p.display_name", "p.status", "p.is_foglio_firma", "p.header.*", "p.totals.*").withColumnRenamed("totale_mensile_dichiarato", "totale")
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from . import further
+
+    return _QUERIES | further.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(_SQL)
+    from . import further
+
+    return _SQL | further.SQL

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
-from ..functions.values import clean, field_list, hours, month, year
+from ..functions.values import clean, enough_letters, field_list, hours, month, name_key, year
 from ..plans.model import DAY_FIELDS, HEADER_FIELDS, MAX_MONTH_HOURS, MAX_WEEK_HOURS, SHEET
 
 ID = r"([0-9a-f]{12})/[^/]*$"
@@ -47,7 +48,11 @@ def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     doc = T.StructType.fromDDL("campi map<string,string>, associazione string, aggiornato string")
     schema = T.StructType([T.StructField("campi", T.MapType(T.StringType(), T.MapType(T.StringType(), entry))), T.StructField("associazioni", T.MapType(T.StringType(), link)), T.StructField("documenti", T.MapType(T.StringType(), doc))])
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
-    values = raw.select(F.explode("r.campi").alias("campo", "m")).select("campo", F.explode("m").alias("chiave", "v")).select("campo", "chiave", "v.*").where(clean(F.col("valore")).isNotNull())
+    told = raw.select(F.explode("r.campi").alias("campo", "m")).select("campo", F.explode("m").alias("k", "v")).select("campo", "v.*").where(enough_letters(F.col("valore")))
+    # keys follow from the values, whatever the file says; of two entries that meet, the later use is kept
+    sane = told.select("campo", name_key(F.col("valore")).alias("chiave"), clean(F.col("valore")).alias("valore"), F.greatest(F.lit(0), F.coalesce("conteggio", F.lit(0))).alias("conteggio"), F.coalesce("ultimo_uso", F.lit("")).alias("ultimo_uso"), F.coalesce("manuale", F.lit(False)).alias("manuale"))
+    rest = F.struct("valore", "conteggio", "ultimo_uso", "manuale")
+    values = sane.groupBy("campo", "chiave").agg(F.max_by(rest, F.struct("ultimo_uso", "conteggio", "valore")).alias("v")).select("campo", "chiave", "v.*")
     links = raw.select(F.explode("r.associazioni").alias("k", "v")).select("k", "v.*").where(clean(F.col("operatore")).isNotNull())
     docs = raw.select(F.explode("r.documenti").alias("doc_id", "v")).select("doc_id", F.explode("v.campi").alias("campo", "chiave"), "v.associazione", "v.aggiornato")
     return values, links, docs
@@ -108,9 +113,39 @@ def file_kind(content: Column, path: Column) -> Column:
     return F.coalesce(by_head, *(F.when(suffix == e, k) for e, k in EXTENSIONS.items()))
 
 
-def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """Landed files with their kind and digest; ``error`` says why one can't be taken."""
+#: Files of one upload at most, and bytes of a file.
+MOST_FILES, MOST_BYTES = 5000, 200 << 20
+
+
+def uploads(spark: SparkSession, folder: str, known: DataFrame | None = None) -> DataFrame:
+    """Landed files with their kind and digest; ``error`` says why one can't be taken, ``known_as`` which sheet has its first page already
+    (known: doc_id, source_sha256). More files than an upload may have are refused as a whole, before any is read."""
+    paths = spark.read.format("binaryFile").load(folder).select("path")
+    if paths.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"an upload has {MOST_FILES} files at most")
     raw = spark.read.format("binaryFile").load(folder)
     kind = file_kind(F.col("content"), F.col("path"))
-    error = F.when(F.col("length") == 0, "file vuoto").when(F.col("length") > 200 << 20, "file troppo grande").when(kind.isNull(), "formato non riconosciuto")
-    return raw.select("path", "length", F.sha2("content", 256).alias("source_sha256"), kind.alias("kind"), error.alias("error"))
+    error = F.when(F.col("length") == 0, "file vuoto").when(F.col("length") > MOST_BYTES, "file troppo grande").when(kind.isNull(), "formato non riconosciuto")
+    out = raw.select("path", "length", F.sha2("content", 256).alias("source_sha256"), kind.alias("kind"), error.alias("error"))
+    if known is None:
+        return out
+    first = known.groupBy("source_sha256").agg(F.min("doc_id").alias("known_as"))
+    return out.join(first, "source_sha256", "left").withColumn("error", F.coalesce("error", F.when(F.col("known_as").isNotNull(), "già importato")))
+
+
+def settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A settings file (one JSON object) over the defaults, key by key: unknown keys and values of another kind are left out, and an
+    unreadable file leaves the defaults. Numbers may be whole where the default isn't."""
+    import json
+
+    try:
+        told = json.loads(spark.read.text(path, wholetext=True).first().value)
+    except (ValueError, AttributeError, AnalysisException):
+        return dict(defaults)
+
+    def fits(value, default) -> bool:
+        if isinstance(default, bool) or isinstance(value, bool):
+            return isinstance(default, bool) and isinstance(value, bool)
+        return default is None or isinstance(value, type(default)) or (isinstance(default, float) and isinstance(value, int))
+
+    return defaults | {k: v for k, v in (told.items() if isinstance(told, dict) else ()) if k in defaults and fits(v, defaults[k])}
