@@ -10,8 +10,8 @@ documents and all their words; a term's documents are counted with partial sums.
 
 A page of many entities and many terms would have the product of both as pairs. Most needn't be made: entities
 of one set of documents count as one; a term of so few documents that one of them is enough discloses all
-entities beside it; and an entity of fewer documents than a term needs can't be disclosed by it. Pairs are
-only made of the rest.
+entities beside it; a term that has too few of its documents among those that mention anything discloses nothing;
+and an entity of fewer documents than a term needs can't be disclosed by it. Pairs are only made of the rest.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds all stay, and the
 sanitised text replaces their union once, by the placeholder of the first; repeated rows count as
@@ -39,6 +39,8 @@ TERM = "term"
 #: A term discloses an entity if it leaves at most so many bits of uncertainty about it; one document is enough.
 MAX_BITS = 1.0
 LEAST_LETTERS = 3
+#: So many terms at most (16 bytes each) are broadcast to the documents that may hold them.
+BROADCAST_TERMS = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -216,43 +218,64 @@ def word_documents(documents: DataFrame) -> DataFrame:
     return _texts(documents).select("text").transform(map_arrow, run, _WORD_KEY).groupBy("word_key").agg(F.sum("n").alias("n"))
 
 
-def disclosing(mentioned: DataFrame, words: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
-    """(row_key, term, removed) of the terms that reveal an entity of that document, from a stored result of mentions().
+def numbered(mentioned: DataFrame) -> DataFrame:
+    """mentions() stored, one row for each id and text, with how often it is there (``times``) and a short number (``rid``)."""
+    stored = cut(mentioned.withColumn("rid", F.monotonically_increasing_id()).withColumn("times", F.lit(1).cast("long")))
+    if not stored.groupBy("row_key").count().where("count > 1").limit(1).count():
+        return stored
+    rest = F.struct("rid", "entities", "terms")
+    return cut(stored.groupBy("row_key").agg(F.min_by(rest, "rid").alias("r"), F.count(F.lit(1)).alias("times")).select("row_key", "r.entities", "r.terms", "r.rid", "times"))
+
 
-    A repeated row (same id and text) mentions as often as it is there.
-    """
+def disclosing(mentioned: DataFrame, words: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
+    """(rid, term, removed) of the terms that reveal an entity of that document; mentioned: a result of numbered()."""
     share = 2.0**-max_bits  # of a term's documents that have to mention the entity
-    documents = cut(mentioned.groupBy("row_key").agg(F.count(F.lit(1)).alias("times")))
-    times = documents.where("times > 1")
-    each = mentioned.dropDuplicates(["row_key"]).join(times, "row_key", "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    entity = cut(each.select("row_key", "times", F.explode("entities").alias("entity")))
-    term = cut(each.select("row_key", "times", F.explode("terms.term").alias("term")))
-    # entities of one set of documents have the same counts with every term: n, and two sums of their documents' hashes, name the set
-    # two documents may have one hash; two sets of documents then differ in the other
-    h = [F.xxhash64("row_key", F.lit(k)).cast("decimal(20,0)") for k in (1, 2)]
-    sets = cut(entity.groupBy("entity").agg(F.sum("times").alias("n_e"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b")))
-    group = cut(unskewed(entity, sets, ["entity"]).select("row_key", "times", F.xxhash64("n_e", "a", "b").alias("who"), "n_e").distinct())
-    known = cut(unskewed(term, words.withColumnRenamed("word_key", "term"), ["term"]).select("row_key", "term", "n"))
     least = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
-    pairs = known.where("n > 1").join(group.where("n_e > 1"), "row_key").where(F.col("n_e") >= least)
+    entity = mentioned.select("rid", "times", F.explode("entities").alias("entity"))
+    term = mentioned.select("rid", "times", F.explode("terms.term").alias("term"))
+    # a term that has too few of its documents among those that mention anything at all discloses nothing: most words
+    held = term.groupBy("term").agg(F.sum("times").alias("m"))
+    able = cut(held.join(words.withColumnRenamed("word_key", "term"), "term").where(F.col("m") >= least).select("term", "n"))
+    few = able.count() <= BROADCAST_TERMS
+    known = cut(term.join(F.broadcast(able), "term") if few else unskewed(term, able, ["term"])).select("rid", "term", "n")
+    # entities of one set of documents have the same counts with every term: their number and two sums of hashes name the set
+    h = [F.xxhash64("rid", F.lit(k)).cast("decimal(20,0)") for k in (1, 2)]
+    sets = entity.groupBy("entity").agg(F.sum("times").alias("n_e"), F.sum(h[0]).alias("a"), F.sum(h[1]).alias("b"))
+    group = unskewed(entity, sets, ["entity"]).select("rid", "times", F.xxhash64("n_e", "a", "b").alias("who"), "n_e").distinct()
+    pairs = known.where("n > 1").join(group.where("n_e > 1"), "rid").where(F.col("n_e") >= least)
     together = pairs.groupBy("who", "term").agg(F.sum("times").alias("n_both"), F.first("n").alias("n"))
-    told = cut(together.where(F.col("n_both") >= least).select("who", "term", (F.col("n") <= F.col("n_both")).alias("whole")))
-    some = pairs.select("row_key", "who", "term").join(told, ["who", "term"]).groupBy("row_key", "term").agg(F.max("whole").alias("whole"))
-    alone = known.where(least <= 1).select("row_key", "term", (F.col("n") == 1).alias("whole"))
-    return some.unionByName(alone).groupBy("row_key", "term").agg(F.max("whole").alias("removed"))
+    told = together.where(F.col("n_both") >= least).select("who", "term", (F.col("n") <= F.col("n_both")).alias("whole"))
+    some = pairs.select("rid", "who", "term").join(told, ["who", "term"]).groupBy("rid", "term").agg(F.max("whole").alias("whole"))
+    alone = known.where(least <= 1).select("rid", "term", (F.col("n") == 1).alias("whole"))
+    return some.unionByName(alone).groupBy("rid", "term").agg(F.max("whole").alias("removed"))
+
+
+_PLACED = pa.schema([("row_key", pa.binary()), ("terms", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("removed", pa.bool_())])))])
+_PLACED_DDL = "row_key binary, terms array<struct<start:long,end:long,removed:boolean>>"
+
+
+def placed(batches):
+    """From terms with their places and the disclosing ones of each document, the spans in order."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 64):
+            out = []
+            for row in batch.slice(first, 64).to_pylist():
+                told = {t["term"]: t["removed"] for t in row["told"]}
+                spans = sorted((a, b, told[t["term"]]) for t in row["terms"] if t["term"] in told for a, b in zip(t["places"][::2], t["places"][1::2], strict=True))
+                out.append({"row_key": row["row_key"], "terms": [{"start": a, "end": b, "removed": r} for a, b, r in spans]})
+            yield pa.RecordBatch.from_pylist(out, _PLACED)
 
 
 def detect(documents: DataFrame, max_bits: float = MAX_BITS) -> DataFrame:
     """Per document: base counts and digest, all spans, and ``terms``: the added spans as structs (start, end, removed)."""
-    mentioned = cut(mentions(documents))
+    mentioned = numbered(mentions(documents))
     told = disclosing(mentioned, word_documents(documents), max_bits)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t.places"), F.lit(2)), lambda k: F.struct(F.element_at("t.places", k).alias("start"), F.element_at("t.places", k + 1).alias("end")))
-    places = mentioned.dropDuplicates(["row_key"]).select("row_key", F.explode("terms").alias("t")).where(F.size("t.places") > 0).select("row_key", F.col("t.term").alias("term"), pairs.alias("at"))
-    found = places.join(told, ["row_key", "term"]).select("row_key", F.explode(F.transform("at", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.col("removed").alias("removed")))).alias("p"))
-    terms = cut(found.groupBy("row_key").agg(F.array_sort(F.collect_list("p")).alias("terms")))
+    # the disclosing terms go to their document, where their places are
+    mine = told.groupBy("rid").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
+    terms = mentioned.join(mine, "rid").select("row_key", "terms", "told").transform(map_arrow, placed, _PLACED_DDL)
     text = F.transform("terms", lambda t: F.concat_ws(":", F.lit(TERM), t["start"], t["end"]))
     none = F.array().cast("array<struct<start:bigint,end:bigint,removed:boolean>>")
-    found = unskewed(cut(base(documents)), terms, ["row_key"], "left").withColumn("terms", F.coalesce("terms", none))
+    found = base(documents).join(terms, "row_key", "left").withColumn("terms", F.coalesce("terms", none))
     added = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), text), ",")
     return found.select("doc_id", "row_key", *(f"n_{k}" for k in KINDS), "base_sha256", added.alias("spans"), F.size("terms").cast("long").alias("n_terms"), "terms")
 
