@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A sample of one row in SAMPLED tells which keys are frequent: at most HOT_KEYS, of which it holds LEAST_DRAWN rows or more.
-SAMPLED, HOT_KEYS, LEAST_DRAWN = 50, 1000, 100
+#: A frequent key is dealt over parts of about so many drawn rows, MOST_PARTS at most.
+SAMPLED, HOT_KEYS, LEAST_DRAWN, MOST_PARTS = 50, 1000, 100, 1024
 #: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 holds tens of MB on both sides.
 ROWS = 1000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -32,22 +33,22 @@ def fresh(name: str, *frames: DataFrame) -> str:
 def unskewed(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to ``small`` (stored tables; a key has few rows in ``small``) without a hot key in one task.
 
-    A sample only decides how a key is joined: the rows of ``small`` for its most frequent keys, a bounded number,
-    are broadcast to where the rows of ``big`` lie; all other keys are shuffled. Rows without a key stay where they are.
+    A sample only decides how a key is joined: the rows of ``big`` for its most frequent keys, a bounded number of
+    them, are dealt over several parts, each of which gets a copy of the key's rows of ``small``. So are rows without a key.
     """
     drawn = big.select(*on).dropna().sample(1 / SAMPLED, 17).groupBy(*on).count().where(F.col("count") >= LEAST_DRAWN)
-    found = [tuple(r)[:-1] for r in drawn.orderBy(F.desc("count")).limit(HOT_KEYS).collect()]
-    if not found:
+    found = drawn.orderBy(F.desc("count")).limit(HOT_KEYS).collect()
+    if not found and how == "inner":
         return big.join(small, on, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(found, big.select(*on).schema))
-    parts = [big.join(hot, on, "left_semi").join(F.broadcast(small.join(hot, on, "left_semi")), on, how)]
-    rest = big.join(hot, on, "left_anti")
-    parts.append(rest.dropna(subset=on).join(small, on, how))
-    if how == "left":
-        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in small.schema if f.name not in on]
-        parts.append(rest.where(" or ".join(f"`{c}` is null" for c in on)).select("*", *none))
-    columns = parts[1].columns
-    return parts[0].select(columns).unionByName(parts[1]) if len(parts) == 2 else parts[0].select(columns).unionByName(parts[1]).unionByName(parts[2].select(columns))
+    many, part = fresh("parts", big, small), fresh("part", big, small)
+    rows = [(*tuple(r)[:-1], min(MOST_PARTS, 1 + r["count"] // LEAST_DRAWN)) for r in found]
+    hot = F.broadcast(big.sparkSession.createDataFrame(rows, big.select(*on, F.lit(0).alias(many)).schema))
+    none = F.lit(False)
+    for c in on:
+        none = none | F.col(c).isNull()
+    dealt = big.join(hot, on, "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.when(none, MOST_PARTS).otherwise(F.coalesce(many, F.lit(1)))).cast("int")).drop(many)
+    copies = small.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(many, F.lit(1)) - 1))).drop(many)
+    return dealt.join(copies, [*on, part], how).drop(part)
 
 
 def fold(doc_id: str, modulus: int, held: int) -> Column:

@@ -3,15 +3,16 @@
 Every byte that lies in a 200-byte string which also starts elsewhere is removed. Winnowing first picks
 anchors: in each 200-byte string the least hash of its 32-byte grams, so both copies of a repeated string
 hold the same anchor at the same place. Anchors that occur once rule their surroundings out. For the
-others, the strings whose anchor it is are compared; they overlap, and what they cover is its context. Equal contexts repeat in full; one copy of each distinct context goes to
-a shard. A shard's contexts are joined into one string whose suffix array is built by Larsson-Sadakane
+others, the strings whose anchor it is are compared; they overlap, and what they cover is its context. Equal
+contexts repeat in full; one copy of each distinct context goes to a shard. A shard's contexts are joined into one string whose suffix array is built by Larsson-Sadakane
 refinement; Kasai's common prefixes of neighbours give the classes of equal 200-byte strings. An anchor
 with more contexts than a shard should hold is spread over several shards, which exchange their sorted
 classes by digest range and find each other's by binary search.
 
 Defined cases: null counts as empty; texts shorter than the string length lose nothing; equal texts of at
 least that length lose everything; repeated rows count as equal texts; extra columns are ignored; an empty
-table gives no rows. Texts, grams and contexts are identified by 64-bit hashes.
+table gives no rows. Texts are known by 128-bit digests; contexts by 64 bits of a digest under their anchor's 64;
+the strings that shards of one anchor exchange by 64 bits. Anchors may share a hash: their contexts are compared.
 """
 
 from __future__ import annotations
@@ -23,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .frames import map_arrow
-from .textkernel import blocks, mix, prefix_hashes, span_hashes, table
+from ..session import cut, forget
+from .frames import map_arrow, unskewed
+from .textkernel import blocks, digests, mix, prefix_hashes, span_hashes, span_keys, table
 
 LENGTH, GRAM = 200, 32
 #: A context's bytes left of its anchor and its length in one number: left * WIDE + length.
 WIDE = 512
 #: Contexts of a shard, about; an anchor with more of them is spread.
 SHARD, HOT = 1536, 4096
-#: Digest ranges for the exchange between shards.
-RANGES = 64
+#: Strings of one digest range in the exchange between shards, about.
+RANGE = 1 << 21
 _SLICE = 1 << 21
 _U = np.uint64
 
@@ -182,7 +183,7 @@ class Shard:
 
     def digests(self) -> np.ndarray:
         at = self.begin[self.owner] + self.offset
-        return span_hashes(prefix_hashes(self.text), at, at + LENGTH)
+        return span_keys(self.text, at, at + LENGTH)
 
     def marks(self, window: np.ndarray) -> list[list[dict]]:
         """Runs of covered bytes of each context, from its windows."""
@@ -196,7 +197,8 @@ class Shard:
 
 
 def _shard(rows: pa.Table) -> Shard:
-    return Shard(rows.column("bytes"), rows.column("tk").to_numpy(), rows.column("start").to_numpy(), rows.column("many").to_numpy().astype(bool))
+    tk = np.frombuffer(b"".join(rows.column("tk").to_pylist()), np.int64)[::2]  # half of it tells places apart
+    return Shard(rows.column("bytes"), tk, rows.column("start").to_numpy(), rows.column("many").to_numpy().astype(bool))
 
 
 _FOUND = pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int32()), ("ext", pa.int32())])
@@ -204,54 +206,53 @@ _FOUND = pa.struct([("anchor", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int3
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, tk, n_bytes, sha, found): the anchors only where a task meets a text for the first time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("found", pa.list_(_FOUND))])
+    schema = pa.schema([("doc_id", pa.int64()), ("tk", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("found", pa.list_(_FOUND))])
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
-                sums = prefix_hashes(data)
-                tk = span_hashes(sums, offsets[:-1], offsets[1:]).view(np.int64)
+                sums, tk = prefix_hashes(data), digests(data, offsets)
                 fresh = np.zeros(len(tk), bool)
-                for i, t in enumerate(tk.tolist()):
+                for i, t in enumerate(tk):
                     if t not in seen:
                         seen.add(t)
                         fresh[i] = True
                 row, place, low, high = anchors(data, offsets, sums)
                 own = fresh[row]
                 row, place, low, high = row[own], place[own], low[own], high[own] + LENGTH
-                gram, ctx = span_hashes(sums, place, place + GRAM), span_hashes(sums, low, high) ^ mix((place - low).astype(np.uint64) + _U(1))
+                raw, gram = memoryview(np.ascontiguousarray(data)), span_hashes(sums, place, place + GRAM)
+                ctx = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(low.tolist(), high.tolist(), strict=True))
+                ctx = np.frombuffer(ctx, np.uint64) ^ mix((place - low).astype(np.uint64) + _U(1))
                 edge = np.searchsorted(row, np.arange(len(tk) + 1)).astype(np.int32)
                 inner = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array((place - offsets[row]).astype(np.int32)), pa.array(((place - low) * WIDE + high - low).astype(np.int32))], fields=list(_FOUND))
-                raw = memoryview(data)
                 yield table(schema, doc_id=batch.column("doc_id")[first:end], tk=tk, n_bytes=np.diff(offsets), sha=[hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], found=pa.ListArray.from_arrays(pa.array(edge), inner))
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, tk long, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:int,ext:int>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).transform(map_arrow, run, "doc_id long, tk binary, n_bytes long, sha string, found array<struct<anchor:long,ctx:long,pos:int,ext:int>>")
 
 
 def texts_once(documents: DataFrame) -> DataFrame:
     """(tk, text): each text once for each task."""
-    schema = pa.schema([("tk", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("tk", pa.binary()), ("text", pa.string())])
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column("text")):
-                tk = span_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]).view(np.int64)
-                fresh = []
-                for i, t in enumerate(tk.tolist()):
+                tk, fresh = digests(data, offsets), []
+                for i, t in enumerate(tk):
                     if t not in seen:
                         seen.add(t)
                         fresh.append(i)
                 if fresh:
-                    yield table(schema, tk=tk[fresh], text=batch.column("text")[first:end].take(pa.array(fresh)))
+                    yield table(schema, tk=[tk[i] for i in fresh], text=batch.column("text")[first:end].take(pa.array(fresh)))
 
-    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").transform(map_arrow, run, "tk long, text string")
+    return documents.select(F.col("text").cast("string").alias("text")).where("text is not null").transform(map_arrow, run, "tk binary, text string")
 
 
 def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, ctx, tk, start, many, n, bytes) of the wanted contexts (anchor, ctx, tk, at, len, many, n)."""
-    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("tk", pa.int64()), ("start", pa.int64()), ("many", pa.bool_()), ("n", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("tk", pa.binary()), ("start", pa.int64()), ("many", pa.bool_()), ("n", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -265,7 +266,7 @@ def context_bytes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     by_text = wanted.groupBy("tk").agg(F.collect_list(F.struct("anchor", "ctx", "at", "len", "many", "n")).alias("wanted"))
-    return texts.join(by_text, "tk").select("tk", "text", "wanted").transform(map_arrow, run, "anchor long, ctx long, tk long, start long, many boolean, n long, bytes binary")
+    return texts.join(by_text, "tk").select("tk", "text", "wanted").transform(map_arrow, run, "anchor long, ctx long, tk binary, start long, many boolean, n long, bytes binary")
 
 
 _MARKS = "anchor long, ctx long, marks array<struct<lo:long,hi:long>>"
@@ -288,6 +289,7 @@ def shard_marks(contexts: DataFrame, n_shards: int) -> DataFrame:
 
 def spread_marks(contexts: DataFrame, n_shards: int) -> DataFrame:
     """Covered runs of contexts whose anchor is spread over shards, by an exchange of sorted classes."""
+    ranges = 1 << max(6, (n_shards * SHARD * (LENGTH - GRAM) // RANGE).bit_length())
     sharded = cut(contexts.withColumn("shard", F.pmod(F.xxhash64("anchor", F.pmod(F.col("ctx"), F.ceil(F.col("n") / SHARD))), F.lit(n_shards))))
     sent = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("digests", pa.binary()), ("places", pa.binary())])
 
@@ -297,8 +299,8 @@ def spread_marks(contexts: DataFrame, n_shards: int) -> DataFrame:
         digest, place = shard.digests()[one], np.where(good, _U(0), shard.physical[one])  # place 0: repeats already
         by = np.argsort(digest)
         digest, place = digest[by], place[by]
-        edge = np.searchsorted(digest, np.arange(1, RANGES).astype(np.uint64) << _U(64 - RANGES.bit_length() + 1))
-        return pa.table([pa.array(range(RANGES), pa.int64()), pa.array([k] * RANGES, pa.int64()), pa.array([x.tobytes() for x in np.split(digest, edge)], pa.binary()), pa.array([x.tobytes() for x in np.split(place, edge)], pa.binary())], schema=sent)
+        edge = np.searchsorted(digest, np.arange(1, ranges).astype(np.uint64) << _U(64 - ranges.bit_length() + 1))
+        return pa.table([pa.array(range(ranges), pa.int64()), pa.array([k] * ranges, pa.int64()), pa.array([x.tobytes() for x in np.split(digest, edge)], pa.binary()), pa.array([x.tobytes() for x in np.split(place, edge)], pa.binary())], schema=sent)
 
     back = pa.schema([("shard", pa.int64()), ("good", pa.binary())])
 
@@ -333,7 +335,7 @@ def spread_marks(contexts: DataFrame, n_shards: int) -> DataFrame:
 
 def removal(texts: DataFrame, intervals: DataFrame) -> DataFrame:
     """(tk, n_removed, n_spans, kept_sha256, spans) of texts with covered runs (tk, lo, hi)."""
-    schema = pa.schema([("tk", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
+    schema = pa.schema([("tk", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
 
     def run(batches):
         for batch in batches:
@@ -351,7 +353,7 @@ def removal(texts: DataFrame, intervals: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
     by_text = intervals.groupBy("tk").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    return texts.join(by_text, "tk").select("tk", "text", "lo", "hi").transform(map_arrow, run, "tk long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
+    return texts.join(by_text, "tk").select("tk", "text", "lo", "hi").transform(map_arrow, run, "tk binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
@@ -360,23 +362,23 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     every = rows.select("tk", F.explode("found").alias("x")).select("tk", "x.anchor", "x.ctx", "x.pos", "x.ext").withColumn("occ", F.xxhash64("tk", "pos"))
     again = every.groupBy("anchor").agg(F.min("occ").alias("lo"), F.max("occ").alias("hi")).where("lo < hi").select("anchor")
     left, size = F.floor(F.col("ext") / WIDE), F.col("ext") % WIDE
-    found = cut(every.join(again, "anchor").select("anchor", "ctx", "tk", (F.col("pos") - left).alias("at"), size.alias("len"), "occ"))
-    kinds = found.groupBy("anchor", "ctx").agg(F.min(F.struct("tk", "at", "len")).alias("r"), (F.min("occ") < F.max("occ")).alias("many"))
+    found = cut(unskewed(every, again, ["anchor"]).select("anchor", "ctx", "tk", (F.col("pos") - left).alias("at"), size.alias("len"), "occ"))
+    kinds = cut(found.groupBy("anchor", "ctx").agg(F.min(F.struct("tk", "at", "len")).alias("r"), (F.min("occ") < F.max("occ")).alias("many")).select("anchor", "ctx", "r.*", "many"))
     sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = cut(kinds.join(sizes, "anchor").select("anchor", "ctx", "r.tk", "r.at", "r.len", "many", "n"))
+    wanted = cut(unskewed(kinds, sizes, ["anchor"]).select("anchor", "ctx", "tk", "at", "len", "many", "n"))
     texts = cut(texts_once(documents).join(found.select("tk").distinct(), "tk").groupBy("tk").agg(F.first("text").alias("text")))
     n = {r.hot: r["count"] for r in wanted.groupBy((F.col("n") > HOT).alias("hot")).count().collect()}
-    contexts = context_bytes(texts, wanted)
     shards = lambda m: max(64, -(-m // SHARD))
-    marks = shard_marks(contexts.where(F.col("n") <= HOT), shards(n.get(False, 0)))
+    marks = shard_marks(context_bytes(texts, wanted.where(F.col("n") <= HOT)), shards(n.get(False, 0)))
     if n.get(True):
-        marks = marks.unionByName(spread_marks(contexts.where(F.col("n") > HOT), shards(n[True])))
-    whole = kinds.where("many").select("anchor", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("r.len").cast("long").alias("hi"))).alias("marks"))
+        marks = marks.unionByName(spread_marks(context_bytes(texts, wanted.where(F.col("n") > HOT)), shards(n[True])))
+    whole = kinds.where("many").select("anchor", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("len").cast("long").alias("hi"))).alias("marks"))
     marked = cut(marks.where(F.size("marks") > 0).unionByName(whole))
-    intervals = found.join(marked, ["anchor", "ctx"]).select("tk", "at", F.explode("marks").alias("m")).select("tk", (F.col("at") + F.col("m.lo")).alias("lo"), (F.col("at") + F.col("m.hi")).alias("hi")).distinct()
-    gone = removal(texts, intervals)
+    forget(kinds, wanted)
+    intervals = unskewed(found, marked, ["anchor", "ctx"]).select("tk", "at", F.explode("marks").alias("m")).select("tk", (F.col("at") + F.col("m.lo")).alias("lo"), (F.col("at") + F.col("m.hi")).alias("hi")).distinct()
     copies = rows.groupBy("tk").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    joined = rows.select("doc_id", "tk", "n_bytes", "sha").join(gone.join(copies, "tk", "full"), "tk", "left")
+    gone = removal(texts, intervals).join(copies, "tk", "full")
+    joined = unskewed(rows.select("doc_id", "tk", "n_bytes", "sha"), gone, ["tk"], "left")
     all_gone = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= LENGTH)
     one = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
