@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     about the logarithm of the longest path.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    state, last, tasks = None, None, max(8, edges.count() // PAIRS)
+    state, last, tasks = None, None, 1 + edges.count() // PAIRS
     while True:
         pairs = cut(_stars(_stars(pairs, True).coalesce(tasks), False).coalesce(tasks))
         if last:
