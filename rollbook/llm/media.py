@@ -262,9 +262,8 @@ def media(documents: DataFrame) -> DataFrame:
     kept_dictionary = cut(spark.createDataFrame([(digest(raw), raw) for raw in [dictionary(documents)]], "digest binary, dictionary binary"))
     trained = bytes(kept_dictionary.first().dictionary)  # part of the store: read back from there
     listed = cut(lists(documents))
-    rows = cut(listed.select("doc_id", "sha", "n_bytes"))
+    rows = listed.select("doc_id", "sha", "n_bytes")
     references = cut(references_of(listed))
-    forget(listed)
     plan, borrowed = settle(references)
     forget(references)
     stored = store(documents, trained, plan)
