@@ -74,21 +74,33 @@ class Machine:
         if patterns:
             self.machine.make_automaton()
 
-    def scan(self, words: Words):
-        """For each row which of its words lie in a match, and the items that match."""
-        codes = np.full(len(words.hash), _OTHER)
-        if self.shortest:
-            at = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
-            hit = self.known[at] == words.hash
-            codes[hit] = letters(at[hit])
-        for a, b in zip(words.range[:-1].tolist(), words.range[1:].tolist(), strict=True):
-            edges, items = np.zeros(b - a + 1, np.int32), set()
-            if self.shortest and (codes[a:b] != _OTHER).sum() >= self.shortest:
-                for last, (n, owners) in self.machine.iter(as_string(codes[a:b])):
-                    edges[last + 1 - n] += 1
-                    edges[last + 1] -= 1
-                    items |= owners
-            yield np.cumsum(edges[:-1]) > 0, items
+    def scan(self, words: Words) -> dict[int, tuple[np.ndarray, set[str]]]:
+        """Of the rows with a match: which of their words lie in one, and the items that match."""
+        out: dict[int, tuple[np.ndarray, set[str]]] = {}
+        if not self.shortest or not len(words.hash):
+            return out
+        at = np.minimum(np.searchsorted(self.known, words.hash), len(self.known) - 1)
+        hit = self.known[at] == words.hash
+        # a match lies in a run of known words of one row: long enough runs are put into one string, a stranger behind each
+        row = words.rows()
+        inside = np.concatenate([[False], hit, [False]])
+        border = np.concatenate([[True], (row[1:] != row[:-1]), [True]])
+        first, last = np.flatnonzero(inside[1:-1] & (~inside[:-2] | border[:-1])), np.flatnonzero(inside[1:-1] & (~inside[2:] | border[1:])) + 1
+        some = last - first >= self.shortest
+        first, size = first[some], (last - first)[some]
+        begin = np.cumsum(size + 1) - size - 1
+        owner = np.repeat(first - begin, size + 1) + np.arange(int((size + 1).sum()))
+        codes = letters(at[np.minimum(owner, len(at) - 1)])
+        codes[begin + size] = _OTHER
+        for place, (n, owners) in self.machine.iter(as_string(codes)):
+            word = int(owner[place])
+            i = int(row[word])
+            if i not in out:
+                out[i] = np.zeros(int(words.count[i]), bool), set()
+            end = word + 1 - int(words.range[i])
+            out[i][0][end - n : end] = True
+            out[i][1].update(owners)
+        return out
 
 
 _built: dict[bytes, Machine] = {}
@@ -124,18 +136,19 @@ def marked(documents: DataFrame, benchmark: DataFrame, name: str, window: int =
             machine = _machine(shared.value, window)
             for batch in batches:
                 before = batch.column(name).to_pylist() if again else None
-                out = []
-                for first, _, data, offsets in blocks(batch.column("text")):
+                out, clean = [], {"runs": [], "spans": [], "items": []}
+                for first, end, data, offsets in blocks(batch.column("text")):
                     words = Words(data, offsets)
-                    for i, (hit, found) in enumerate(machine.scan(words)):
-                        if again:
-                            found = found.union(before[first + i]["items"])
-                            for r in before[first + i]["runs"]:
-                                hit[r["start"] : r["end"]] = True
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).tolist() if hit.any() else []
+                    found, rows = machine.scan(words), [{"n_words": n} | clean for n in words.count.tolist()]
+                    for i in {*found, *(k for k in range(end - first) if before and before[first + k]["runs"])}:
+                        hit, items = found.get(i) or (np.zeros(int(words.count[i]), bool), set())
+                        for r in before[first + i]["runs"] if before else ():
+                            hit[r["start"] : r["end"]] = True
+                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit, [0]]))).tolist()
                         runs, a, at = list(zip(edge[::2], edge[1::2], strict=True)), words.range[i], offsets[i]
                         spans = [{"start": int(words.start[a + s] - at), "end": int(words.end[a + e - 1] - at)} for s, e in runs]
-                        out.append({"n_words": len(hit), "runs": [{"start": s, "end": e} for s, e in runs], "spans": spans, "items": sorted(found)})
+                        rows[i] |= {"runs": [{"start": s, "end": e} for s, e in runs], "spans": spans, "items": sorted(items.union(before[first + i]["items"] if before else ()))}
+                    out += rows
                 columns = batch.columns[:-1] if again else batch.columns
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out, _ARROW)], names=[f.name for f in schema])
 
