@@ -27,10 +27,12 @@ class Validated:
 def validate(sheets: DataFrame, rows: DataFrame, store: bool = True) -> Validated:
     """Validates flat sheets with their day rows. A page that isn't a sheet gets E06, and its rows' findings only if something is written there.
 
-    Typed rows are stored once (unless ``store`` is False), as rules, totals, weeks and flags read them: parsing is
+    Sheets and typed rows are stored once (unless ``store`` is False), as rules, totals, weeks and flags read them: parsing is
     dearer than a column-pruned scan."""
     spark = sheets.sparkSession
-    typed = cut(R.typed(rows)) if store else R.typed(rows)
+    typed = R.typed(rows)
+    if store:
+        sheets, typed = cut(sheets), cut(typed)
     month = totals.month_totals(typed)
     weeks = totals.week_totals(typed, sheets)
     found = rules.row_findings(typed).unionByName(rules.sheet_findings(sheets, month, weeks))
