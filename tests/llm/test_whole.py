@@ -6,8 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from rollbook.llm import decontamination, media, near, packing, pii, textkernel
+from rollbook.llm import decontamination, frames, language, lines, media, near, packing, pii, quality, suffix, textkernel, toxicity
 from rollbook.session import cut
 
 
@@ -211,3 +212,40 @@ def test_pii_against_brute_force(spark):
         n = Counter(x[0] for x in s)
         want[(doc_id, *(n[k] for k in PATTERNS), hashlib.sha256(text.encode()).hexdigest(), ",".join([text] * bool(text) + [f"term:{a}:{b}" for a, b, _ in spans]), str(spans))] += 1
     assert got == want and any("term" in k[6] for k in want)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_unskewed_joins_like_a_join(spark, monkeypatch, how):
+    monkeypatch.setattr(frames, "SAMPLED", 2)
+    big = spark.createDataFrame([(None if k % 7 == 0 else min(k, 9), k) for k in range(3000)], "key int, part int").repartition(3)
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(5, 40)] + [(9, "again"), (None, "none")], "key int, parts string")
+    got, want = frames.unskewed(big, small, ["key"], how), big.join(small, "key", how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_longer_than_a_block(spark):
+    """Every operator on texts of more than a block, with what matters at their end."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(5000)]
+    passage = " ".join(r.choice(vocabulary) for _ in range(30))
+    long = " ".join(r.choice(vocabulary) for _ in range(230_000)) + "\nmenu\nwrite to zora@example.org " + passage
+    assert len(long) > textkernel.BLOCK
+    other = " ".join(r.choice(vocabulary) for _ in range(300)) + "\nmenu\n"
+    rows = [(1, long, "xx", "s"), (2, long + " tail", "xx", "s"), (3, other, "xx", "s"), (4, "short text " + passage, "yy", "s"), (5, "menu", "yy", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2).cache()
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 6)], "doc_id long, quality int, toxic int")
+    get = lambda d: {x.doc_id: x for x in d.collect()}
+    for got in (get(toxicity.detect(docs, labels)), get(quality.rate(docs, labels)), get(language.identify(docs))):
+        assert sorted(got) == [1, 2, 3, 4, 5] and all(0 <= x.score <= 1 for x in got.values())
+    assert {k: x.payload_sha256 for k, x in get(media.media(docs)).items()} == {k: hashlib.sha256(media.payload(t.encode())).hexdigest() for k, t, _, _ in rows}
+    assert {k: x.n_dropped for k, x in get(lines.dedup_lines(docs)).items()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
+    hit = get(decontamination.decontaminate(docs, spark.createDataFrame([(9, passage)], "item_id long, text string")))
+    assert {k: x.n_hit for k, x in hit.items()} == {1: 30, 2: 30, 3: 0, 4: 30, 5: 0} and long.encode()[hit[1].spans[0].start :].decode() == passage
+    pieces = packing.pack(docs).collect()
+    total = {k: sum(p.length for p in pieces if p.doc_id == k) for k, *_ in rows}
+    assert total == {p.doc_id: p.doc_tokens for p in pieces} and max(p.length for p in pieces) <= packing.LENGTH
+    assert {k: x.class_id for k, x in get(near.classes(docs)).items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    gone = get(suffix.remove_repeats(docs))
+    assert gone[1].n_removed == gone[1].n_bytes == len(long.encode()) and gone[2].n_removed == len(long.encode()) and gone[3].n_removed == 0 == gone[5].n_removed
+    assert len(passage.encode()) < 200 or gone[4].n_removed >= len(passage.encode())
+    assert {k: x.n_email for k, x in get(pii.detect(docs)).items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
