@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import clock, minutes, normal
 from ..plans.model import DAY_FIELDS, HOUR_FIELDS
+from .notes import alike
 from .readings import COHERENCE, same_value
 from .reports import state_key
 
@@ -17,6 +19,7 @@ LEGIBLE, UNCERTAIN, WEAK, TAU_LEAST, CONTEXT_P = 0.05, 0.7, 0.3, 0.25, 0.02
 SHARES, SHARE_TOLERANCE, ODD_DURATION = (0.25, 1 / 3, 0.5, 2 / 3, 0.75, 1.0), 0.03, 60
 CONFUSED, W_CONFUSED = {"1": "47", "4": "1", "7": "1", "2": "9", "9": "2", "0": "6", "6": "0"}, -4.0
 STATE_RANK = ["errore", "errori", "da_verificare", "in_coda", "in_lavorazione", "ok", "scartato"]
+ALIKE_NEIGHBOUR = 0.45
 CONFIDENCE_CELLS, CONFIDENCE_GRID, CACHE_WRITE, CACHE_READ = 0.85, 0.15, 1.25, 0.1
 # End of fixed values.
 
@@ -103,15 +106,22 @@ def odd_durations(rows: DataFrame) -> DataFrame:
     return joined.where((low == high) & (F.abs(F.col("min_prog") - low) >= ODD_DURATION)).select("doc_id", "giorno")
 
 
-def neighbour_notes(notes: DataFrame, alike: float = 0.6) -> DataFrame:
+def neighbour_notes(notes: DataFrame, least: float = ALIKE_NEIGHBOUR) -> DataFrame:
     """Doubtful notes (doc_id, giorno, note, dubbia) with ``vicina``: a sure note of the day before or after that is alike by
-    edit distance, the day before first."""
+    matching blocks, the day before first."""
     sure = notes.where(~F.col("dubbia") & F.col("note").isNotNull())
-    near = notes.where("dubbia and note is not null")
+    near = notes.where("dubbia and note is not null").select("doc_id", "giorno", "note")
     for name, shift in (("prima", 1), ("dopo", -1)):
         near = near.join(sure.select("doc_id", (F.col("giorno") + shift).alias("giorno"), F.col("note").alias(name)), ["doc_id", "giorno"], "left")
-    like = lambda c: F.when(1 - F.levenshtein(normal(F.col("note")), normal(F.col(c))) / F.greatest(F.length(normal(F.col("note"))), F.length(normal(F.col(c))), F.lit(1)) >= alike, F.col(c))
-    return near.select("doc_id", "giorno", "note", F.coalesce(like("prima"), like("dopo")).alias("vicina"))
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("note", "prima", "dopo")), strict=True)
+            found = [next((x for x in (before, after) if x and alike(note, x) >= least), None) for note, before, after in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "giorno", "note")), pa.array(found, pa.string())], names=["doc_id", "giorno", "note", "vicina"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
+    return near.mapInArrow(run, f"doc_id {kinds['doc_id']}, giorno {kinds['giorno']}, note string, vicina string")
 
 
 def merge_total(first: DataFrame, again: DataFrame, sums: DataFrame) -> DataFrame:

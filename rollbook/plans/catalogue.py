@@ -458,12 +458,12 @@ def sheet_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import further
+    from . import fieldwork, further
 
-    return _QUERIES | further.QUERIES
+    return _QUERIES | further.QUERIES | fieldwork.QUERIES
 
 
 def oracle_sql() -> dict:
-    from . import further
+    from . import fieldwork, further
 
-    return _SQL | further.SQL
+    return _SQL | further.SQL | fieldwork.SQL
