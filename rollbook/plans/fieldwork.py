@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.similarity import distance
-from ..operators import evidence, fields, readings, registry, reports, rules
+from ..operators import evidence, fields, readings, registry, reports, rules, sentences
 from ..operators import rows as R
 from ..operators import totals as T
 from ..sources import store
@@ -317,3 +317,22 @@ def name_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def admissible_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every written time and hour of a row is one that the form admits."""
     return evidence.admissible_cells(_typed(spark, sf_dir)).select("doc_id", "giorno", "ammesse")
+
+
+_H = "CASE WHEN {0} = 1 THEN '1 ora' ELSE replace(regexp_replace(CAST(CAST(round({0}, 2) AS DECIMAL(9,2)) AS VARCHAR), '\\.?0+$', ''), '.', ',') || ' ore' END"
+_I = "CASE WHEN {0} IS NOT NULL THEN lpad(CAST({0} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0') WHEN {1} THEN '??' ELSE '?' END"
+_EFF = _I.format("ee", "ee_w") + " || '–' || " + _I.format("eu", "eu_w")
+
+
+@query(on_events(_ROW_FINDINGS + f"""SELECT f.doc_id, f.giorno, left(codice, 3) AS codice, CASE left(codice, 3) WHEN 'W02' THEN 'Giorno ' || f.giorno || ': dichiarate ' || {_H.format("dich")} || ' senza orario effettivo di entrata e uscita.' WHEN 'W11' THEN 'Giorno ' || f.giorno || ': crocette sia su «Assenza alunno» sia su «Assenza operatore».'
+WHEN 'W12' THEN 'Giorno ' || f.giorno || ': ore effettive non indicate sul foglio; riconosciute ' || {_H.format("me / 60.0")} || ' calcolate dall''orario ' || {_EFF} || '.' WHEN 'I04' THEN 'Giorno ' || f.giorno || ': orario effettivo ' || {_EFF} || ' senza orario programmato.' WHEN 'I03' THEN 'Giorno ' || f.giorno || ': orario effettivo ' || {_EFF} || ' diverso dal programmato 08:00–14:00.'
+WHEN 'I05' THEN 'Giorno ' || f.giorno || ': prestazione programmata non svolta (orario programmato 08:00–14:00)' || CASE WHEN nota THEN ' – nota «permesso 104» (permesso Legge 104/1992)' ELSE '' END || '.' WHEN 'I02' THEN 'Giorno ' || f.giorno || ': assenza dell''operatore' || CASE WHEN nota THEN ' – nota «permesso 104» (permesso Legge 104/1992)' ELSE '' END || CASE WHEN mp > 0 THEN '; 6 ore programmate non svolte' ELSE '' END || '.'
+WHEN 'W01' THEN 'Giorno ' || f.giorno || ': manca la firma dell''operatore (' || concat_ws(', ', CASE WHEN eff_w THEN 'orario ' || {_EFF} END, CASE WHEN dich > 0.01 THEN {_H.format("dich")} || CASE WHEN dich = 1 THEN ' dichiarata' ELSE ' dichiarate' END END) || ').' WHEN 'E01' THEN CASE WHEN dich IS NULL THEN 'Giorno ' || f.giorno || ': ore dichiarate non plausibili (25): il valore deve essere compreso tra 0 e 24.' ELSE 'Giorno ' || f.giorno || ': dichiarate ' || {_H.format("dich")} || ' ma l''orario effettivo ' || {_EFF} || ' corrisponde a ' || {_H.format("me / 60.0")} || '.' END
+ELSE CASE WHEN campo = 'note' THEN 'Giorno ' || f.giorno || ': campo «Note» illeggibile: da verificare sulla scansione.' ELSE 'Giorno ' || f.giorno || ': campo «Tot. ore effettive» illeggibile: da leggere sulla scansione e inserire a mano.' END END AS messaggio
+FROM f JOIN x ON x.doc_id = f.doc_id AND x.giorno = f.giorno WHERE left(codice, 3) IN ('W02', 'W11', 'W12', 'I02', 'I03', 'I04', 'I05', 'W01', 'E01', 'E05')"""))
+def finding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of rows in words; ten of the codes, whose words depend on the row."""
+    rows, sheets = _typed(spark, sf_dir), adapter.sheets(spark, sf_dir)
+    told = sentences.sentences(rules.row_findings(rows), rows, T.week_totals(rows, sheets))
+    short = F.substring("codice", 1, 3)
+    return told.where(short.isin("W02", "W11", "W12", "I02", "I03", "I04", "I05", "W01", "E01", "E05")).select("doc_id", "giorno", short.alias("codice"), "messaggio")

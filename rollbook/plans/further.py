@@ -299,3 +299,17 @@ def note_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = ["PONTE DI CARNEVAL", "permesso 1o4", "DE", "malatia", "assemblea sindacale", "", "IL", "visita medica ore 9", "zzqx yykw"]
     r = _orders(spark, sf_dir).select(k.cast("string").alias("doc_id"), (k % 31 + 1).cast("int").alias("giorno"), F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int")).alias("free_text"), ((k % 10) / 10).alias("free_confidence"), F.lit(2).alias("free_tokens"), F.when(k % 4 == 0, "104").when(k % 4 == 1, "MALATTIA").alias("phrase"), (-(k % 5)).cast("double").alias("phrase_logprob"), F.lit(2.0).alias("aspect"))
     return notes.note_fields(r).select("doc_id", "giorno", "valore", F.round("confidenza", 6).alias("confidenza"), "incerto", "illeggibile")
+
+
+@query(on_events(_LISTED + """, n AS (SELECT doc_id, count(*) AS giorni, min(giorno) AS primo, CAST(round(sum(round(ric, 2)), 2) AS DOUBLE) AS ore FROM x GROUP BY 1), e AS (SELECT doc_id, count(*) AS trovate, count(*) FILTER (gravita = 'errore') AS errori FROM (SELECT doc_id, gravita FROM f UNION ALL SELECT doc_id, gravita FROM g) GROUP BY 1)
+SELECT d.doc_id, operatore, giorni, primo, ore, coalesce(trovate, 0) AS trovate, coalesce(errori, 0) AS errori FROM d JOIN n USING (doc_id) LEFT JOIN e USING (doc_id)"""))
+def sheet_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sheet's detail as JSON, read back: its days, hours and findings."""
+    from ..operators import payloads
+
+    v = _validated(spark, sf_dir)
+    told = F.from_json("payload", "header struct<operatore:string>, rows array<struct<giorno:int,ore_riconosciute:double>>, anomalies array<struct<codice:string,gravita:string>>")
+    read = payloads.details(v.sheets, v.rows, v.findings).select("doc_id", told.alias("p"))
+    hours = F.aggregate("p.rows", F.lit(0.0), lambda s, r: s + r["ore_riconosciute"])
+    errors = F.size(F.filter("p.anomalies", lambda a: a["gravita"] == "errore"))
+    return read.select("doc_id", F.col("p.header.operatore").alias("operatore"), F.size("p.rows").cast("long").alias("giorni"), F.element_at("p.rows", 1)["giorno"].alias("primo"), F.round(hours, 2).alias("ore"), F.size("p.anomalies").cast("long").alias("trovate"), errors.cast("long").alias("errori"))

@@ -195,3 +195,24 @@ def test_registry_retraction(spark):
     assert {(r.campo, r.chiave): r.conteggio for r in registry.values(left).collect()}["operatore", "MARIO ROSSI"] == 1
     manual = spark.createDataFrame([("ente", "Nuovo Ente"), ("ente", "1")], "campo string, valore string")
     assert {(r.valore, r.conteggio) for r in registry.values(left, manual).where("manuale").collect()} == {("Nuovo Ente", 0)}
+
+
+def test_sentences(spark):
+    from rollbook.operators.sentences import sentences
+
+    cases = [
+        day(2, eff_entrata="8,x", firma=False), day(3, eff_entrata="11:00", eff_uscita="08:00"), day(4, eff_uscita=None), day(5, ore_dichiarate=D(2)), day(6, assenza_alunno=True, ore_dichiarate=D("1.5"), note="gita"),
+        day(7), day(9, ore_dichiarate=None), day(10, assenza_operatore=True, eff_entrata=None, eff_uscita=None, ore_dichiarate=None, note="104"), day(11, eff_entrata=None, eff_uscita=None, ore_dichiarate=None), day(12, incerti=["note"], illeggibili=["ore_dichiarate"], ore_dichiarate=None), day(30, note="x"),
+    ]
+    v = run(spark, sheet(days=cases, head=dict(operatore=None, totale_mensile_dichiarato=None, ore_pei=D(3), firma_coordinatore=False, timbro_referente=False, incerti=["lotto"])))
+    told = {r.messaggio for r in sentences(v.findings, v.rows, v.weeks).collect()}
+    assert None not in told
+    assert told >= {
+        "Giorno 2: entrata effettiva non interpretabile come orario («8,x»).", "Giorno 3: l'uscita effettiva (08:00) non è successiva all'entrata (11:00).", "Giorno 4: orario effettivo incompleto, manca l'uscita (entrata 08:00).",
+        "Giorno 5: dichiarate 2 ore ma l'orario effettivo 08:00–11:00 corrisponde a 3 ore.", "Giorno 6: assenza dell'alunno; riconosciute 1,5 ore su 3 programmate (50%). Nota «gita».",
+        "Giorno 7 (sabato): prestazione registrata di sabato; verificare che sia prevista dal calendario scolastico.", "Giorno 9: ore effettive non indicate sul foglio; riconosciute 3 ore calcolate dall'orario 08:00–11:00.",
+        "Giorno 10: assenza dell'operatore – nota «104» (permesso Legge 104/1992); 3 ore programmate non svolte.", "Giorno 11: prestazione programmata non svolta (orario programmato 08:00–11:00).", "Giorno 12: campo «Tot. ore effettive» illeggibile: da leggere sulla scansione e inserire a mano.",
+        "Giorno 12: lettura incerta del campo «Note» (valore letto: campo vuoto); verificare sulla scansione.", "Giorno 30: il giorno non esiste nel mese di febbraio 2026 ma la riga contiene dati; i valori non sono conteggiati nei totali.", "Intestazione incompleta: manca il nome dell'operatore.",
+        "Lettura incerta del campo «Lotto» (valore letto: campo vuoto); verificare sulla scansione.", "Manca la firma del coordinatore dell'ente accanto al totale mensile.",
+    }
+    assert any(m.startswith("Settimana 2 (dal 2 all'8 febbraio): ") and "oltre il limite settimanale del PEI (3 ore; eccedenza " in m for m in told)
