@@ -26,7 +26,7 @@ def test_query(spark, name):
         import duckdb
 
         con = duckdb.connect()
-        for t in ("events", "orders", "part"):
+        for t in ("events", "orders", "part", "embeddings"):
             con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
         want = con.sql(catalogue.oracle_sql()[name])
         cols = sorted(want.columns)

@@ -18,7 +18,7 @@ def test_choices(spark):
     got = {r.k: (r.valore, r.incerto, r.illeggibile) for r in X.choose(d).collect()}
     assert got == {"a": (5, False, False), "b": (None, False, True), "c": (5, True, False)} and X.choose(d, 0.02).where("k = 'a'").first().incerto
     weak = d.where("k = 'a'").select(X.weak_options(F.col("options"), F.array(F.lit(6), F.lit(9)), F.lit(0.03)).alias("o")).first().o
-    assert [o.value for o in weak] == [5, 6, 9] and abs(weak[1].logprob - 0.1 * math.log(0.05)) < 1e-9
+    assert [o.value for o in weak] == [5, 6, 9] and abs(weak[1].logprob - 0.25 * math.log(0.05)) < 1e-9
     assert set(spark.range(1).select(X.digit_confusions(F.lit(19 * 60 + 30)).alias("d")).first().d) == {12 * 60 + 30}
     row = spark.createDataFrame([(480, 660, None, 600, 120)], "prog_entrata int, prog_uscita int, eff_entrata int, eff_uscita int, ore_dichiarate int")
     assert row.select(X.suggestions("eff_entrata").alias("s")).first().s == [480, 540]
