@@ -12,7 +12,10 @@ from difflib import SequenceMatcher
 import numpy as np
 
 # Confusable pairs, and vowels whose change at a word's end makes another name.
-CONFUSABLE = "O0 OQ OD OU I1 IL L1 IJ S5 B8 Z2 G6 G9 Q9 T7 UV VY MN MH NH UN UH AO CE RN LU EI".split()
+CONFUSABLE = [
+    "O0", "OQ", "OD", "OU", "I1", "IL", "L1", "IJ", "S5", "B8", "Z2", "G6", "G9", "Q9", "T7", "UV", "VY", "MN", "MH", "NH", "UN", "UH", "AO", "CE", "RN",
+    "LU", "EI",
+]
 FINAL_VOWELS = "AEIO"
 # End of fixed values.
 

@@ -22,13 +22,17 @@ NAME_FLOOR, NAME_SURE = 0.12, 0.85
 NOTE_SURE, PHRASE_SURE, PHRASE_ALIKE, WORD_ALIKE, NOTE_SNAP, PHRASE_LENGTH = 0.6, 0.85, 0.7, 0.8, 0.8, 0.2
 SHORT, SHORT_SURE, SHORT_ALIKE, WIDE, ALONE = 4, 0.2, 0.5, 3.0, 0.3
 READ_AS_LETTERS = str.maketrans("OQDILSB", "0001158")
-FURTHER_WORDS = (
-    "ALUNNO ALUNNA NON ERA PRESENTE ASSENZA ORE ORA ORARIO ENTRATA USCITA ANTICIPO ANTICIPATA RITARDO POSTICIPATA ISTITUTO SCUOLA CLASSE DOCENTI MEDICO "
-    "CERTIFICATO CERTIFICAZIONE PROTOCOLLO RICHIESTA SERVIZIO SOSPENSIONE ATTIVITA DIDATTICA DIDATTICHE MANIFESTAZIONE INCONTRO GENITORI COLLOQUIO SUL SULLA "
-    "DEL DELLA DELL DI DA AL ALLA IL LA LO PER CON SU NEL MATTINA POMERIGGIO GIORNO GIORNATA FESTIVITA SANTO PATRONO COMUNE CHIUSO CHIUSA RETRIBUITO "
-    "RETRIBUITA MALATO MALATA LEGGE EVENTO TEATRO"
-).split()
-FUNCTION_WORDS = frozenset("IL LA LO LE GLI I DI DA AL ALLA SUL SULLA DEL DELLA DELL PER CON SU NEL E A IN UN UNA".split())
+FURTHER_WORDS = [
+    "ALUNNO", "ALUNNA", "NON", "ERA", "PRESENTE", "ASSENZA", "ORE", "ORA", "ORARIO", "ENTRATA", "USCITA", "ANTICIPO", "ANTICIPATA", "RITARDO",
+    "POSTICIPATA", "ISTITUTO", "SCUOLA", "CLASSE", "DOCENTI", "MEDICO", "CERTIFICATO", "CERTIFICAZIONE", "PROTOCOLLO", "RICHIESTA", "SERVIZIO",
+    "SOSPENSIONE", "ATTIVITA", "DIDATTICA", "DIDATTICHE", "MANIFESTAZIONE", "INCONTRO", "GENITORI", "COLLOQUIO", "SUL", "SULLA", "DEL", "DELLA", "DELL",
+    "DI", "DA", "AL", "ALLA", "IL", "LA", "LO", "PER", "CON", "SU", "NEL", "MATTINA", "POMERIGGIO", "GIORNO", "GIORNATA", "FESTIVITA", "SANTO", "PATRONO",
+    "COMUNE", "CHIUSO", "CHIUSA", "RETRIBUITO", "RETRIBUITA", "MALATO", "MALATA", "LEGGE", "EVENTO", "TEATRO",
+]
+FUNCTION_WORDS = [
+    "IL", "LA", "LO", "LE", "GLI", "I", "DI", "DA", "AL", "ALLA", "SUL", "SULLA", "DEL", "DELLA", "DELL", "PER", "CON", "SU", "NEL", "E", "A", "IN", "UN",
+    "UNA",
+]
 # End of fixed values.
 _FORMS = {re.sub(r"\s+", "", t): "104" for t in SPELLINGS_104} | {re.sub(r"\s+", "", p): p for p in PHRASES}
 VOCABULARY = sorted({w for t in [*SPELLINGS_104, *PHRASES] for w in re.findall("[A-Z]{2,}", t)} | set(FURTHER_WORDS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -164,13 +166,12 @@ def document_sheet(detail: DataFrame, weeks: DataFrame) -> DataFrame:
 
 
 def _short_forms(words: list[str], room: int) -> list[str]:
-    """A name's forms that fit, from the shortest allowed to the full one: surnames stay, given names turn into initials from the end."""
+    """A name's forms: with as few initials of given names as fit (all of them, if none fits), then in full if that fits."""
     if len(words) < 2:
         return words
-    forms = [" ".join(words[:k]) + " " + "".join(f"{w[0]}." for w in words[k:]) for k in range(1, len(words))] + [" ".join(words)]
-    fitting = [k for k, f in enumerate(forms[:-1]) if len(f) <= room]
-    start = fitting[-1] if fitting else 0
-    return [forms[start], *(f for f in forms[start + 1 :] if len(f) <= room)]
+    with_initials = [" ".join([*words[:k], "".join(w[0] + "." for w in words[k:])]) for k in range(1, len(words))]
+    fullest = max((f for f in with_initials if len(f) <= room), key=len, default=with_initials[0])
+    return [fullest] + [f for f in [" ".join(words)] if len(f) <= room]
 
 
 def name_sheets(entries: list[tuple[int, str, str]]) -> dict[int, str]:
@@ -178,26 +179,18 @@ def name_sheets(entries: list[tuple[int, str, str]]) -> dict[int, str]:
 
     Another person of the same short name gets a fuller one; another sheet of the same person and month a number.
     """
-    taken: dict[str, str] = {}
+    owners: dict[str, str] = {}  # names given so far
     out = {}
     for n, operator, period in sorted(entries):
         tail = f" {period}" if period else ""
-        words = [w for w in "".join("-" if ch in "[]:*?/\\'" else ch for ch in operator).split() if w.strip("-")]
-        bases = [b[: MOST_NAME - len(tail)].rstrip() for b in _short_forms(words, MOST_NAME - len(tail))] or [f"Foglio {n}"]
-        owner, name = operator.casefold(), None
-        for base in bases:
-            if (base + tail).casefold() not in taken:
-                name = base + tail
-                break
-            if taken[(base + tail).casefold()] == owner:
-                break
-        k = 2
-        while name is None:
-            mark = f" ({k})"
-            tried = bases[0][: MOST_NAME - len(tail) - len(mark)].rstrip() + tail + mark
-            name, k = (tried, k) if tried.casefold() not in taken else (None, k + 1)
-        taken[name.casefold()] = owner
-        out[n] = name
+        trimmed = lambda text, more="", tail=tail: text[: MOST_NAME - len(tail) - len(more)].rstrip() + tail + more
+        plain = "".join("-" if ch in "[]:*?/\\'" else ch for ch in operator)
+        forms = _short_forms([w for w in plain.split() if w.strip("-")], MOST_NAME - len(tail)) or [f"Foglio {n}"]
+        person = operator.casefold()
+        fuller = itertools.takewhile(lambda name: owners.get(name.casefold()) != person, map(trimmed, forms))
+        counted = (trimmed(forms[0], f" ({k})") for k in itertools.count(2))
+        out[n] = next(name for name in itertools.chain(fuller, counted) if name.casefold() not in owners)
+        owners[out[n].casefold()] = person
     return out
 
 
