@@ -350,12 +350,10 @@ def open_links(opened: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
 def texts_of(documents: DataFrame, wanted: DataFrame, shared: Sequence[int]) -> DataFrame:
     """(unit, text) of the wanted units, stored. A list of units within a checked bound is broadcast, so that only wanted texts are shuffled."""
-    wanted = cut(wanted.distinct())
+    wanted = wanted.distinct()
     few = wanted.count() <= BROADCAST_UNITS
     texts = texts_once(documents, shared).join(F.broadcast(wanted) if few else wanted.hint("merge"), "unit")
-    out = cut(texts.groupBy("unit").agg(F.first("text").alias("text")))
-    forget(wanted)
-    return out
+    return cut(texts.groupBy("unit").agg(F.first("text").alias("text")))
 
 
 def links(documents: DataFrame, one: DataFrame, shared: Sequence[int] = (), similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -390,15 +388,14 @@ def links(documents: DataFrame, one: DataFrame, shared: Sequence[int] = (), simi
     tried = cut(small.unionByName(forests).unionByName(stars).distinct())
     found = checked(tried)
     forget(tried)
-    roots = cut(components(found))
+    roots = components(found)
     opened = cut(open_buckets(large, roots))
     if opened.limit(1).count():
         texts = texts_of(documents, opened.select("unit"), shared)
         more = cut(open_links(opened, element_sets(texts), similarity))
         if more.limit(1).count():
             found = found.unionByName(cut(verified(more, texts, similarity)))
-            forget(roots)
-            roots = cut(components(found))
+            roots = components(found)
         forget(texts, more)
     forget(opened, members)
     return found, roots
@@ -413,7 +410,7 @@ def members(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     _, roots = links(documents, one, shared, similarity)
     rows = unskewed(ids, roots.withColumnRenamed("node", "unit"), ["unit"], "left")
     out = cut(rows.select("doc_id", "unit", F.coalesce("root", "unit").alias("root")))
-    forget(one, ids, roots)
+    forget(one, ids)
     return out, shared
 
 
