@@ -54,14 +54,14 @@ def time_signs(c: Column) -> Column:
 
 
 def time_of_signs(signs: Column) -> Column:
-    """Minutes of the day from a canonical form: 8, 800, 0800, 8:30, 8:3 (a tens digit), 8:30:00; null if it is no time."""
-    runs = F.split(signs, ":")
-    first, second, n = F.element_at(runs, 1), F.try_element_at(runs, F.lit(2)), F.size(runs)
-    bare = (n == 1) & F.length(first).between(3, 4)  # hours and minutes without anything between them
-    hour = F.when(bare, F.substring(first, F.lit(1), F.length(first) - 2)).otherwise(first).try_cast("int")
-    minute = F.when(n == 1, F.when(bare, F.right(first, F.lit(2))).otherwise(F.lit("0"))).otherwise(F.rpad(second, 2, "0")).try_cast("int")
-    shaped = signs.rlike(r"^(\d{1,4}|\d{1,2}:\d{1,2}(:\d\d)?)$")
-    return F.when(shaped & hour.between(0, 23) & minute.between(0, 59), hour * 60 + minute)
+    """Minutes of the day from a canonical form: 8, 800, 0800, 8:30, 8:3 (a tens digit), 8:30:00; null if it is no time.
+
+    Every step uses the one before it once, so that the expression stays small wherever a filter copies it.
+    """
+    hour, minute = r"[01]?\d|2[0-3]", r"[0-5]\d"
+    even = _rewrite(signs, [(r"^(\d{1,2})$", "$1:00"), (r"^(\d{1,2})(\d\d)$", "$1:$2"), (r"^(\d{1,2}:\d)$", "$10"), (rf"^({hour}):({minute})(?::\d\d)?$", "=$1$2")])
+    number = F.regexp_extract(even, r"^=(\d+)$", 1).try_cast("int")  # hhmm
+    return (number - 40 * F.floor(number / 100)).cast("int")
 
 
 def minutes(c: Column) -> Column:
