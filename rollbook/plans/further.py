@@ -195,7 +195,7 @@ def heading_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbook.header_cells(sheets).where(F.col("campo").isin("operatore", "mese", "ore_pei", "timbro_referente")).drop("commento")
 
 
-@query(on_events(f"SELECT doc_id, CASE WHEN operatore IS NULL THEN 'Foglio ' || n WHEN user_id % 2 = 0 THEN 'Rossi ' || left(CAST(user_id % 60 AS VARCHAR), 1) || '.' ELSE (user_id % 60) || ' r.' END AS inizio FROM (SELECT *, row_number() OVER (ORDER BY lower(operatore) NULLS LAST, anno, mese, lower(alunno), source_file, source_page, doc_id) AS n FROM d WHERE {_EXPORT})"))
+@query(on_events(f"SELECT doc_id, CASE WHEN operatore IS NULL THEN 'Foglio ' || nr WHEN user_id % 2 = 0 THEN 'Rossi ' || left(CAST(user_id % 60 AS VARCHAR), 1) || '.' ELSE (user_id % 60) || ' r.' END AS inizio FROM (SELECT *, row_number() OVER (ORDER BY lower(operatore) NULLS LAST, anno, mese, lower(alunno), source_file, source_page, doc_id) AS nr FROM d WHERE {_EXPORT})"))
 def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the per-document sheets: unique, 31 characters at most; here their abbreviated beginning."""
     numbered = reports.numbered(adapter.sheets(spark, sf_dir).where(duplicates.exportable()), reports.export_order())
