@@ -30,10 +30,14 @@ def exclusion_reason(error: Column | None = None) -> Column:
     return F.when(~exportable(), F.concat(reason, F.coalesce(told, F.lit(""))))
 
 
+def _keyed(sheets: DataFrame) -> DataFrame:
+    """Exportable sheets of a valid period with the names' words in order."""
+    return sheets.where(exportable() & valid_period(F.col("mese"), F.col("anno"))).select("doc_id", name_key(F.col("operatore")).alias("op_key"), name_key(F.col("alunno")).alias("al_key"), "mese", "anno")
+
+
 def _compared(sheets: DataFrame) -> DataFrame:
-    """Exportable sheets with the names' words in order; those without a name or a period aren't compared."""
-    keyed = sheets.where(exportable() & valid_period(F.col("mese"), F.col("anno"))).select("doc_id", name_key(F.col("operatore")).alias("op_key"), name_key(F.col("alunno")).alias("al_key"), "mese", "anno")
-    return keyed.where("op_key <> '' and al_key <> ''")
+    """Of these, those with both names: others aren't compared."""
+    return _keyed(sheets).where("op_key <> '' and al_key <> ''")
 
 
 _GROUP = ["op_key", "al_key", "mese", "anno"]
@@ -47,12 +51,17 @@ def duplicates(sheets: DataFrame) -> DataFrame:
     return keyed.join(real, _GROUP).select("doc_id", "gruppo", "fogli")
 
 
-def duplicate_peers(sheets: DataFrame, most: int = 1000) -> DataFrame:
-    """(doc_id, peers): the other sheets of a sheet's group, for groups of ``most`` sheets at most, as a person reads the list; larger
-    groups are told by duplicates()."""
-    grouped = duplicates(sheets).where(F.col("fogli") <= most)
-    gathered = grouped.groupBy("gruppo").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    return gathered.select(F.explode("docs").alias("doc_id"), "docs").select("doc_id", F.array_remove("docs", F.col("doc_id")).alias("peers"))
+def duplicate_peers(sheets: DataFrame, block: int = 64) -> DataFrame:
+    """(doc_id, gruppo, fogli, peers): as duplicates(), with all the other sheets of the group in order, however many they are.
+
+    The result grows with the square of a group, so its list is gathered once and sent to one task for each ``block`` of its sheets;
+    there each sheet leaves itself out. Blank names are left out inside the list, as a filter of keys would be evaluated on what
+    ``sheets`` is aggregated from."""
+    named = (F.col("op_key") != "") & (F.col("al_key") != "")
+    gathered = _keyed(sheets).groupBy(*_GROUP).agg(F.array_sort(F.collect_list(F.when(named, F.col("doc_id")))).alias("docs")).where("size(docs) > 1")
+    blocks = gathered.select(F.col("docs")[0].alias("gruppo"), "docs", F.explode(F.sequence(F.lit(0), F.size("docs") - 1, F.lit(block))).alias("first")).repartition("gruppo", "first")
+    out = blocks.select("gruppo", F.size("docs").cast("long").alias("fogli"), "docs", F.explode(F.slice("docs", F.col("first") + 1, block)).alias("doc_id"))
+    return out.select("doc_id", "gruppo", "fogli", F.array_remove("docs", F.col("doc_id")).alias("peers"))
 
 
 def kpis(sheets: DataFrame, states: DataFrame, totals: DataFrame, peers: DataFrame) -> DataFrame:

@@ -36,6 +36,20 @@ def test_query(spark, name):
         assert rows
 
 
+def test_groups_of_any_size(spark, tmp_path):
+    """Possible duplicates lists all sheets of a group: one of more than a thousand, some around a block, one alone, and sheets without an operator."""
+    import duckdb
+
+    compared = lambda u: all(u % m for m in (29, 31, 37, 41, 53))
+    users = [u for r, n in enumerate((1, 1100, 63, 64, 65, 128, 129), 1) for u in [60 * k + r for k in range(1400) if compared(60 * k + r)][:n]] + [53 * k for k in range(200)]
+    con = duckdb.connect()
+    con.sql(f"copy (select row_number() over () as event_id, timestamp '2024-01-05 08:00:00' as ts, unnest({users})::bigint as user_id, 'click' as event_type, 0.5 as value, '{{}}' as props) to '{tmp_path}/events.parquet'")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.sql("select doc_id, gruppo, fogli, peers from (" + catalogue.oracle_sql()["possible_duplicates"] + ")").fetchall()
+    assert {r[2] for r in want} == {63, 64, 65, 128, 129, 1100}
+    assert sorted(tuple(r) for r in catalogue.queries()["possible_duplicates"](spark, str(tmp_path)).select("doc_id", "gruppo", "fogli", "peers").collect()) == sorted(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
